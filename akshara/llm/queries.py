@@ -7,8 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from akshara.llm.packing import pack_documents
 from akshara.llm.substring_dedup import substring_dedup
 from akshara.llm.suffix_dedup import suffix_dedup
+from akshara.llm.url_filters import filter_urls
+from akshara.llm.warc import read_warc, shared_folder, write_warc
 
 
 #: DuckDB SQL for the queries that SQL can express.
@@ -24,6 +27,23 @@ def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
+def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = pack_documents(table(spark, sf_dir, "documents"), "word_bpe_49k.json")
+    return out.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
+def op5_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = filter_urls(table(spark, sf_dir, "pages").select("page_id", "url"))
+    return out.select("page_id", "host", "path", "rule", "verdict", "score")
+
+
+def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = shared_folder(spark, "warc")
+    write_warc(table(spark, sf_dir, "pages"), folder)
+    out = read_warc(spark, folder)
+    return out.select(F.col("id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = suffix_dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept_bytes", 256).alias("kept_sha256"))
