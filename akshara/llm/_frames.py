@@ -39,5 +39,10 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def let(value: Column, then) -> Column:
+    """then(value), with value computed once a row even where then uses it inside lambdas."""
+    return F.get(F.transform(F.array(value), then), F.lit(0))
+
+
 def long(name: str, nullable: bool = True) -> T.StructField:
     return T.StructField(name, T.LongType(), nullable)
