@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from akshara.llm.decontamination import contaminated
 from akshara.llm.fingerprints import as_text, fingerprint_documents
+from akshara.llm.jaccard_join import jaccard_components
 from akshara.llm.packing import pack_documents
 from akshara.llm.substring_dedup import substring_dedup
 from akshara.llm.suffix_dedup import suffix_dedup
@@ -48,6 +49,10 @@ def op5_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("page_id", "host", "path", "rule", "verdict", "score")
 
 
+def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_components(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("key")
+
+
 def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = shared_folder(spark, "warc")
     write_warc(table(spark, sf_dir, "pages"), folder)
