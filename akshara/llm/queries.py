@@ -10,9 +10,11 @@ from pyspark.sql import functions as F
 from akshara.llm.decontamination import contaminated
 from akshara.llm.fingerprints import as_text, fingerprint_documents
 from akshara.llm.jaccard_join import jaccard_components
+from akshara.llm.language_id import fold, predict_language, train_network
 from akshara.llm.packing import pack_documents
 from akshara.llm.substring_dedup import substring_dedup
 from akshara.llm.suffix_dedup import suffix_dedup
+from akshara.llm.toxicity import score_toxicity, train_toxicity
 from akshara.llm.url_filters import filter_urls
 from akshara.llm.warc import read_warc, shared_folder, write_warc
 
@@ -53,6 +55,20 @@ def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("key")
 
 
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    net = train_network(docs.where(fold(F.col("doc_id"), 4) != 2))
+    out = predict_language(docs.select("doc_id", "text"), net)
+    return out.select("doc_id", (fold(F.col("doc_id"), 4) == 2).alias("held_out"), "lang_pred", "score")
+
+
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    labels = table(spark, sf_dir, "labels").where(fold(F.col("doc_id"), 5) != 0)
+    out = score_toxicity(docs, train_toxicity(docs, labels))
+    return out.select("doc_id", (fold(F.col("doc_id"), 5) == 0).alias("held_out"), "score", "predicted")
+
+
 def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = shared_folder(spark, "warc")
     write_warc(table(spark, sf_dir, "pages"), folder)
