@@ -7,6 +7,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from akshara.functions import lexicon as L
 
@@ -16,7 +17,7 @@ WHITE = r"[\s\p{Z}]+"
 DECOMPOSED = {chr(c): unicodedata.normalize("NFC", chr(c)) for c in range(0x958, 0x960)} | {chr(c) + "\u093c": chr(c + 1) for c in (0x928, 0x930, 0x933)}
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def nfc(text: pd.Series) -> pd.Series:
     return text.map(lambda x: x if x is None or x.isascii() else unicodedata.normalize("NFC", x))
 
