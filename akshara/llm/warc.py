@@ -107,6 +107,7 @@ def _write(folder: str, roll: int):
         store.create_dir(f"{root}/temporary", recursive=True)
         done: list[tuple] = []
         held, size, ids = io.BytesIO(), 0, []
+        mark: tuple | None = None  # (id, payload, what it refers to) of the revisits that follow
 
         def commit() -> None:
             data = held.getvalue()
@@ -118,11 +119,15 @@ def _write(folder: str, roll: int):
             done.append((name, shard, len(ids), len(data), ids[0], ids[-1], hashlib.sha256(data).hexdigest()))
 
         for batch in batches:
-            pages, urls, to, revisit = (batch.column(c).to_pylist() for c in ("id", "url", "refers_to", "revisit"))
+            pages, urls, to, kinds, shas = (batch.column(c).to_pylist() for c in ("id", "url", "refers_to", "kind", "sha"))
             buf, offsets = utf8(batch.column("payload"))
             for i, page in enumerate(pages):
+                if not kinds[i]:
+                    mark = (page, shas[i], to[i])
+                    continue
+                revisit = mark is not None and mark[:2] == (page, shas[i])
                 payload = buf[offsets[i] : offsets[i + 1]].tobytes()
-                size += held.write(gzip.compress(record(page, urls[i], payload, to[i], revisit[i]), 6, mtime=0))
+                size += held.write(gzip.compress(record(page, urls[i], payload, mark[2] if revisit else None, revisit), 6, mtime=0))
                 ids.append(page)
                 if size >= roll:
                     commit()
@@ -145,9 +150,11 @@ def write_warc(pages: DataFrame, folder: str, id_col: str = "page_id", url_col:
     # one small row a page: the largest id of each payload, for payloads that repeat
     small = rows.select("id", "sha", F.octet_length("payload").alias("size"))
     last = small.where(F.col("size") >= least_bytes).groupBy("sha").agg(F.max("id").alias("last_id"), F.count("*").alias("n")).where("n > 1").select("sha", "last_id")
-    rows = rows.join(last, "sha", "left")
-    revisit = F.col("last_id").isNotNull() & ~F.col("id").eqNullSafe(F.col("last_id"))
-    rows = rows.select("id", "url", "payload", revisit.alias("revisit"), F.when(revisit, F.col("last_id")).alias("refers_to"))
+    marks = small.join(last, "sha").where(~F.col("id").eqNullSafe(F.col("last_id"))).select("id", "sha", F.col("last_id").alias("refers_to")).distinct()
+    # the marks travel with the pages and sort before them, so that payloads move once
+    none = lambda kind: F.lit(None).cast(kind)
+    marks = marks.select("id", "sha", F.lit(0).alias("kind"), none("string").alias("url"), none("binary").alias("payload"), "refers_to")
+    rows = marks.unionByName(rows.select("id", "sha", F.lit(1).alias("kind"), "url", "payload", none("long").alias("refers_to")))
     ids = pages.select(F.coalesce(field(id_col).cast("long"), F.lit(NO_ID)).alias("id")).distinct()
     sample = sorted(r.id for r in ids.orderBy(F.xxhash64("id"), "id").limit(PER_SHARD * n).collect())
     bounds = np.array([sample[len(sample) * i // n] for i in range(1, n)] if sample else [], np.int64)
@@ -157,7 +164,7 @@ def write_warc(pages: DataFrame, folder: str, id_col: str = "page_id", url_col:
         return pd.Series(np.searchsorted(bounds, x.to_numpy(np.int64), side="right").astype(np.int32))
 
     rows = rows.withColumn("shard", shard(F.coalesce("id", F.lit(NO_ID))))
-    rows = rows.repartitionById(n, F.col("shard")).sortWithinPartitions(F.col("id").asc_nulls_first(), "url", F.sha1("payload")).drop("shard")
+    rows = rows.repartitionById(n, F.col("shard")).sortWithinPartitions(F.col("id").asc_nulls_first(), "sha", "kind", "url").drop("shard")
     rows.mapInArrow(_write(folder, roll_bytes), MANIFEST).write.parquet(f"{folder}/manifest")
     return spark.read.schema(MANIFEST).parquet(f"{folder}/manifest")
 
