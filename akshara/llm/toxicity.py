@@ -10,7 +10,8 @@ as toxic as its most toxic stretch: training alternates between choosing that
 stretch in each toxic text and fitting the machine against the worst stretches
 of clean texts. As the kernel has finitely many features (hashed), landmarks,
 whitening and machine fold into one table, and a whole text is scored by table
-look-ups at every position. Outputs are calibrated to a probability on the
+look-ups at every position. Toxic stretches are also learnt with a character put
+in. Outputs are calibrated to a probability on the
 training texts.
 
 Letters A-Z are lower-cased. Null and empty texts have no stretch and get the
@@ -123,6 +124,17 @@ def mapped(text: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(slots, 1), np.concatenate(weights, 1)
 
 
+def broken(text: np.ndarray, at: np.ndarray, rng) -> tuple[np.ndarray, np.ndarray]:
+    """The stretches that start at the given positions, each with a hyphen put in, and where they start now."""
+    long = STRETCH + 2 * REACH
+    cut = text[np.minimum(at[:, None] + np.arange(long - 1), len(text) - 1)]
+    place = rng.integers(3, STRETCH, len(at))[:, None]
+    k = np.arange(long)
+    out = np.take_along_axis(np.pad(cut, ((0, 0), (0, 1))), k - (k > place), axis=1)
+    out[np.arange(len(at)), place[:, 0]] = 45
+    return np.append(out.ravel(), np.full(PAD, 32, np.uint8)), np.arange(len(at)) * long
+
+
 def kernel(slots: np.ndarray, weights: np.ndarray, landmarks: np.ndarray) -> np.ndarray:
     """Kernel values of stretches with the landmarks (slots x landmarks)."""
     out = np.zeros((len(slots), landmarks.shape[1]), np.float32)
@@ -165,7 +177,7 @@ def train_machine(texts: list[bytes], toxic: np.ndarray, seed: int = 11) -> Mach
     buf = np.frombuffer(b"".join(texts), np.uint8)
     bank: list[tuple[np.ndarray, np.ndarray]] = []
     for turn in range(ROUNDS):
-        pos, neg = [], []
+        pos, neg, odd = [], [], []
         for i, j in blocks(offsets, 1 << 20):
             part = offsets[i : j + 1] - offsets[i]
             _, at, text, start = worst(buf[offsets[i] : offsets[j]], part, table)
@@ -173,11 +185,15 @@ def train_machine(texts: list[bytes], toxic: np.ndarray, seed: int = 11) -> Mach
             for kind, out in ((1, pos), (0, neg)):
                 rows = full & (toxic[i:j] == kind)
                 out.append(mapped(text, at[rows]))
+                if kind == 1 and rows.any():
+                    odd.append(mapped(*broken(text, at[rows], rng)))
                 if kind == 0 and turn == 0:
                     size = np.diff(part)[rows]
                     for _ in range(2):
                         out.append(mapped(text, start[rows] + (rng.random(len(size)) * size).astype(np.int64)))
         bank += neg
+        if odd:
+            pos += odd
         ps, pw = (np.concatenate([x[k] for x in pos]) for k in (0, 1))
         ns, nw = (np.concatenate([x[k] for x in bank]) for k in (0, 1))
         slots, weights = np.concatenate([ps, ns]), np.concatenate([pw, nw])
