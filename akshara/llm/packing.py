@@ -16,10 +16,13 @@ separate documents.
 from __future__ import annotations
 
 import os
+import unicodedata
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
@@ -29,13 +32,16 @@ from akshara.llm._frames import field
 
 CAPACITY, END_ID = 2048, 1
 #: Chunks between ASCII spaces whose ids a worker keeps, and the longest of them in bytes.
-MEMO, MEMO_BYTES = 600_000, 48
+MEMO, MEMO_BYTES = 1_200_000, 48
 PIECE = T.StructType([T.StructField("doc_id", T.LongType()), *[T.StructField(c, T.LongType()) for c in ("start", "length", "doc_tokens", "sequence_id", "offset")], T.StructField("ids", T.BinaryType())])
+#: What ends a word's last token, and the words of a text as the vocabulary's tokenizer cuts them.
+WORD_END = "</w>"
+WORDS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
 _tokenizers: dict[str, tuple] = {}
 
 
 def _tokenizer(name: str):
-    """The tokenizer of a file, or of a name among the public vocabularies, and the ids of chunks seen so far."""
+    """The tokenizer of a file, or of a name among the public vocabularies, the ids of chunks seen so far, and which ids end a word."""
     if name not in _tokenizers:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
@@ -45,32 +51,47 @@ def _tokenizer(name: str):
             import public_tokenizers
 
             path = public_tokenizers.path(name)
-        _tokenizers[name] = (Tokenizer.from_file(path), {})
+        tokenizer = Tokenizer.from_file(path)
+        ends = np.zeros(tokenizer.get_vocab_size(), bool)
+        ends[[i for t, i in tokenizer.get_vocab().items() if t.endswith(WORD_END)]] = True
+        _tokenizers[name] = (tokenizer, {}, ends)
     return _tokenizers[name]
 
 
+def chunk_ids(chunks: list[bytes], tokenizer, ends: np.ndarray) -> dict[bytes, bytes]:
+    """Ids of each chunk: all are encoded as one text, which is cut after as many word ends as each chunk has words."""
+    texts = [c.decode() for c in chunks]
+    plain = [i for i, t in enumerate(texts) if "<|" not in t]
+    count = [len(WORDS.findall(unicodedata.normalize("NFC", texts[i]).lower())) for i in plain]
+    ids = np.array(tokenizer.encode_batch_fast([" ".join(texts[i] for i in plain)], add_special_tokens=False)[0].ids, "<u4")
+    stops = np.flatnonzero(ends[ids]) + 1
+    out: dict[bytes, bytes] = {}
+    if ends.any() and len(stops) == sum(count) and min(count, default=1) > 0:
+        raw, at = ids.tobytes(), 0
+        for i, stop in zip(plain, stops[np.cumsum(count, dtype=np.int64) - 1].tolist() if plain else [], strict=True):
+            out[chunks[i]] = raw[4 * at : 4 * stop]
+            at = stop
+    rest = [c for c in chunks if c not in out]
+    for c, e in zip(rest, tokenizer.encode_batch_fast([c.decode() for c in rest], add_special_tokens=False), strict=True):
+        out[c] = np.array(e.ids, "<u4").tobytes()
+    return out
+
+
 def token_ids(texts: list[bytes], name: str) -> list[bytes]:
     """Ids of each text as little-endian unsigned 32-bit numbers.
 
     The vocabulary's tokens never hold white space, so a text's ids are those
     of its chunks between ASCII spaces, and repeated chunks are looked up.
     """
-    tokenizer, memo = _tokenizer(name)
+    tokenizer, memo, ends = _tokenizer(name)
     chunks = [t.split() for t in texts]
     new = list(set().union(*chunks) - memo.keys())
-    seen = memo
-    if new:
-        if len(memo) + len(new) > MEMO:
-            memo.clear()
-            new = list(set().union(*chunks))
-        found = {}
-        for i in range(0, len(new), 4096):
-            part = new[i : i + 4096]
-            for w, e in zip(part, tokenizer.encode_batch_fast([w.decode() for w in part], add_special_tokens=False), strict=True):
-                found[w] = np.array(e.ids, "<u4").tobytes()
-        memo.update((w, x) for w, x in found.items() if len(w) <= MEMO_BYTES)
-        seen = memo if all(len(w) <= MEMO_BYTES for w in new) else memo | found
-    return [b"".join([seen[w] for w in c]) for c in chunks]
+    found: dict[bytes, bytes] = {}
+    for i in range(0, len(new), 4096):
+        found |= chunk_ids(new[i : i + 4096], tokenizer, ends)
+    # the first chunks seen stay: frequent ones come early, and nothing is worked out again for having been put out
+    memo.update(islice(((w, x) for w, x in found.items() if len(w) <= MEMO_BYTES), max(0, MEMO - len(memo))))
+    return [b"".join([memo[w] if w in memo else found[w] for w in c]) for c in chunks]
 
 
 class Levels:
