@@ -20,7 +20,15 @@ from akshara.llm.warc import read_warc, shared_folder, write_warc
 
 
 #: DuckDB SQL for the queries that SQL can express.
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {
+    "op1_substring_dedup": r"""WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+p AS (SELECT doc_id, w, unnest(range(1, len(w) - 18)) AS pos FROM d),
+h AS (SELECT doc_id, pos, array_to_string(list_slice(w, pos, pos + 19), ' ') AS win FROM p),
+late AS (SELECT doc_id, pos FROM h QUALIFY row_number() OVER (PARTITION BY win ORDER BY doc_id, pos) > 1),
+gone AS (SELECT DISTINCT doc_id, unnest(range(pos, pos + 20)) AS i FROM late),
+per AS (SELECT doc_id, list(i) AS g FROM gone GROUP BY doc_id)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(len(g), 0)::BIGINT AS n_removed, sha256(coalesce(array_to_string(CASE WHEN g IS NULL THEN w ELSE list_transform(list_filter(range(1, len(w) + 1), lambda i: NOT list_contains(g, i)), lambda i: w[i]) END, ' '), '')) AS kept_sha256 FROM d LEFT JOIN per USING (doc_id)""",
+}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
