@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import unicodedata
 
 import pandas as pd
@@ -67,11 +68,17 @@ def light_stem(word: Column) -> Column:
     return F.regexp_replace(out, f"^(.{{2}}.*?)[{L.MATRAS}]+$", "$1")
 
 
+def stem_of(word: str) -> str:
+    """light_stem() of a listed term, worked out while the plan is built."""
+    end = next((s for s in L.SUFFIXES if word.endswith(s) and len(word) >= len(s) + 2), "")
+    return re.sub(f"^(.{{2}}.*?)[{L.MATRAS}]+$", r"\1", word.removesuffix(end))
+
+
 def term_hits(terms, blob: Column, words: Column, stems: Column) -> Column:
     """The listed terms found: phrases by substring, words as a token or by equal stems."""
     found = []
     for t in terms:
-        hit = F.contains(blob, F.lit(t)) if " " in t else F.array_contains(words, F.lit(t)) | F.array_contains(stems, light_stem(F.lit(t)))
+        hit = F.contains(blob, F.lit(t)) if " " in t else F.array_contains(words, F.lit(t)) | F.array_contains(stems, F.lit(stem_of(t)))
         found.append(F.when(hit, F.lit(t)))
     return F.filter(F.array(*found), lambda x: x.isNotNull())
 

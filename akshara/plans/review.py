@@ -110,11 +110,11 @@ SQL["freshness"] = "SELECT CASE WHEN d <= 0 THEN NULL WHEN d <= 1 THEN 'pd' WHEN
 
 def article_search(spark, sf_dir):
     """Articles whose title, snippet or source holds a text, whatever the case."""
-    holds = [F.contains(F.lower(c), F.lit("thion")) for c in (F.col("title"), X.snippet(F.col("body")), F.col("source"))]
+    holds = [F.contains(F.lower(c), F.lit("eriner")) for c in (F.col("title"), X.snippet(F.col("body")), F.col("source"))]
     return Q.articles(spark, sf_dir).where(holds[0] | holds[1] | holds[2]).select("doc_id", "title")
 
 
-SQL["article_search"] = f"SELECT doc_id, title FROM ({Q.ART}) WHERE contains(lower(title), 'thion') OR contains(lower(left({Q._snip}, 170) || CASE WHEN length({Q._snip}) > 170 THEN '…' ELSE '' END), 'thion') OR contains(lower(source), 'thion')"
+SQL["article_search"] = f"SELECT doc_id, title FROM ({Q.ART}) WHERE contains(lower(title), 'eriner') OR contains(lower(left({Q._snip}, 170) || CASE WHEN length({Q._snip}) > 170 THEN '…' ELSE '' END), 'eriner') OR contains(lower(source), 'eriner')"
 
 
 def score_report(spark, sf_dir):
