@@ -203,7 +203,12 @@ def train_network(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "
     """A network trained on a bounded sample of the labelled rows (null labels and texts left out)."""
     rows = labelled.where(field(label_col).isNotNull() & field(text_col).isNotNull())
     rows = rows.select(field(text_col).alias("text"), field(label_col).alias("label"), F.xxhash64(field(id_col)).alias("h"))
-    rows = rows.orderBy("h", "text").limit(sample).collect()
+    # choose by hashes, so that no task sends texts that are not taken
+    rows = rows.withColumn("t", F.xxhash64("text", "label"))
+    last = rows.select("h", "t").orderBy("h", "t").limit(sample).agg(F.max(F.struct("h", "t")).alias("m")).first().m
+    if last is not None:
+        rows = rows.where((F.col("h") < last.h) | (F.col("h") == last.h) & (F.col("t") <= last.t))
+    rows = rows.orderBy("h", "t", "text").limit(sample).collect()
     net = Network(sorted({r.label for r in rows}) or [UNKNOWN])
     if rows:
         net.train([r.text.encode() for r in rows], [r.label for r in rows], **options)
