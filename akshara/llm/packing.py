@@ -18,10 +18,10 @@ from __future__ import annotations
 import os
 import unicodedata
 from collections.abc import Iterator
-from itertools import islice
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -31,8 +31,8 @@ from akshara.llm._bytes import blocks, utf8
 from akshara.llm._frames import field
 
 CAPACITY, END_ID = 2048, 1
-#: Chunks between ASCII spaces whose ids a worker keeps, and the longest of them in bytes.
-MEMO, MEMO_BYTES = 1_200_000, 48
+#: Chunks between ASCII spaces whose ids a worker keeps, and the longest of them in characters.
+MEMO, MEMO_CHARS = 1_200_000, 48
 PIECE = T.StructType([T.StructField("doc_id", T.LongType()), *[T.StructField(c, T.LongType()) for c in ("start", "length", "doc_tokens", "sequence_id", "offset")], T.StructField("ids", T.BinaryType())])
 #: What ends a word's last token, and the words of a text as the vocabulary's tokenizer cuts them.
 WORD_END = "</w>"
@@ -58,40 +58,51 @@ def _tokenizer(name: str):
     return _tokenizers[name]
 
 
-def chunk_ids(chunks: list[bytes], tokenizer, ends: np.ndarray) -> dict[bytes, bytes]:
+def chunk_ids(chunks: list[str], tokenizer, ends: np.ndarray) -> dict[str, bytes]:
     """Ids of each chunk: all are encoded as one text, which is cut after as many word ends as each chunk has words."""
-    texts = [c.decode() for c in chunks]
-    plain = [i for i, t in enumerate(texts) if "<|" not in t]
-    count = [len(WORDS.findall(unicodedata.normalize("NFC", texts[i]).lower())) for i in plain]
-    ids = np.array(tokenizer.encode_batch_fast([" ".join(texts[i] for i in plain)], add_special_tokens=False)[0].ids, "<u4")
+    plain = [c for c in chunks if "<|" not in c]
+    count = [len(WORDS.findall(unicodedata.normalize("NFC", c).lower())) for c in plain]
+    ids = np.array(tokenizer.encode_batch_fast([" ".join(plain)], add_special_tokens=False)[0].ids, "<u4")
     stops = np.flatnonzero(ends[ids]) + 1
-    out: dict[bytes, bytes] = {}
+    out: dict[str, bytes] = {}
     if ends.any() and len(stops) == sum(count) and min(count, default=1) > 0:
         raw, at = ids.tobytes(), 0
-        for i, stop in zip(plain, stops[np.cumsum(count, dtype=np.int64) - 1].tolist() if plain else [], strict=True):
-            out[chunks[i]] = raw[4 * at : 4 * stop]
+        for c, stop in zip(plain, stops[np.cumsum(count, dtype=np.int64) - 1].tolist() if plain else [], strict=True):
+            out[c] = raw[4 * at : 4 * stop]
             at = stop
     rest = [c for c in chunks if c not in out]
-    for c, e in zip(rest, tokenizer.encode_batch_fast([c.decode() for c in rest], add_special_tokens=False), strict=True):
+    for c, e in zip(rest, tokenizer.encode_batch_fast(rest, add_special_tokens=False), strict=True):
         out[c] = np.array(e.ids, "<u4").tobytes()
     return out
 
 
-def token_ids(texts: list[bytes], name: str) -> list[bytes]:
-    """Ids of each text as little-endian unsigned 32-bit numbers.
+def token_ids(texts: pa.Array, name: str) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of all texts (null: empty) as little-endian unsigned 32-bit numbers, and the texts' byte offsets there.
 
     The vocabulary's tokens never hold white space, so a text's ids are those
-    of its chunks between ASCII spaces, and repeated chunks are looked up.
+    of its chunks between ASCII spaces. Each distinct chunk is looked up once.
     """
     tokenizer, memo, ends = _tokenizer(name)
-    chunks = [t.split() for t in texts]
-    new = list(set().union(*chunks) - memo.keys())
-    found: dict[bytes, bytes] = {}
+    lists = pc.ascii_split_whitespace(pc.fill_null(texts, ""))
+    chunks = lists.flatten().dictionary_encode()
+    distinct = chunks.dictionary.to_pylist()
+    new = [w for w in distinct if w and w not in memo]
     for i in range(0, len(new), 4096):
-        found |= chunk_ids(new[i : i + 4096], tokenizer, ends)
+        memo.update(chunk_ids(new[i : i + 4096], tokenizer, ends))
+    memo[""] = b""
+    ids = pa.array([memo[w] for w in distinct], pa.large_binary()).take(chunks.indices)
     # the first chunks seen stay: frequent ones come early, and nothing is worked out again for having been put out
-    memo.update(islice(((w, x) for w, x in found.items() if len(w) <= MEMO_BYTES), max(0, MEMO - len(memo))))
-    return [b"".join([memo[w] if w in memo else found[w] for w in c]) for c in chunks]
+    room = MEMO - (len(memo) - len(new))
+    for w in new:
+        if len(w) > MEMO_CHARS or room <= 0:
+            del memo[w]
+        else:
+            room -= 1
+    first = np.append(0, np.cumsum(pc.list_value_length(lists).to_numpy(zero_copy_only=False)))
+    if not len(ids):
+        return np.zeros(0, np.uint8), first
+    data = ids.buffers()[2]
+    return np.frombuffer(data, np.uint8) if data else np.zeros(0, np.uint8), np.frombuffer(ids.buffers()[1], np.int64)[ids.offset :][first]
 
 
 class Levels:
@@ -137,11 +148,11 @@ def _pack(name: str, capacity: int, end_id: int):
 
         for batch in batches:
             ids = batch.column(0).to_pylist()
-            buf, offsets = utf8(batch.column(1))
-            for i, j in blocks(offsets, 2 << 20):
-                texts = [buf[offsets[k] : offsets[k + 1]].tobytes() for k in range(i, j)]
-                for doc, tokens in zip(ids[i:j], token_ids(texts, name), strict=True):
-                    tokens += end
+            _, offsets = utf8(batch.column(1))
+            for i, j in blocks(offsets, 4 << 20):
+                raw, at = token_ids(batch.column(1).slice(i, j - i), name)
+                for k, doc in enumerate(ids[i:j]):
+                    tokens = raw[at[k] : at[k + 1]].tobytes() + end
                     n = len(tokens) // 4
                     whole = n // capacity * capacity
                     for start in range(0, whole, capacity):
