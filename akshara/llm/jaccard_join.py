@@ -42,7 +42,7 @@ PER_TASK = 8
 #: A shingle of this share of all documents (or 64 of them) is very frequent; their number is bounded by its inverse times a document's mean size.
 FREQUENT = 1 / 1000
 #: Shingles that a map task holds before it sends them.
-HELD = 6_000_000
+HELD = 3_000_000
 #: Cells of no more classes are compared directly; pivots of a cell.
 SMALL, PIVOTS = 64, 12
 FACTS = "kind int, doc long, key long, n long, fa long, fb long"
@@ -96,13 +96,15 @@ def _map_counts(shingle: int, n_buckets: int, per_task: int):
     def send(held: list) -> Iterator[pa.RecordBatch]:
         docs, keys, n, fa, fb = (np.concatenate([x[i] for x in held]) for i in range(5))
         h = np.concatenate([x[5] for x in held])
+        held.clear()
         _, lead = np.unique(np.stack([fa, fb], 1), axis=0, return_index=True)  # equal sets send their shingles once
         first = np.zeros(len(n), bool)
         first[lead] = True
-        owner = np.repeat(np.arange(len(n)), n)
-        keep = first[owner]
-        h, owner = h[keep], owner[keep]
+        h = h[np.repeat(first, n)]
+        owner = np.repeat(np.flatnonzero(first).astype(np.int32), n[first])
         bucket, rest = code(h, n_buckets)
+        bucket = bucket.astype(np.int32)
+        del h
         own_bucket = mix(keys.view(np.uint64)) % np.uint64(n_buckets)
         own_order = np.argsort(own_bucket, kind="stable")
         own_cut = np.searchsorted(own_bucket[own_order], np.arange(n_buckets + 1))
