@@ -38,7 +38,7 @@ from akshara.llm.components import connected_components
 from akshara.llm.substring_dedup import document_key, normalised
 
 SHINGLE, PERCENT = 5, 80
-PER_TASK = 8
+PER_TASK = 2
 #: A shingle of this share of all documents (or 64 of them) is very frequent; their number is bounded by its inverse times a document's mean size.
 FREQUENT = 1 / 1000
 #: Shingles that a map task holds before it sends them.
@@ -83,6 +83,11 @@ def code(h: np.ndarray, n_buckets: int) -> tuple[np.ndarray, np.ndarray]:
     return (h >> np.uint64(40)) % np.uint64(n_buckets), (h & np.uint64(0xFFFFFFFF)).astype(np.uint32)
 
 
+def short(fa: np.ndarray) -> np.ndarray:
+    """40 bits of a set's name, for counting; names that collide only add up to more candidates, but for near sets, one pair in 2^40."""
+    return fa.view(np.uint64) >> np.uint64(24)
+
+
 def _blobs(bucket: np.ndarray, n_buckets: int, per_task: int, fragment) -> Iterator[pa.RecordBatch]:
     order = np.argsort(bucket, kind="stable")
     cut = np.searchsorted(bucket[order], np.arange(n_buckets + 1))
@@ -112,7 +117,8 @@ def _map_counts(shingle: int, n_buckets: int, per_task: int):
         def fragment(k: int, of: np.ndarray) -> bytes:
             row = own_order[own_cut[k] : own_cut[k + 1]]
             who, local = np.unique(owner[of], return_inverse=True)
-            return pack(rest[of], np.diff(local, prepend=0).astype(np.int32), fa[who], fb[who], docs[row], keys[row], n[row], fa[row], fb[row])
+            name = short(fa[who])
+            return pack(rest[of], np.diff(local, prepend=0).astype(np.uint8), name.astype(np.uint32), (name >> np.uint64(32)).astype(np.uint8), docs[row], keys[row], n[row], fa[row], fb[row])
 
         yield from _blobs(bucket, n_buckets, per_task, fragment)
 
@@ -151,7 +157,7 @@ def _facts(kind: int, *cols) -> pa.RecordBatch:
 
 
 def _reduce_counts(frequent: int):
-    kinds = (np.uint32, np.int32, *[np.int64] * 7)
+    kinds = (np.uint32, np.uint8, np.uint32, np.uint8, *[np.int64] * 5)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for k, blobs in _gathered(batches):
@@ -163,17 +169,16 @@ def _reduce_counts(frequent: int):
             if not len(h):
                 continue
             base = np.cumsum([0] + [len(p[2]) for p in parts[:-1]])
-            who = np.concatenate([np.cumsum(p[1]) + b for p, b in zip(parts, base, strict=True)])
-            fa, fb = (np.concatenate([p[i] for p in parts]) for i in (2, 3))
-            name, number = np.unique(np.stack([fa, fb], 1), axis=0, return_inverse=True)
-            pair = np.unique(h.astype(np.uint64) << np.uint64(32) | number.reshape(-1)[who].astype(np.uint64))
+            who = np.concatenate([np.cumsum(p[1], dtype=np.int64) + b for p, b in zip(parts, base, strict=True)])
+            name, number = np.unique(np.concatenate([p[2] | p[3].astype(np.uint64) << np.uint64(32) for p in parts]), return_inverse=True)
+            pair = np.unique(h.astype(np.uint64) << np.uint64(32) | number[who].astype(np.uint64))
             h, who = pair >> np.uint64(32), (pair & np.uint64(0xFFFFFFFF)).astype(np.int64)
             heads = np.flatnonzero(np.append(True, h[1:] != h[:-1]))
             count = np.diff(np.append(heads, len(h)))
             repeated = np.bincount(who[np.repeat(count, count) > 1], minlength=len(name))
             has = np.flatnonzero(repeated)
             if len(has):
-                yield _facts(1, None, None, repeated[has], name[has, 0], name[has, 1])
+                yield _facts(1, None, None, repeated[has], name[has], None)
             many = heads[count >= frequent]
             if len(many):
                 yield _facts(2, None, (h[many] | np.uint64(k << 32)).astype(np.int64), None, None, None)
@@ -353,8 +358,8 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     own = facts.where("kind = 0").select("doc", "key", "n", "fa", "fb")
     late = facts.where("kind = 2").select("key").distinct().toArrow().column("key").to_numpy()
     classes = own.where("n > 0").groupBy("fa", "fb").agg(F.min(F.struct("doc", "key")).alias("lead"), F.max("n").alias("n"))
-    held = facts.where("kind = 1").groupBy("fa", "fb").agg(F.sum("n").alias("held"))
-    open_ = classes.join(held, ["fa", "fb"]).where(F.col("held") * 100 >= F.col("n") * percent).select("fa", F.col("lead.doc").alias("doc"), F.col("lead.key").alias("key"))
+    held = facts.where("kind = 1").groupBy(F.col("fa").alias("short")).agg(F.sum("n").alias("held"))
+    open_ = classes.join(held, F.shiftrightunsigned("fa", 24) == held["short"]).where(F.col("held") * 100 >= F.col("n") * percent).select("fa", F.col("lead.doc").alias("doc"), F.col("lead.key").alias("key"))
     texts = rows.withColumn("doc", F.coalesce("doc", F.lit(NO_ID))).join(open_, ["doc", "key"]).select("fa", "doc", F.col("text"))
     texts = checkpointed(texts)
     pivots = texts.mapInArrow(_map_pivots(spark.sparkContext.broadcast(np.sort(late)), shingle, percent, n * PER_TASK, PER_TASK), "part int, bucket int, blob binary")
