@@ -32,7 +32,7 @@ from akshara.llm._frames import field
 
 CAPACITY, END_ID = 2048, 1
 #: Chunks between ASCII spaces whose ids a worker keeps, and the longest of them in characters.
-MEMO, MEMO_CHARS = 1_200_000, 48
+MEMO, MEMO_CHARS = 250_000, 48
 PIECE = T.StructType([T.StructField("doc_id", T.LongType()), *[T.StructField(c, T.LongType()) for c in ("start", "length", "doc_tokens", "sequence_id", "offset")], T.StructField("ids", T.BinaryType())])
 #: What ends a word's last token, and the words of a text as the vocabulary's tokenizer cuts them.
 WORD_END = "</w>"
