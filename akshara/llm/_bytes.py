@@ -6,6 +6,7 @@ are maximal runs of bytes other than 0x20 and 0x09-0x0D.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -131,3 +132,16 @@ def merged(start: np.ndarray, stop: np.ndarray, owner: np.ndarray) -> tuple[np.n
     new[1:] = (owner[1:] != owner[:-1]) | (start[1:] > stop[:-1])
     first = np.flatnonzero(new)
     return start[first], stop[np.append(first[1:], len(start)) - 1], owner[first]
+
+
+def released(run):
+    """The function of a task, which gives freed memory back at its end: a reused worker would hold it through later stages."""
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc has it
+        if trim:
+            trim(0)
+
+    return task

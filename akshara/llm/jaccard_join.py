@@ -32,7 +32,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from akshara.llm._bytes import blocks, mix, pack, prefix_hash, span_hash, unpack, utf8, words
+from akshara.llm._bytes import blocks, mix, pack, prefix_hash, released, span_hash, unpack, utf8, words
 from akshara.llm._frames import NO_ID, checkpointed, field, partitions
 from akshara.llm.components import connected_components
 from akshara.llm.substring_dedup import document_key, normalised
@@ -353,8 +353,8 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     spark, n = docs.sparkSession, partitions(docs.sparkSession)
     rows = docs.select(field(id_col).cast("long").alias("doc"), document_key(docs, id_col, text_col).alias("key"), field(text_col).alias("text"))
     frequent = max(64, int(docs.count() * FREQUENT))
-    fragments = rows.mapInArrow(_map_counts(shingle, n * PER_TASK, PER_TASK), "part int, bucket int, blob binary")
-    facts = checkpointed(fragments.repartitionById(n, F.col("part")).mapInArrow(_reduce_counts(frequent), FACTS))
+    fragments = rows.mapInArrow(released(_map_counts(shingle, n * PER_TASK, PER_TASK)), "part int, bucket int, blob binary")
+    facts = checkpointed(fragments.repartitionById(n, F.col("part")).mapInArrow(released(_reduce_counts(frequent)), FACTS))
     own = facts.where("kind = 0").select("doc", "key", "n", "fa", "fb")
     late = facts.where("kind = 2").select("key").distinct().toArrow().column("key").to_numpy()
     classes = own.where("n > 0").groupBy("fa", "fb").agg(F.min(F.struct("doc", "key")).alias("lead"), F.max("n").alias("n"))
@@ -362,11 +362,11 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     open_ = classes.join(held, F.shiftrightunsigned("fa", 24) == held["short"]).where(F.col("held") * 100 >= F.col("n") * percent).select("fa", F.col("lead.doc").alias("doc"), F.col("lead.key").alias("key"))
     texts = rows.withColumn("doc", F.coalesce("doc", F.lit(NO_ID))).join(open_, ["doc", "key"]).select("fa", "doc", F.col("text"))
     texts = checkpointed(texts)
-    pivots = texts.mapInArrow(_map_pivots(spark.sparkContext.broadcast(np.sort(late)), shingle, percent, n * PER_TASK, PER_TASK), "part int, bucket int, blob binary")
-    edges = pivots.repartitionById(n, F.col("part")).mapInArrow(_reduce_pivots, "a long, b long")
+    pivots = texts.mapInArrow(released(_map_pivots(spark.sparkContext.broadcast(np.sort(late)), shingle, percent, n * PER_TASK, PER_TASK)), "part int, bucket int, blob binary")
+    edges = pivots.repartitionById(n, F.col("part")).mapInArrow(released(_reduce_pivots), "a long, b long")
     roots = connected_components(edges)
     regions = texts.join(roots, texts["fa"] == roots["node"]).select("root", "fa", "doc", "text").repartition(n, "root").sortWithinPartitions("root", "fa")
-    joined = regions.mapInArrow(_join_regions(shingle, percent), "fa long, component long")
+    joined = regions.mapInArrow(released(_join_regions(shingle, percent)), "fa long, component long")
     # a class's smallest id stands for it; that of its component may be smaller
     names = classes.join(joined, "fa", "left").select("fa", "fb", F.least(F.col("lead.doc"), F.col("component")).alias("component"))
     out = own.join(names, ["fa", "fb"], "left")

@@ -27,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from akshara.llm._bytes import blocks, utf8
+from akshara.llm._bytes import blocks, released, utf8
 from akshara.llm._frames import field
 
 CAPACITY, END_ID = 2048, 1
@@ -199,4 +199,4 @@ def pack_documents(docs: DataFrame, vocabulary: str = "word_bpe_49k.json", id_co
     name of one of the public vocabularies. Other columns are not kept.
     """
     rows = docs.select(field(id_col).cast("long").alias("doc_id"), field(text_col).alias("text"))
-    return rows.mapInArrow(_pack(vocabulary, capacity, end_id), PIECE)
+    return rows.mapInArrow(released(_pack(vocabulary, capacity, end_id)), PIECE)

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from akshara.llm._bytes import blocks, merged, mix, pack, prefix_hash, sliding_min, span_hash, unpack, utf8, words
+from akshara.llm._bytes import blocks, merged, mix, pack, prefix_hash, released, sliding_min, span_hash, unpack, utf8, words
 from akshara.llm._frames import NO_ID, field, partitions, rowed, unrowed
 
 WIDTH, SEED = 20, 5
@@ -256,8 +256,8 @@ def removed_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """The word spans [start, stop) of each row that repeated windows cover, by id and key (a hash of id and text)."""
     n = partitions(docs.sparkSession)
     rows = docs.select(field(id_col).cast("long").alias("doc"), document_key(docs, id_col, text_col).alias("key"), field(text_col).alias("text"))
-    packed = rows.mapInArrow(_map(width, seed, n * PER_TASK, PER_TASK), "part int, bucket int, blob binary")
-    return packed.repartitionById(n, F.col("part")).mapInArrow(_reduce(width), SPANS)
+    packed = rows.mapInArrow(released(_map(width, seed, n * PER_TASK, PER_TASK)), "part int, bucket int, blob binary")
+    return packed.repartitionById(n, F.col("part")).mapInArrow(released(_reduce(width)), SPANS)
 
 
 def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, seed: int = SEED) -> DataFrame:
@@ -272,4 +272,4 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     rows = rowed(docs, doc=F.coalesce(field(id_col).cast("long"), F.lit(NO_ID)), key=document_key(docs, id_col, text_col))
     joined = rows.join(spans, ["doc", "key"], "left").select("row", "spans")
     schema = T.StructType([joined.schema["row"], T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("kept_text", T.StringType())])
-    return unrowed(joined.mapInArrow(_keep(text_col, "kept_text"), schema), docs.columns, ["n_words", "n_removed", "kept_text"])
+    return unrowed(joined.mapInArrow(released(_keep(text_col, "kept_text")), schema), docs.columns, ["n_words", "n_removed", "kept_text"])

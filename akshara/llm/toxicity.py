@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from akshara.llm._bytes import SPACE, blocks, utf8
+from akshara.llm._bytes import SPACE, blocks, released, utf8
 from akshara.llm._frames import field, rowed, unrowed
 
 LENGTH, REACH, DECAY, SLOTS = 4, 6, 0.6, 1 << 18
@@ -270,5 +270,5 @@ def _score(machine: Machine, text_col: str):
 def score_toxicity(docs: DataFrame, machine: Machine, text_col: str = "text") -> DataFrame:
     """All columns of docs and score (0 to 1) and predicted (1 from a score of 0.5); new columns replace old ones of their names."""
     rows = rowed(docs)
-    out = rows.mapInArrow(_score(machine, text_col), T.StructType([rows.schema["row"], T.StructField("score", T.DoubleType())]))
+    out = rows.mapInArrow(released(_score(machine, text_col)), T.StructType([rows.schema["row"], T.StructField("score", T.DoubleType())]))
     return unrowed(out.withColumn("predicted", (F.col("score") >= 0.5).cast("int")), docs.columns, ["score", "predicted"])
