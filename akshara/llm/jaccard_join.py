@@ -322,9 +322,11 @@ def _join_regions(shingle: int, percent: int):
         region = Region(sets, percent)
         region.join(np.arange(len(rows)))
         doc = np.array([r[1] for r in rows], np.int64)
-        low = np.full(len(rows), np.iinfo(np.int64).max)
+        name = np.array([r[0] for r in rows], np.int64)
+        low, head = (np.full(len(rows), np.iinfo(np.int64).max) for _ in range(2))
         np.minimum.at(low, region.root, doc)
-        yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array(low[region.root])], ["fa", "component"])
+        np.minimum.at(head, region.root, name)
+        yield pa.RecordBatch.from_arrays([pa.array(name), pa.array(low[region.root]), pa.array(head[region.root])], ["fa", "component", "head"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows: list[tuple] = []
@@ -343,13 +345,8 @@ def _join_regions(shingle: int, percent: int):
     return run
 
 
-def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
-    """One row per document: doc_id, key (a hash of id and text), n_shingles and component_id.
-
-    Documents link when 100 x shared shingles >= percent x shingles of both
-    together; component_id is the smallest id reachable by links. A document
-    without words has its own id.
-    """
+def _components(docs: DataFrame, id_col: str, text_col: str, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
+    """The rows of jaccard_components and head, a component's smallest class name: ids can be null or repeated, so they do not tell components apart."""
     spark, n = docs.sparkSession, partitions(docs.sparkSession)
     rows = docs.select(field(id_col).cast("long").alias("doc"), document_key(docs, id_col, text_col).alias("key"), field(text_col).alias("text"))
     frequent = max(64, int(docs.count() * FREQUENT))
@@ -366,19 +363,31 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     edges = pivots.repartitionById(n, F.col("part")).mapInArrow(released(_reduce_pivots), "a long, b long")
     roots = connected_components(edges)
     regions = texts.join(roots, texts["fa"] == roots["node"]).select("root", "fa", "doc", "text").repartition(n, "root").sortWithinPartitions("root", "fa")
-    joined = regions.mapInArrow(released(_join_regions(shingle, percent)), "fa long, component long")
+    joined = regions.mapInArrow(released(_join_regions(shingle, percent)), "fa long, component long, head long")
     # a class's smallest id stands for it; that of its component may be smaller
-    names = classes.join(joined, "fa", "left").select("fa", "fb", F.least(F.col("lead.doc"), F.col("component")).alias("component"))
+    names = classes.join(joined, "fa", "left").select("fa", "fb", F.least(F.col("lead.doc"), F.col("component")).alias("component"), F.coalesce("head", "fa").alias("head"))
     out = own.join(names, ["fa", "fb"], "left")
     component = F.coalesce("component", "doc")
     plain = lambda c: F.when(c != NO_ID, c)
-    return out.select(plain(F.col("doc")).alias("doc_id"), "key", F.col("n").alias("n_shingles"), plain(component).alias("component_id"))
+    return out.select(plain(F.col("doc")).alias("doc_id"), "key", F.col("n").alias("n_shingles"), plain(component).alias("component_id"), "head")
+
+
+def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
+    """One row per document: doc_id, key (a hash of id and text), n_shingles and component_id.
+
+    Documents link when 100 x shared shingles >= percent x shingles of both
+    together; component_id is the smallest id reachable by links. A document
+    without words has its own id.
+    """
+    return _components(docs, id_col, text_col, shingle, percent).drop("head")
 
 
 def near_duplicates_removed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """docs with one document of each component, that of the smallest id (of rows with that id and text: one), and their columns as they were."""
-    found = jaccard_components(docs, id_col, text_col, **options)
-    keep = found.groupBy(F.coalesce("component_id", F.lit(NO_ID)).alias("__c"), (F.col("n_shingles") == 0).alias("__empty"), F.when(F.col("n_shingles") == 0, F.col("key")).alias("__own"))
-    keep = keep.agg(F.min(F.when(F.col("doc_id").eqNullSafe(F.col("component_id")), F.struct(F.coalesce("doc_id", F.lit(NO_ID)).alias("d"), F.col("key").alias("k")))).alias("s")).select(F.col("s.d").alias("__d"), F.col("s.k").alias("__k"))
+    found = _components(docs, id_col, text_col, **options)
+    # a document without words is a component by itself
+    empty = F.col("n_shingles") == 0
+    rows = found.select(F.when(~empty, F.col("head")).alias("__c"), *[F.when(empty, c).alias(n) for n, c in (("__e", F.coalesce("doc_id", F.lit(NO_ID))), ("__own", F.col("key")))], F.struct(F.coalesce("doc_id", F.lit(NO_ID)).alias("d"), F.col("key").alias("k")).alias("s"))
+    keep = rows.groupBy("__c", "__e", "__own").agg(F.min("s").alias("s")).select(F.col("s.d").alias("__d"), F.col("s.k").alias("__k"))
     mine = (F.coalesce(field(id_col).cast("long"), F.lit(NO_ID)) == keep["__d"]) & (document_key(docs, id_col, text_col) == keep["__k"])
     return docs.join(keep, mine, "left_semi").dropDuplicates([id_col, text_col])

@@ -122,6 +122,14 @@ def test_jaccard_components(docs, empty):
     assert sorted(str(r.doc_id) for r in kept.collect()) == sorted({str(c) for _, _, c in want})
 
 
+def test_near_duplicates_keep_unlinked_rows_of_one_id(spark):
+    texts = [prose(40) for _ in range(5)]
+    rows = [(None, texts[0]), (None, texts[1]), (None, texts[0] + " tail"), (5, texts[2]), (5, texts[3]), (6, texts[3] + " tail"), (7, texts[4]), (8, ""), (None, ""), (None, None)]
+    kept = near_duplicates_removed(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    got = Counter((r.doc_id, r.text if r.doc_id or not r.text else r.text.removesuffix(" tail")) for r in kept)
+    assert got == Counter([(None, texts[0]), (None, texts[1]), (5, texts[2]), (5, texts[3]), (7, texts[4]), (8, ""), (None, ""), (None, None)])
+
+
 def test_regions_recurse_exactly():
     base = rng.integers(0, 1 << 40, (6, 60))
     sets = []
