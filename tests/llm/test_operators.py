@@ -220,6 +220,35 @@ def test_url_filters(spark):
     assert filter_urls(pages.limit(0)).count() == 0
 
 
+def test_url_model_keeps_every_context_apart(spark):
+    texts = ["http://x.org/fr/" + "".join(rng.choice(list(string.ascii_lowercase), 200)) if i % 2 else "http://y.net/" + "".join(rng.choice(list(string.ascii_uppercase), 200)) for i in range(2000)]
+    texts += [None, "http://z.com/" + texts[0][13:], texts[1]]
+    count, within = Counter(), Counter()
+    for u in texts:
+        side = {"x": 1, "y": 0}.get((u or "")[7:8])
+        for p, c in enumerate(u or "") if side is not None else ():
+            for k in range(6):
+                context = (k, ("^" * k + u)[p : p + k])
+                count[side, context, c] += 1
+                within[side, context] += 1
+
+    def ratio(u):
+        total = [0.0, 0.0]
+        for side in (0, 1):
+            for p, c in enumerate(u):
+                e = 1 / 256
+                for k in range(6):
+                    context = (k, ("^" * k + u)[p : p + k])
+                    e = (count[side, context, c] + 4 * e) / (within[side, context] + 4)
+                total[side] += np.log(e)
+        return (total[1] - total[0]) / max(len(u), 1)
+
+    pages = spark.createDataFrame(list(enumerate(texts)), "page_id long, url string")
+    got = {r.page_id: r.ratio for r in filter_urls(pages).collect()}
+    assert len(got) == len(texts)
+    assert all(abs(got[i] - ratio(texts[i] or "")) < 1e-6 for i in [0, 1, 2, 3, *range(1990, len(texts))])
+
+
 def test_warc_round_trip(spark):
     rows = [(1, "http://a/b c", "<p>é</p>"), (2, "u\r\nx", "<p>é</p>"), (3, None, None), (4, "v", ""), (None, "w", "<p>é</p>"), (5, "100%", "x" * 5000)]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string")
