@@ -1,7 +1,10 @@
 """Benchmark decontamination by template windows, in DataFrame functions only.
 
-Texts are canonicalised: numbers, names (capitalised words inside a sentence)
-and units become typed placeholders, the rest is lower-cased words. Windows of
+Texts are canonicalised: numbers (grouped or with decimals: one each), names
+(capitalised words inside a sentence) and units become typed placeholders, the
+rest is lower-cased words. A capitalised word that opens a sentence may be a
+name or not, so windows with one have a second form where it is a name too,
+and either form of a document's window may match either of an item's. Windows of
 canonical words are hash-joined with those of the benchmark. A document and an
 item may align at several offsets; an alignment counts only if its slots are
 consistent (each value of the item stands for one value of the document and the
@@ -28,41 +31,66 @@ LITERAL = 0.5
 #: Benchmark windows up to which they are broadcast; beyond that the join shuffles.
 BROADCAST_WINDOWS = 500_000
 UNITS = ("mm", "cm", "m", "km", "mg", "g", "kg", "ml", "l", "inch", "inches", "foot", "feet", "mile", "miles", "second", "seconds", "minute", "minutes", "hour", "hours", "day", "days", "week", "weeks", "month", "months", "year", "years", "cent", "cents", "dollar", "dollars", "euro", "euros", "percent", "degrees", "meter", "meters", "litre", "litres", "gram", "grams", "pound", "pounds", "ounce", "ounces", "ton", "tons")
-#: Private-use characters: before a name, and the placeholders.
-MARK, NAME, NUMBER, UNIT = "\ue000", "\ue001", "\ue002", "\ue003"
-WORDS = "[^\\p{L}\\p{M}\\p{N}" + MARK + "]+"
+#: Private-use characters: before a name, before a capitalised word that opens a sentence, inside a number, and the placeholders.
+MARK, OPENS, POINT, NAME, NUMBER, UNIT = "\ue000", "\ue004", "\ue005", "\ue001", "\ue002", "\ue003"
+WORDS = "[^\\p{L}\\p{M}\\p{N}" + MARK + OPENS + POINT + "]+"
 
 
 def marked(text: Column) -> Column:
-    """Lower-cased words of a text joined by single spaces, names with a mark."""
-    bare = F.translate(F.coalesce(text, F.lit("")), MARK + NAME + NUMBER + UNIT, "    ")
+    """Lower-cased words of a text joined by single spaces, names and words that may be names with a mark, whole numbers as one word without their unit."""
+    bare = F.translate(F.coalesce(text, F.lit("")), MARK + OPENS + POINT + NAME + NUMBER + UNIT, "      ")
+    bare = F.regexp_replace(bare, r"(?<=\p{Nd}),(?=\p{Nd}{3}(?!\p{Nd}))", "")
+    bare = F.regexp_replace(bare, r"(?<=\p{Nd})[.,](?=\p{Nd})", POINT)
     named = F.regexp_replace(bare, r"(?<=[\p{L}\p{N},;]\s)(?=\p{Lu}\p{Ll})", MARK)
-    return F.btrim(F.lower(F.regexp_replace(named, WORDS, " ")))
+    named = F.regexp_replace(named, r"(?<![\p{L}\p{M}\p{N}" + MARK + r"])(?=\p{Lu}\p{Ll})", OPENS)
+    words = F.btrim(F.lower(F.regexp_replace(named, WORDS, " ")))
+    return F.regexp_replace(words, f"(?<![^ ])(\\p{{Nd}}[\\p{{Nd}}{POINT}]*)({'|'.join(UNITS)})(?![^ ])", "$1 $2")
 
 
-def canonical(text: Column) -> Column:
-    """marked() text with placeholders for names, numbers, and units after numbers."""
-    out = F.regexp_replace(text, MARK + "[^ ]*", NAME)
+def canonical(text: Column, opens: bool = False) -> Column:
+    """marked() text with placeholders for names, numbers, and units after numbers; opens: for words that open a sentence too."""
+    out = text if opens else F.replace(text, F.lit(OPENS), F.lit(""))
+    out = F.regexp_replace(out, f"[{MARK}{OPENS}][^ ]*", NAME)
     out = F.regexp_replace(out, r"(?<![^ ])\p{Nd}[^ ]*", NUMBER)
     return F.regexp_replace(out, f"(?<={NUMBER} )(?:{'|'.join(UNITS)})(?![^ ])", UNIT)
 
 
+def values(text: Column) -> Column:
+    """The words of marked() text without marks."""
+    return split(F.translate(text, MARK + OPENS, ""))
+
+
+def openings(text: Column) -> Column:
+    """Places of the words of marked() text that open a sentence with a capital."""
+    at = F.transform(split(text), lambda w, i: F.when(F.startswith(w, F.lit(OPENS)), i + 1))
+    return F.filter(at, lambda i: i.isNotNull())
+
+
 def split(text: Column) -> Column:
     return F.filter(F.split(text, " "), lambda x: x != "")
 
 
 def windows(df: DataFrame, keep: list[str], sizes: list[int]) -> DataFrame:
-    """df's keep and every: size, place and hash of each of a text's windows; df has marked."""
-
-    def of_size(words: Column, size: int) -> Column:
-        at = F.when(F.size(words) >= size, F.sequence(F.lit(1), F.size(words) - size + 1)).otherwise(F.array().cast("array<int>"))
+    """df's keep and every: size, place and hash of each of a text's windows, in both forms where these differ; df has marked."""
+    none = F.array().cast("array<int>")
+
+    def of_size(words: Column, size: int, opens: Column | None) -> Column:
+        last = F.size(words) - size + 1
+        if opens is None:
+            at = F.sequence(F.lit(1), last)
+        else:
+            at = F.filter(opens, lambda p: p - size + 1 <= last)
+            at = F.array_distinct(F.flatten(F.transform(at, lambda p: F.sequence(F.greatest(p - size + 1, F.lit(1)), F.least(p, last)))))
+        at = F.when(last >= 1, at).otherwise(none)
         return F.transform(at, lambda i: F.struct(F.lit(size).alias("size"), i.alias("pos"), F.xxhash64(F.slice(words, i, F.lit(size))).alias("hash")))
 
-    def of(words: Column) -> Column:
-        parts = [of_size(words, size) for size in sizes]
-        return parts[0] if len(parts) == 1 else F.concat(*parts)
+    def of(x: Column) -> Column:
+        parts = [p for size in sizes for p in (of_size(x["one"], size, None), of_size(x["two"], size, x["opens"]))]
+        return F.concat(*parts)
 
-    return df.select(*keep, let(split(canonical(F.col("marked"))), of).alias("every"))
+    text = F.col("marked")
+    both = F.struct(split(canonical(text)).alias("one"), split(canonical(text, True)).alias("two"), openings(text).alias("opens"))
+    return df.select(*keep, let(both, of).alias("every"))
 
 
 def slots(start: Column, size: Column) -> Column:
@@ -74,10 +102,15 @@ def slots(start: Column, size: Column) -> Column:
 
 def item_windows(benchmark: DataFrame, item_col: str, text_col: str, window: int, least: int) -> DataFrame:
     rows = benchmark.select(field(item_col).cast("long").alias("item_id"), marked(field(text_col)).alias("marked"))
-    rows = rows.select("item_id", split(canonical(F.col("marked"))).alias("words"), split(F.col("marked")).alias("values")).where(F.size("words") >= least)
+    forms = [F.struct(split(canonical(F.col("marked"), bool(i))).alias("words"), F.lit(i).alias("form")) for i in (0, 1)]
+    rows = rows.select("item_id", values(F.col("marked")).alias("values"), openings(F.col("marked")).alias("opens"), F.explode(F.array(*forms)).alias("x"))
+    rows = rows.select("item_id", "values", "opens", "x.words", "x.form").where(F.size("words") >= least)
     rows = rows.withColumn("size", F.least(F.size("words"), F.lit(window)))
-    rows = rows.select("item_id", "words", "values", "size", F.explode(F.sequence(F.lit(1), F.size("words") - F.col("size") + 1)).alias("item_pos"))
-    rows = rows.select("item_id", "size", "item_pos", F.xxhash64(F.slice("words", F.col("item_pos"), F.col("size"))).alias("hash"), slots(F.col("item_pos"), F.col("size")).alias("item_slots"))
+    rows = rows.select("item_id", "words", "values", "size", "opens", "form", F.explode(F.sequence(F.lit(1), F.size("words") - F.col("size") + 1)).alias("item_pos"))
+    # a window that no word opens is the same in both forms
+    opened = F.exists("opens", lambda p: (p >= F.col("item_pos")) & (p < F.col("item_pos") + F.col("size")))
+    rows = rows.withColumn("forms", F.when(opened, F.array("form")).otherwise(F.array(F.lit(0), F.lit(1)))).where(opened | (F.col("form") == 0))
+    rows = rows.select("item_id", "size", "item_pos", "forms", F.xxhash64(F.slice("words", F.col("item_pos"), F.col("size"))).alias("hash"), slots(F.col("item_pos"), F.col("size")).alias("item_slots"))
     return rows.where(F.size("item_slots") <= F.col("size") * (1 - LITERAL))
 
 
@@ -92,7 +125,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     found = windows(rows, ["doc_id", "key"], sorted(facts.sizes) or [window])
     # hashes alone are exploded; the words of a matched window are cut out by its place afterwards
     hits = found.select("doc_id", "key", F.explode_outer("every").alias("w")).select("doc_id", "key", "w.size", "w.pos", "w.hash")
-    hits = checkpointed(hits.join(items, ["size", "hash"]).select("doc_id", "key", "item_id", "size", "pos", "item_pos", "item_slots"))
+    hits = checkpointed(hits.join(items, ["size", "hash"]).select("doc_id", "key", "item_id", "size", "pos", "item_pos", "forms", "item_slots"))
     plain = hits.where(F.size("item_slots") == 0).select("doc_id", "key", "item_id", "item_pos", F.lit(0).alias("changed"))
     slotted = hits.where(F.size("item_slots") > 0)
     if not slotted.isEmpty():
@@ -106,11 +139,11 @@ def consistent(slotted: DataFrame, rows: DataFrame) -> DataFrame:
     """Of matched windows with slots, those of alignments whose slots stand for each other one to one."""
     which = slotted.select(F.coalesce("doc_id", F.lit(NO_ID)).alias("d"), F.col("key").alias("k")).distinct()
     own = rows.withColumns({"d": F.coalesce("doc_id", F.lit(NO_ID)), "k": F.col("key")}).join(which, ["d", "k"], "left_semi").dropDuplicates(["d", "k"])
-    own = own.select("d", "k", split(canonical(F.col("marked"))).alias("words"), split(F.col("marked")).alias("values"))
+    own = own.select("d", "k", values(F.col("marked")).alias("values"))
     slotted = slotted.join(own, (F.coalesce("doc_id", F.lit(NO_ID)) == F.col("d")) & (F.col("key") == F.col("k")))
-    pairs = F.transform(F.arrays_zip(F.col("item_slots").alias("a"), slots(F.col("pos"), F.col("size")).alias("b")), lambda x: F.struct(x["a"]["v"].alias("item"), x["b"]["v"].alias("doc")))
-    slotted = slotted.select("doc_id", "key", "item_id", "item_pos", (F.col("pos") - F.col("item_pos")).alias("offset"), pairs.alias("pairs"))
-    aligned = slotted.groupBy("doc_id", "key", "item_id", "offset").agg(F.collect_set("item_pos").alias("places"), F.array_distinct(F.flatten(F.collect_set("pairs"))).alias("pairs"))
+    pairs = F.transform("item_slots", lambda x: F.named_struct(F.lit("item"), x["v"], F.lit("doc"), F.get("values", F.col("pos") + x["at"] - 1)))
+    slotted = slotted.select("doc_id", "key", "item_id", "item_pos", (F.col("pos") - F.col("item_pos")).alias("offset"), F.explode("forms").alias("form"), pairs.alias("pairs"))
+    aligned = slotted.groupBy("doc_id", "key", "item_id", "offset", "form").agg(F.collect_set("item_pos").alias("places"), F.array_distinct(F.flatten(F.collect_set("pairs"))).alias("pairs"))
 
     def distinct(name: str) -> Column:
         return F.size(F.array_distinct(F.transform("pairs", lambda p: p[name])))

@@ -211,6 +211,14 @@ def test_decontamination(spark, empty):
     assert contaminated(empty, items).count() == 0 and decontaminate(docs, items.limit(0)).count() == docs.count()
 
 
+def test_decontamination_of_sentence_openings_and_whole_numbers(spark):
+    items = [(1, "Anna has 30 apples. Bob eats 9. Carl buys 4 more. How many apples are left in total now?"), (2, "a truck of 1,200 crates went 2.5 miles and then 5 km to the port before noon")]
+    texts = [(1, "John has 12 apples. Mary eats 5. Paul buys 3 more. How many apples are left in total now?"), (2, "so John has 12 apples. Mary eats 5. Paul buys 3 more. How many apples are left in total now?"), (3, "a truck of 900 crates went 7 miles and then 8km to the port before noon"), (4, "John runs 12 laps. Mary eats 5. Nobody buys more. How tall are trees in the park by now?")]
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    got = {(r.doc_id, r.item_id) for r in contaminated(docs, spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert got == {(1, 1), (2, 1), (3, 2)}
+
+
 def test_url_filters(spark):
     rows = [(1, "http://A.Example.NET/de/x"), (2, "https://m.example.net/en/1?q"), (3, "https://b.example.com/de/1#t"), (4, "http://x.org/fr/"), (5, None), (6, "no scheme"), (7, "http://net"), (8, "http://notnet/"), (9, ""), (9, "http://x.org/fr/")]
     pages = spark.createDataFrame(rows, "page_id long, url string").withColumn("host", F.lit(1))
