@@ -68,6 +68,11 @@ def light_stem(word: Column) -> Column:
     return F.regexp_replace(out, f"^(.{{2}}.*?)[{L.MATRAS}]+$", "$1")
 
 
+def story_key(title: Column) -> Column:
+    """Distinct stems of the words that tell titles apart."""
+    return F.array_distinct(F.transform(title_words(title), light_stem))
+
+
 def stem_of(word: str) -> str:
     """light_stem() of a listed term, worked out while the plan is built."""
     end = next((s for s in L.SUFFIXES if word.endswith(s) and len(word) >= len(s) + 2), "")

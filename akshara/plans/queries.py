@@ -226,7 +226,7 @@ SELECT doc_id, s AS plagiarism_score, CASE WHEN s <= 20 THEN 'ok' WHEN s <= 35 T
 
 
 def clustered(spark, sf_dir):
-    rows = articles(spark, sf_dir).withColumn("w", X.title_words(F.col("title")))
+    rows = articles(spark, sf_dir).withColumn("w", X.story_key(F.col("title")))
     return rows.join(A.components(rows.select("doc_id"), A.story_edges(rows, "doc_id", "w", 0.20)).withColumnRenamed("node", "doc_id"), "doc_id")
 
 

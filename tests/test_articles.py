@@ -89,3 +89,11 @@ def test_against_sql(spark, name):
     want = db.sql(plans.oracle_sql()[name])
     at = [want.columns.index(c) for c in cols]
     assert got == sorted(str(tuple(r[i] for i in at)) for r in want.fetchall())
+
+
+def test_inflected_titles_cluster(spark, monkeypatch):
+    from akshara.plans import queries
+
+    rows = spark.createDataFrame([(1, "सड़कों स्टेशनों"), (2, "सड़क स्टेशन"), (3, "बंदरगाह")], "doc_id long, title string")
+    monkeypatch.setattr(queries, "articles", lambda spark, sf_dir: rows)
+    assert {r.doc_id: r.cluster for r in queries.clustered(spark, "").collect()} == {1: 1, 2: 1, 3: 3}
