@@ -12,8 +12,20 @@ the rest. A bucket (the hash of the anchor's gram; what shares a prefix of
 `gram` bytes meets in one) merges its runs with a loser tree. The tree keeps for
 each loser the prefix it is known to share with the last winner, so it never
 compares those bytes again, and gives the sorted order with its
-longest-common-prefix array. Stretches whose shared prefixes reach `gram` hold
-all candidates; their windows are grouped and compared byte for byte.
+longest-common-prefix array. That array decides the right parts of windows: two
+suffixes of common prefix r, whose left parts share the last s bytes, have a
+window in common if r + s >= `width`, and then all bytes from s before their
+anchors to r after them are repeated. Stretches of the array are joined by
+falling prefix, the smaller into the larger, and each suffix that moves is
+compared with its neighbours in the order of the reversed left parts; no other
+pair can add anything. So a stretch takes memory for its contexts alone, and no
+row per window.
+
+Grams that many documents hold (found in a bounded sample of documents, which
+decides the plan and not the result) are anchors only of windows that have no
+others, so a common line draws no contexts of different texts into one bucket;
+windows of common grams alone lie in common passages, and those are equal
+contexts, of which a map task sends one.
 
 Null and empty texts and those shorter than `width` keep all. Rows of equal id
 and text count as two documents, so each repeats the other.
@@ -21,6 +33,7 @@ and text count as two documents, so each repeats the other.
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,15 +43,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from akshara.llm._bytes import blocks, merged, mix, pack, prefix_hash, sliding_min, span_hash, unpack, utf8
+from akshara.llm._bytes import blocks, merged, mix, pack, prefix_hash, released, sliding_min, span_hash, unpack, utf8
 from akshara.llm._frames import NO_ID, field, partitions, rowed, unrowed
+from akshara.llm._hot import HotValues, hot_values
 from akshara.llm.substring_dedup import SPANS, cover, document_key, span_lists
 
 WIDTH, GRAM = 400, 32
 #: Buckets that a reduce task works through one by one.
 PER_TASK = 8
 #: Bytes of contexts that a map task holds before it sends a run.
-HELD = 96 << 20
+HELD = 64 << 20
 RUN = (np.int64, np.int64, np.int32, np.int32, np.int8, np.int32, np.int32, bytes, bytes, np.int64, np.int64, np.int32, np.int32)
 
 
@@ -117,15 +131,23 @@ def merge_runs(runs: list[tuple[list[bytes], list[int]]]) -> Iterator[tuple[int,
             node >>= 1
 
 
-def contexts(buf: np.ndarray, offsets: np.ndarray, width: int, gram: int):
-    """Of each anchor: row, first window, end of the last window, anchor (byte places) and gram hash."""
+def gram_hashes(buf: np.ndarray, gram: int) -> np.ndarray:
+    """31 bits of the hash of the gram at each place."""
+    at = np.arange(max(0, len(buf) - gram + 1))
+    return span_hash(prefix_hash(buf), at, at + gram) >> np.uint64(33)
+
+
+def contexts(buf: np.ndarray, offsets: np.ndarray, width: int, gram: int, hot: HotValues | None = None):
+    """Of each anchor: row, first window, end of the last window, anchor (byte places) and gram hash; hot grams rank last."""
     n = len(buf) - width + 1
     none = np.zeros(0, np.int64)
     if n <= 0:
         return none, none, none, none, none
-    at = np.arange(len(buf) - gram + 1)
-    grams = span_hash(prefix_hash(buf), at, at + gram) >> np.uint64(32) << np.uint64(32)
-    low = sliding_min(grams | at.astype(np.uint64), width - gram + 1)
+    grams = gram_hashes(buf, gram)
+    if hot is not None:
+        grams[hot.places(grams)] |= np.uint64(1 << 31)
+    grams = grams << np.uint64(32) | np.arange(len(grams), dtype=np.uint64)
+    low = sliding_min(grams, width - gram + 1)
     row = np.searchsorted(offsets, np.arange(n), side="right") - 1
     window = np.flatnonzero(np.arange(n) + width <= offsets[row + 1])
     if not len(window):
@@ -140,8 +162,8 @@ def contexts(buf: np.ndarray, offsets: np.ndarray, width: int, gram: int):
 def _send(held: dict, gone: list, n_buckets: int, per_task: int) -> Iterator[pa.RecordBatch]:
     """A sorted, front-coded run for each bucket; what is known to be removed goes along, dealt by its key."""
     own: list[list] = [[] for _ in range(n_buckets)]
-    for s, (doc, key, lo, off, h, dup) in held.items():
-        own[h % n_buckets].append((s[off:], s[:off], doc, key, lo, off, dup))
+    for s, v in held.items():
+        own[v[4] % n_buckets].append((s, v))
     g = np.array(gone, np.int64).reshape(-1, 4)
     g = g[np.lexsort((g[:, 2], g[:, 1], g[:, 0]))]
     if len(g):
@@ -156,11 +178,11 @@ def _send(held: dict, gone: list, n_buckets: int, per_task: int) -> Iterator[pa.
     for k, entries in enumerate(own):
         g_own = g[g_order[g_cut[k] : g_cut[k + 1]]]
         if entries or len(g_own):
-            entries.sort()
+            entries = sorted((s[v[3] :], s[: v[3]], *v[:4], v[5]) for s, v in entries)
             lcp, rest = front_code([x[0] for x in entries])
             docs, keys, lo, off, dup = (np.array([x[i] for x in entries], np.int64) for i in range(2, 7))
             out.append((k, pack(docs, keys, lo.astype(np.int32), off.astype(np.int32), dup.astype(np.int8), lcp, np.fromiter((len(x[0]) for x in entries), np.int32, len(entries)), b"".join(rest), b"".join(x[1] for x in entries), g_own[:, 0], g_own[:, 1], g_own[:, 2].astype(np.int32), g_own[:, 3].astype(np.int32))))
-        own[k] = []
+        own[k] = entries = []
         if len(out) == 64:
             yield _blobs(out, per_task)
             out = []
@@ -172,18 +194,19 @@ def _blobs(out: list[tuple[int, bytes]], per_task: int) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([k // per_task for k, _ in out], pa.int32()), pa.array([k for k, _ in out], pa.int32()), pa.array([b for _, b in out], pa.binary())], ["part", "bucket", "blob"])
 
 
-def _map(width: int, gram: int, n_buckets: int, per_task: int):
+def _map(width: int, gram: int, n_buckets: int, per_task: int, hot=None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[bytes, tuple] = {}
         gone: list[tuple] = []
         size = 0
+        common = HotValues(hot.value) if hot is not None else None
         for batch in batches:
             ids, keys = pc.fill_null(batch.column("doc"), NO_ID).to_numpy(), batch.column("key").to_numpy()
             buf, offsets = utf8(batch.column("text"))
-            for i, j in blocks(offsets):
+            for i, j in blocks(offsets, 2 << 20):
                 raw = buf[offsets[i] : offsets[j]].tobytes()
                 part = offsets[i : j + 1] - offsets[i]
-                row, lo, end, anchor, h = contexts(buf[offsets[i] : offsets[j]], part, width, gram)
+                row, lo, end, anchor, h = contexts(buf[offsets[i] : offsets[j]], part, width, gram, common)
                 docs, own = ids[i:j][row].tolist(), keys[i:j][row].tolist()
                 for d, k, a, b, p, v, base in zip(docs, own, lo.tolist(), end.tolist(), anchor.tolist(), h.tolist(), part[row].tolist(), strict=True):
                     s = raw[a:b]
@@ -203,38 +226,49 @@ def _map(width: int, gram: int, n_buckets: int, per_task: int):
     return run
 
 
-def repeated_strings(docs: np.ndarray, keys: np.ndarray, lo: np.ndarray, dup: np.ndarray, texts: list[bytes], width: int):
-    """(doc, key, start, stop) of the windows in the contexts that occur twice; dup: all windows of a context do."""
-    sizes = np.fromiter(map(len, texts), np.int64, len(texts))
-    raw = b"".join(texts)
-    base = np.concatenate([[0], np.cumsum(sizes)])
-    count = sizes - width + 1
-    entry = np.repeat(np.arange(len(texts)), count)
-    at = np.arange(len(entry)) - np.repeat(np.cumsum(count) - count, count)
-    a = base[entry] + at
-    h = span_hash(prefix_hash(np.frombuffer(raw, np.uint8)), a, a + width)
-    order = np.argsort(h, kind="stable")
-    hs = h[order]
-    same = hs[1:] == hs[:-1]
-    new = np.append(True, ~same)
-    lead = order[np.flatnonzero(new)[np.cumsum(new) - 1]]
-    follow = np.append(False, same)
-    x, y = a[order[follow]], a[lead[follow]]
-    equal = np.fromiter((raw[p : p + width] == raw[q : q + width] for p, q in zip(x.tolist(), y.tolist(), strict=True)), bool, len(x))
-    hit = dup[entry].astype(bool)
-    hit[order[follow][equal]] = True
-    hit[lead[follow][equal]] = True
-    if not equal.all():  # unequal windows of one hash: group these by their bytes
-        seen: dict[bytes, int] = {}
-        for w in order[np.isin(hs, hs[follow][~equal])].tolist():
-            s = raw[a[w] : a[w] + width]
-            if s in seen:
-                hit[w] = hit[seen[s]] = True
-            else:
-                seen[s] = w
-    w = np.flatnonzero(hit)
-    start, stop, owner = merged(at[w], at[w] + width, entry[w])
-    return [docs[owner], keys[owner], lo[owner] + start, lo[owner] + stop]
+def reaches(lefts: list[bytes], lcp: list[int], width: int) -> tuple[list[int], list[int]]:
+    """Bytes before and after each anchor of a stretch that repeated windows cover.
+
+    lefts: the reversed left parts in suffix order; lcp: the prefix that each
+    suffix shares with the one before.
+    """
+    n = len(lefts)
+    before, after = [0] * n, [0] * n
+
+    def meet(i: int, j: int, r: int) -> None:
+        x, y = lefts[i], lefts[j]
+        if min(len(x), len(y)) + r < width:
+            return
+        s = shared(x, y)
+        if s + r >= width:
+            for k in (i, j):
+                before[k], after[k] = max(before[k], s), max(after[k], r)
+
+    if n == 2:
+        meet(0, 1, lcp[1])
+        return before, after
+    home = list(range(n))
+    sets: list[list | None] = [[(x, i)] for i, x in enumerate(lefts)]
+
+    def root(i: int) -> int:
+        while home[i] != i:
+            home[i] = i = home[home[i]]
+        return i
+
+    for k in sorted(range(1, n), key=lambda k: -lcp[k]):
+        r, a, b = lcp[k], root(k - 1), root(k)
+        if len(sets[a]) < len(sets[b]):
+            a, b = b, a
+        large = sets[a]
+        for entry in sets[b]:
+            at = bisect_left(large, entry)
+            if at:
+                meet(entry[1], large[at - 1][1], r)
+            if at < len(large):
+                meet(entry[1], large[at][1], r)
+            large.insert(at, entry)
+        sets[b], home[b] = None, a
+    return before, after
 
 
 def _reduce(width: int, gram: int):
@@ -253,28 +287,35 @@ def _reduce(width: int, gram: int):
                 cut = np.concatenate([[0], np.cumsum(p[3], dtype=np.int64)]).tolist()
                 lefts.append([p[8][cut[i] : cut[i + 1]] for i in range(len(lcp))])
             group: list[tuple[int, int]] = []
-            waiting: list[tuple[int, int]] = []
-            held = 0
-
-            def settle(members):
-                docs, keys, lo, dup = (np.array([parts[r][c][i] for r, i in members]) for c in (0, 1, 2, 4))
-                for o, x in zip(out, repeated_strings(docs, keys, lo.astype(np.int64), dup, [lefts[r][i] + runs[r][0][i] for r, i in members], width), strict=True):
-                    o.append(x)
+            lcp: list[int] = []
+            spans: list[tuple[int, int, int, int]] = []
+
+            def settle():
+                if len(group) > 1:
+                    before, after = reaches([lefts[r][i][::-1] for r, i in group], lcp, width)
+                else:
+                    before, after = [0], [0]
+                for (r, i), s, e in zip(group, before, after, strict=True):
+                    p = parts[r]
+                    if p[4][i]:  # the whole context occurs twice
+                        spans.append((p[0][i], p[1][i], p[2][i], p[2][i] + p[3][i] + p[6][i]))
+                    elif e:
+                        anchor = p[2][i] + p[3][i]
+                        spans.append((p[0][i], p[1][i], anchor - s, anchor + e))
 
             for r, i, same in merge_runs(runs):
                 if same < gram:
                     if len(group) > 1 or group and parts[group[0][0]][4][group[0][1]]:
-                        waiting += group
-                        held += len(group)
-                    group = []
-                    if held > 20_000:
-                        settle(waiting)
-                        waiting, held = [], 0
+                        settle()
+                    group.clear()
+                    lcp.clear()
                 group.append((r, i))
-            if len(group) > 1 or group and parts[group[0][0]][4][group[0][1]]:
-                waiting += group
-            if waiting:
-                settle(waiting)
+                lcp.append(same)
+            if group:
+                settle()
+            found = np.array(spans, np.int64).reshape(-1, 4)
+            for o, x in zip(out, found.T, strict=True):
+                o.append(x)
             cols = [np.concatenate(x) for x in out]
             if len(cols[0]):
                 yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2].astype(np.int32)), pa.array(cols[3].astype(np.int32))], ["doc", "key", "start", "stop"])
@@ -306,8 +347,9 @@ def removed_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """The byte spans [start, stop) of each row that repeated strings cover, by id and key (a hash of id and text)."""
     n = partitions(docs.sparkSession)
     rows = docs.select(field(id_col).cast("long").alias("doc"), document_key(docs, id_col, text_col).alias("key"), field(text_col).alias("text"))
-    sent = rows.mapInArrow(_map(width, gram, n * PER_TASK, PER_TASK), "part int, bucket int, blob binary")
-    return sent.repartitionById(n, F.col("part")).mapInArrow(_reduce(width, gram), SPANS)
+    hot = hot_values(rows, lambda buf, offsets: gram_hashes(buf, gram), gram)
+    sent = rows.mapInArrow(released(_map(width, gram, n * PER_TASK, PER_TASK, hot)), "part int, bucket int, blob binary")
+    return sent.repartitionById(n, F.col("part")).mapInArrow(released(_reduce(width, gram)), SPANS)
 
 
 def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, gram: int = GRAM) -> DataFrame:
@@ -323,4 +365,4 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     joined = rows.join(spans, ["doc", "key"], "left").select("row", "spans")
     new = [T.StructField(c, T.LongType()) for c in ("n_bytes", "n_removed", "n_spans")]
     schema = T.StructType([joined.schema["row"], *new, T.StructField("kept_bytes", T.BinaryType())])
-    return unrowed(joined.mapInArrow(_keep(text_col), schema), docs.columns, ["n_bytes", "n_removed", "n_spans", "kept_bytes"])
+    return unrowed(joined.mapInArrow(released(_keep(text_col)), schema), docs.columns, ["n_bytes", "n_removed", "n_spans", "kept_bytes"])

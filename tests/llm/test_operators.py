@@ -17,7 +17,7 @@ from akshara.llm.jaccard_join import Region, jaccard_components, near_duplicates
 from akshara.llm.language_id import Network, predict_language, train_network
 from akshara.llm.packing import Levels, pack_documents
 from akshara.llm.substring_dedup import substring_dedup
-from akshara.llm.suffix_dedup import front_code, front_decode, merge_runs, shared, suffix_dedup
+from akshara.llm.suffix_dedup import front_code, front_decode, merge_runs, reaches, shared, suffix_dedup
 from akshara.llm.toxicity import score_toxicity, train_machine, train_toxicity
 from akshara.llm.url_filters import filter_urls
 from akshara.llm.warc import read_warc, shared_folder, write_warc
@@ -72,6 +72,23 @@ def test_substring_dedup(docs, empty):
         assert (r.n_words, r.n_removed, r.kept_text) == (len(w), len(gone), " ".join(x for i, x in enumerate(w) if i not in gone))
 
 
+def test_substring_dedup_of_hot_phrases(spark):
+    """One common phrase and one common passage among many documents, cut at places of all kinds."""
+    local = np.random.default_rng(8)
+    draw = lambda n: list(local.choice(VOCABULARY, n))
+    passage = draw(40)
+    texts = [draw(int(local.integers(0, 40))) + "as is known to everyone here".split() + (passage[int(local.integers(0, 9)) :] if i % 3 else []) + draw(int(local.integers(0, 30))) for i in range(120)]
+    first = {}
+    for i, w in enumerate(texts):
+        for p in range(len(w) - 19):
+            first.setdefault(tuple(w[p : p + 20]), (i, p))
+    docs = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(texts)], "doc_id long, text string").repartition(5)
+    for r in substring_dedup(docs).collect():
+        w = texts[r.doc_id]
+        gone = {q for p in range(len(w) - 19) if first[tuple(w[p : p + 20])] < (r.doc_id, p) for q in range(p, p + 20)}
+        assert r.kept_text == " ".join(x for i, x in enumerate(w) if i not in gone)
+
+
 def test_suffix_dedup(docs, empty):
     assert suffix_dedup(empty).count() == 0
     count = Counter(b[p : p + 400] for r in docs.collect() for b in [(r.text or "").encode()] for p in range(len(b) - 399))
@@ -82,6 +99,35 @@ def test_suffix_dedup(docs, empty):
         assert (r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept_bytes)) == (len(b), len(gone), spans, bytes(x for i, x in enumerate(b) if i not in gone))
 
 
+def test_suffix_dedup_of_hot_lines(spark):
+    """One 70-byte line and one 500-byte passage in most documents, cut at places of all kinds."""
+    local = np.random.default_rng(5)
+    line, passage = "the same line stands in nearly every document of this collection, yes", "".join(local.choice(list("abcdefgh "), 500))
+    draw = lambda n: "".join(local.choice(list("abcdefgh "), n))
+    texts = [draw(int(local.integers(0, 500))) + line + (passage[int(local.integers(0, 60)) :] if i % 3 else "") + draw(int(local.integers(0, 300))) for i in range(90)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5)
+    count = Counter(t[p : p + 400] for t in texts for p in range(len(t) - 399))
+    for r in suffix_dedup(docs).collect():
+        t = texts[r.doc_id]
+        gone = {q for p in range(len(t) - 399) if count[t[p : p + 400]] > 1 for q in range(p, p + 400)}
+        assert (r.n_removed, bytes(r.kept_bytes).decode()) == (len(gone), "".join(x for i, x in enumerate(t) if i not in gone))
+
+
+def test_reaches_against_all_pairs():
+    local = np.random.default_rng(6)
+    for _ in range(200):
+        n = int(local.integers(2, 12))
+        pairs = sorted((bytes(local.integers(97, 99, local.integers(0, 9)).astype(np.uint8)), bytes(local.integers(97, 99, local.integers(0, 9)).astype(np.uint8))) for _ in range(n))
+        lcp = [0, *(shared(a[0], b[0]) for a, b in zip(pairs, pairs[1:], strict=False))]
+        want = [[0, 0] for _ in range(n)]
+        for i in range(n):
+            for j in range(n):
+                r, s = shared(pairs[i][0], pairs[j][0]), shared(pairs[i][1], pairs[j][1])
+                if i != j and r + s >= 8:
+                    want[i] = [max(want[i][0], s), max(want[i][1], r)]
+        assert [list(x) for x in zip(*reaches([p[1] for p in pairs], lcp, 8), strict=True)] == want
+
+
 def test_loser_tree_merges_front_coded_runs():
     every = [bytes(rng.integers(97, 99, rng.integers(0, 12)).astype(np.uint8)) for _ in range(400)]
     for k in (1, 2, 5, 7):
