@@ -9,6 +9,11 @@ the earliest occurrence (the others are known to repeat), so that a text with
 any number of copies sends one string per task. In its bucket every window is
 sorted with its equals, compared byte for byte and counted exactly.
 
+A seed that many documents hold (found in a bounded sample of documents, which
+decides the plan and not the result) ranks behind all others, so that a common
+phrase is the minimiser only of windows that hold nothing else: those lie in
+common passages, whose equal strings a map task has merged.
+
 Nulls and empty texts have no words; rows with fewer words than `width` keep
 all. Rows with equal ids count as one document when order is decided, so that
 repeats at equal positions in equal rows both stay. A null id sorts first.
@@ -27,12 +32,13 @@ from pyspark.sql import types as T
 
 from akshara.llm._bytes import blocks, merged, mix, pack, prefix_hash, released, sliding_min, span_hash, unpack, utf8, words
 from akshara.llm._frames import NO_ID, field, partitions, rowed, unrowed
+from akshara.llm._hot import HotValues, hot_values
 
 WIDTH, SEED = 20, 5
 #: Buckets that a reduce task works through one by one.
 PER_TASK = 8
 #: Bytes of packed strings that a map task holds before it sends them.
-HELD = 96 << 20
+HELD = 64 << 20
 SPANS = "doc long, key long, start int, stop int"
 BLOB = (np.int64, np.int64, np.int32, np.int32, bytes, np.int64, np.int64, np.int32, np.int32)
 
@@ -55,16 +61,32 @@ def normalised(buf: np.ndarray, start: np.ndarray, end: np.ndarray, offsets: np.
     return out[inside], at[start], at[end]
 
 
-def super_kmers(buf: np.ndarray, offsets: np.ndarray, width: int, seed: int):
-    """Runs of windows that share a minimiser: (row, first word in the row, bytes start, bytes end, minimiser) and the normalised bytes."""
+def seed_hashes(text: np.ndarray, s: np.ndarray, e: np.ndarray, seed: int) -> np.ndarray:
+    """63 bits of the hash of each seed of normalised bytes, whose words start at s and end at e."""
+    return span_hash(prefix_hash(text), s[: len(s) - seed + 1], e[seed - 1 :]) >> np.uint64(1)
+
+
+def seeds_of(seed: int):
+    """The seeds' hashes of one text."""
+
+    def values(buf: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+        start, end, _ = words(buf, offsets)
+        return seed_hashes(*normalised(buf, start, end, offsets), seed) if len(start) >= seed else np.zeros(0, np.uint64)
+
+    return values
+
+
+def super_kmers(buf: np.ndarray, offsets: np.ndarray, width: int, seed: int, hot: HotValues | None = None):
+    """Runs of windows that share a minimiser: (row, first word in the row, bytes start, bytes end, minimiser) and the normalised bytes; hot seeds rank last."""
     start, end, first = words(buf, offsets)
     text, s, e = normalised(buf, start, end, offsets)
     n = len(s) - width + 1
     none = np.zeros(0, np.int64)
     if n <= 0:
         return none, none, none, none, none.astype(np.uint64), text
-    prefix = prefix_hash(text)
-    grams = span_hash(prefix, s[: len(s) - seed + 1], e[seed - 1 :])
+    grams = seed_hashes(text, s, e, seed)
+    if hot is not None:
+        grams[hot.places(grams)] |= np.uint64(1 << 63)
     low = sliding_min(grams, width - seed + 1)
     row = np.searchsorted(first, np.arange(n), side="right") - 1
     valid = np.arange(n) + width <= first[row + 1]
@@ -105,22 +127,23 @@ def _send(held: dict, ties: list, gone: list, n_buckets: int, per_task: int) ->
         yield pa.RecordBatch.from_arrays([pa.array([k // per_task for k, _ in part], pa.int32()), pa.array([k for k, _ in part], pa.int32()), pa.array([b for _, b in part], pa.binary())], ["part", "bucket", "blob"])
 
 
-def _map(width: int, seed: int, n_buckets: int, per_task: int):
+def _map(width: int, seed: int, n_buckets: int, per_task: int, hot=None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[bytes, tuple] = {}
         ties: list[tuple] = []
         gone: list[tuple] = []
         size = 0
+        common = HotValues(hot.value) if hot is not None else None
         for batch in batches:
             ids, keys = pc.fill_null(batch.column("doc"), NO_ID).to_numpy(), batch.column("key").to_numpy()
             buf, offsets = utf8(batch.column("text"))
-            for i, j in blocks(offsets):
+            for i, j in blocks(offsets, 2 << 20):
                 part = offsets[i : j + 1] - offsets[i]
-                row, pos, a, b, low, text = super_kmers(buf[offsets[i] : offsets[j]], part, width, seed)
+                row, pos, a, b, low, text = super_kmers(buf[offsets[i] : offsets[j]], part, width, seed, common)
                 raw = text.tobytes()
                 docs, own = ids[i:j][row].tolist(), keys[i:j][row].tolist()
                 count = _count_words(text, a, b)
-                small = (low >> np.uint64(2)).astype(np.int64).tolist()
+                small = (mix(low) >> np.uint64(2)).astype(np.int64).tolist()
                 for d, k, p, x, y, v, n in zip(docs, own, pos.tolist(), a.tolist(), b.tolist(), small, count.tolist(), strict=True):
                     s = raw[x:y]
                     old = held.get(s)
@@ -256,7 +279,8 @@ def removed_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """The word spans [start, stop) of each row that repeated windows cover, by id and key (a hash of id and text)."""
     n = partitions(docs.sparkSession)
     rows = docs.select(field(id_col).cast("long").alias("doc"), document_key(docs, id_col, text_col).alias("key"), field(text_col).alias("text"))
-    packed = rows.mapInArrow(released(_map(width, seed, n * PER_TASK, PER_TASK)), "part int, bucket int, blob binary")
+    hot = hot_values(rows, seeds_of(seed), seed)
+    packed = rows.mapInArrow(released(_map(width, seed, n * PER_TASK, PER_TASK, hot)), "part int, bucket int, blob binary")
     return packed.repartitionById(n, F.col("part")).mapInArrow(released(_reduce(width)), SPANS)
 
 
