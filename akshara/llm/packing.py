@@ -16,6 +16,7 @@ separate documents.
 from __future__ import annotations
 
 import os
+import re
 import unicodedata
 from collections.abc import Iterator
 
@@ -27,24 +28,36 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from akshara.llm._bytes import blocks, released, utf8
+from akshara.llm._bytes import blocks, released, utf8, words
 from akshara.llm._frames import field
 
 CAPACITY, END_ID = 2048, 1
-#: Chunks between ASCII spaces whose ids a worker keeps, and the longest of them in characters.
-MEMO, MEMO_CHARS = 250_000, 48
+#: Words whose ids a worker keeps, and the longest of them in bytes.
+MEMO, MEMO_BYTES = 250_000, 48
 PIECE = T.StructType([T.StructField("doc_id", T.LongType()), *[T.StructField(c, T.LongType()) for c in ("start", "length", "doc_tokens", "sequence_id", "offset")], T.StructField("ids", T.BinaryType())])
 #: What ends a word's last token, and the words of a text as the vocabulary's tokenizer cuts them.
 WORD_END = "</w>"
+#: Classes of bytes: white space, letters, digits, other printable ASCII, and what only the whole tokenizer can treat.
+BLANK, LETTER, DIGIT, OTHER, HARD = range(5)
+CLASS = np.full(256, HARD, np.uint8)
+CLASS[0x21:0x7F] = OTHER
+CLASS[[0x20, 9, 10, 11, 12, 13]] = BLANK
+CLASS[0x30:0x3A] = DIGIT
+CLASS[0x41:0x5B] = CLASS[0x61:0x7B] = LETTER
+CLASS[[0x27, 0x3C]] = HARD  # contractions, and marks of special tokens
+LOWER = np.arange(256, dtype=np.uint8)
+LOWER[0x41:0x5B] += 32
+EASY = re.compile(rb"[a-z]+|[0-9]|[!-&(-/:;=-@\[-`{-~]+")
 WORDS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
 _tokenizers: dict[str, tuple] = {}
 
 
 def _tokenizer(name: str):
-    """The tokenizer of a file, or of a name among the public vocabularies, the ids of chunks seen so far, and which ids end a word."""
+    """The tokenizer of a file, or of a name among the public vocabularies, its model alone (for words that are cut already), the ids of words seen so far, and which ids end a word."""
     if name not in _tokenizers:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import WhitespaceSplit
 
         path = name
         if not os.path.exists(path):
@@ -54,51 +67,89 @@ def _tokenizer(name: str):
         tokenizer = Tokenizer.from_file(path)
         ends = np.zeros(tokenizer.get_vocab_size(), bool)
         ends[[i for t, i in tokenizer.get_vocab().items() if t.endswith(WORD_END)]] = True
-        _tokenizers[name] = (tokenizer, {}, ends)
+        bare = Tokenizer(tokenizer.model)
+        bare.pre_tokenizer = WhitespaceSplit()
+        _tokenizers[name] = (tokenizer, bare, {}, ends)
     return _tokenizers[name]
 
 
-def chunk_ids(chunks: list[str], tokenizer, ends: np.ndarray) -> dict[str, bytes]:
-    """Ids of each chunk: all are encoded as one text, which is cut after as many word ends as each chunk has words."""
-    plain = [c for c in chunks if "<|" not in c]
-    count = [len(WORDS.findall(unicodedata.normalize("NFC", c).lower())) for c in plain]
-    ids = np.array(tokenizer.encode_batch_fast([" ".join(plain)], add_special_tokens=False)[0].ids, "<u4")
+def cut_ids(texts: list[str], count: list[int], tokenizer, ends: np.ndarray) -> list[bytes] | None:
+    """Ids of each text: all are encoded as one, which is cut after as many word ends as each has words; None if that does not come out even."""
+    ids = np.array(tokenizer.encode_batch_fast([" ".join(texts)], add_special_tokens=False)[0].ids, "<u4")
     stops = np.flatnonzero(ends[ids]) + 1
-    out: dict[str, bytes] = {}
-    if ends.any() and len(stops) == sum(count) and min(count, default=1) > 0:
-        raw, at = ids.tobytes(), 0
-        for c, stop in zip(plain, stops[np.cumsum(count, dtype=np.int64) - 1].tolist() if plain else [], strict=True):
-            out[c] = raw[4 * at : 4 * stop]
-            at = stop
-    rest = [c for c in chunks if c not in out]
-    for c, e in zip(rest, tokenizer.encode_batch_fast(rest, add_special_tokens=False), strict=True):
-        out[c] = np.array(e.ids, "<u4").tobytes()
+    if not texts or min(count) < 1 or len(stops) != sum(count):
+        return None
+    raw, last = ids.tobytes(), (4 * stops[np.cumsum(count, dtype=np.int64) - 1]).tolist()
+    return [raw[a:b] for a, b in zip([0, *last], last, strict=False)]
+
+
+def word_ids(new: list[bytes], tokenizer, bare, ends: np.ndarray) -> dict[bytes, bytes]:
+    """Ids of words as split_words() cuts them."""
+    easy = [w for w in new if EASY.fullmatch(w)]
+    out = dict(zip(easy, cut_ids([w.decode() for w in easy], [1] * len(easy), bare, ends) or (), strict=False))
+    hard = [w for w in new if w not in out]
+    plain = [(w, w.decode()) for w in hard if b"<|" not in w]
+    found = cut_ids([t for _, t in plain], [len(WORDS.findall(unicodedata.normalize("NFC", t).lower())) for _, t in plain], tokenizer, ends)
+    out.update(zip((w for w, _ in plain), found or (), strict=False))
+    rest = [w for w in new if w not in out]
+    for w, e in zip(rest, tokenizer.encode_batch_fast([w.decode() for w in rest], add_special_tokens=False), strict=True):
+        out[w] = np.array(e.ids, "<u4").tobytes()
     return out
 
 
+def split_words(buf: np.ndarray, offsets: np.ndarray) -> tuple[pa.Array, np.ndarray]:
+    """The words of all rows as one binary array, and for each row the number of words before it.
+
+    Between white space, runs of ASCII letters (lower-cased), single digits and
+    runs of other signs are words, as the vocabulary's own rule has it; a run
+    between white space that holds an apostrophe, "<", a control or a byte
+    beyond ASCII stays whole and as it is.
+    """
+    kind = CLASS[buf]
+    start, end, _ = words(buf, offsets)
+    new = np.zeros(len(buf), bool)
+    new[1:] = (kind[1:] != kind[:-1]) | (kind[1:] == DIGIT)
+    solid = kind != BLANK
+    new &= solid
+    low = LOWER[buf]
+    before = np.zeros(len(buf) + 1, np.int32)
+    np.cumsum(kind == HARD, out=before[1:])
+    hard = np.flatnonzero(before[end] > before[start])
+    if len(hard):
+        edge = np.zeros(len(buf) + 1, np.int8)
+        edge[start[hard]] = 1
+        np.add.at(edge, end[hard], -1)
+        inside = np.cumsum(edge[:-1], dtype=np.int8).astype(bool)
+        new[inside] = False
+        low[inside] = buf[inside]
+    new[start] = True
+    first = np.flatnonzero(new)
+    np.cumsum(solid, out=before[1:])
+    at = np.append(before[first], before[-1]).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(first), [None, pa.py_buffer(at), pa.py_buffer(low[solid])]), np.searchsorted(first, offsets)
+
+
 def token_ids(texts: pa.Array, name: str) -> tuple[np.ndarray, np.ndarray]:
     """Ids of all texts (null: empty) as little-endian unsigned 32-bit numbers, and the texts' byte offsets there.
 
-    The vocabulary's tokens never hold white space, so a text's ids are those
-    of its chunks between ASCII spaces. Each distinct chunk is looked up once.
+    The vocabulary's tokens never cross a word, so a text's ids are those of
+    its words. Each distinct word of the texts is looked up once.
     """
-    tokenizer, memo, ends = _tokenizer(name)
-    lists = pc.ascii_split_whitespace(pc.fill_null(texts, ""))
-    chunks = lists.flatten().dictionary_encode()
-    distinct = chunks.dictionary.to_pylist()
-    new = [w for w in distinct if w and w not in memo]
-    for i in range(0, len(new), 4096):
-        memo.update(chunk_ids(new[i : i + 4096], tokenizer, ends))
-    memo[""] = b""
-    ids = pa.array([memo[w] for w in distinct], pa.large_binary()).take(chunks.indices)
-    # the first chunks seen stay: frequent ones come early, and nothing is worked out again for having been put out
+    tokenizer, bare, memo, ends = _tokenizer(name)
+    every, first = split_words(*utf8(texts))
+    coded = every.dictionary_encode()
+    distinct = coded.dictionary.to_pylist()
+    new = [w for w in distinct if w not in memo]
+    for i in range(0, len(new), 8192):
+        memo.update(word_ids(new[i : i + 8192], tokenizer, bare, ends))
+    ids = pa.array([memo[w] for w in distinct], pa.large_binary()).take(coded.indices)
+    # the first words seen stay: frequent ones come early, and nothing is worked out again for having been put out
     room = MEMO - (len(memo) - len(new))
     for w in new:
-        if len(w) > MEMO_CHARS or room <= 0:
+        if len(w) > MEMO_BYTES or room <= 0:
             del memo[w]
         else:
             room -= 1
-    first = np.append(0, np.cumsum(pc.list_value_length(lists).to_numpy(zero_copy_only=False)))
     if not len(ids):
         return np.zeros(0, np.uint8), first
     data = ids.buffers()[2]
