@@ -30,11 +30,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from akshara.llm._bytes import blocks, merged, mix, pack, prefix_hash, released, sliding_min, span_hash, unpack, utf8, words
+from akshara.llm._bytes import blocks, merged, mix, pack, parts, prefix_hash, released, sliding_min, span_hash, unpack, utf8, words
 from akshara.llm._frames import NO_ID, field, partitions, rowed, unrowed
 from akshara.llm._hot import HotValues, hot_values
 
-WIDTH, SEED = 20, 5
+WIDTH, SEED = 20, 3
 #: Buckets that a reduce task works through one by one.
 PER_TASK = 8
 #: Bytes of packed strings that a map task holds before it sends them.
@@ -137,7 +137,7 @@ def _map(width: int, seed: int, n_buckets: int, per_task: int, hot=None):
         for batch in batches:
             ids, keys = pc.fill_null(batch.column("doc"), NO_ID).to_numpy(), batch.column("key").to_numpy()
             buf, offsets = utf8(batch.column("text"))
-            for i, j in blocks(offsets, 2 << 20):
+            for i, j in blocks(offsets):
                 part = offsets[i : j + 1] - offsets[i]
                 row, pos, a, b, low, text = super_kmers(buf[offsets[i] : offsets[j]], part, width, seed, common)
                 raw = text.tobytes()
@@ -176,25 +176,30 @@ def repeated_windows(docs: np.ndarray, keys: np.ndarray, pos: np.ndarray, sizes:
     """(doc, key, start, stop) of the windows in a bucket's strings that also start earlier."""
     offsets = np.concatenate([[0], np.cumsum(sizes, dtype=np.int64)])
     buf = np.frombuffer(raw, np.uint8)
-    s, e, first = words(buf, offsets)
-    i = np.arange(max(0, len(s) - width + 1))
-    entry = np.searchsorted(first, i, side="right") - 1
-    i = i[i + width <= first[entry + 1]] if len(i) else i
-    if not len(i):
-        return [np.zeros(0, np.int64)] * 4
-    entry = np.searchsorted(first, i, side="right") - 1
-    a, b = s[i], e[i + width - 1]
-    h = span_hash(prefix_hash(buf), a, b)
+    found = []
+    for lo, hi in blocks(offsets):
+        s, e, first = words(buf[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])
+        i = np.arange(max(0, len(s) - width + 1))
+        own = np.searchsorted(first, i, side="right") - 1
+        valid = i + width <= first[own + 1] if len(i) else np.zeros(0, bool)
+        i, own = i[valid], own[valid]
+        h = span_hash(prefix_hash(buf[offsets[lo] : offsets[hi]]), s[i], e[i + width - 1])
+        found.append((h, s[i] + offsets[lo], e[i + width - 1] + offsets[lo], (own + lo).astype(np.int32), (i - first[own]).astype(np.int32)))
+    none = [np.zeros(0, np.int64)] * 4
+    if not found:
+        return none
+    h, a, b, entry, inner = (np.concatenate([x[k] for x in found]) for k in range(5))
+    del found
     order = np.argsort(h, kind="stable")
     same = h[order][1:] == h[order][:-1]
     alike = np.zeros(len(h), bool)
     alike[order[1:][same]] = alike[order[:-1][same]] = True
     w = np.flatnonzero(alike)
-    doc, at = docs[entry[w]], pos[entry[w]].astype(np.int64) + i[w] - first[entry[w]]
+    doc, at = docs[entry[w]], pos[entry[w]].astype(np.int64) + inner[w]
     order = np.lexsort((at, doc, h[w]))
     w, doc, at = w[order], doc[order], at[order]
     if not len(w):
-        return [np.zeros(0, np.int64)] * 4
+        return none
     new = np.ones(len(w), bool)
     new[1:] = h[w][1:] != h[w][:-1]
     lead = np.flatnonzero(new)[np.cumsum(new) - 1]
@@ -252,21 +257,20 @@ def span_lists(column: pa.Array, base: np.ndarray) -> tuple[np.ndarray, np.ndarr
 def _keep(text_col: str, n_text: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            row = batch.column("row")
-            buf, offsets = utf8(pc.struct_field(row, text_col))
-            start, end, first = words(buf, offsets)
-            a, b = span_lists(batch.column("spans"), first)
-            dropped = cover(a, b, len(start))
-            text, s, e = normalised(buf, start[~dropped], end[~dropped], offsets)
-            raw = text.tobytes()
-            kept = np.concatenate([[0], np.cumsum(~dropped)])[first]
-            edges = np.append(s, len(raw))
-            texts = []
-            for i in range(len(row)):
-                p, q = kept[i], kept[i + 1]
-                texts.append(raw[edges[p] : e[q - 1]] if q > p else b"")
-            n = np.diff(first)
-            yield pa.RecordBatch.from_arrays([row, pa.array(n, pa.int64()), pa.array(n - np.diff(kept), pa.int64()), pa.array(texts, pa.binary()).cast(pa.string())], ["row", "n_words", "n_removed", n_text])
+            for part, buf, offsets in parts(batch, pc.struct_field(batch.column("row"), text_col)):
+                start, end, first = words(buf, offsets)
+                a, b = span_lists(part.column("spans"), first)
+                dropped = cover(a, b, len(start))
+                text, s, e = normalised(buf, start[~dropped], end[~dropped], offsets)
+                raw = text.tobytes()
+                kept = np.concatenate([[0], np.cumsum(~dropped)])[first]
+                edges = np.append(s, len(raw))
+                texts = []
+                for i in range(len(part)):
+                    p, q = kept[i], kept[i + 1]
+                    texts.append(raw[edges[p] : e[q - 1]] if q > p else b"")
+                n = np.diff(first)
+                yield pa.RecordBatch.from_arrays([part.column("row"), pa.array(n, pa.int64()), pa.array(n - np.diff(kept), pa.int64()), pa.array(texts, pa.binary()).cast(pa.string())], ["row", "n_words", "n_removed", n_text])
 
     return run
 
