@@ -18,7 +18,9 @@ SPACE[[0x20, 9, 10, 11, 12, 13]] = True
 BASE = 0x9E3779B97F4A7C15
 INVERSE = pow(BASE, -1, 1 << 64)
 #: Bytes of text that are hashed at a time.
-BLOCK = 4 << 20
+BLOCK = 1 << 20
+#: Of zstd, for exchanges.
+LEVEL = 5
 _powers: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
 
@@ -45,6 +47,13 @@ def blocks(offsets: np.ndarray, size: int = BLOCK) -> Iterator[tuple[int, int]]:
         i = min(j, n)
 
 
+def parts(batch: pa.RecordBatch, texts: pa.Array) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
+    """The batch in slices of about BLOCK bytes of texts, each with the bytes and offsets of its own."""
+    buf, offsets = utf8(texts)
+    for i, j in blocks(offsets):
+        yield batch.slice(i, j - i), buf[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]
+
+
 def words(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Start and end of each word, and for each row the number of words before it."""
     solid = ~SPACE[buf]
@@ -108,12 +117,12 @@ def pack(*arrays: np.ndarray | bytes) -> bytes:
     raw = [a if isinstance(a, bytes) else np.ascontiguousarray(a).tobytes() for a in arrays]
     head = np.array([len(raw), *map(len, raw)], np.int64).tobytes()
     body = b"".join([head, *raw])
-    return np.int64(len(body)).tobytes() + pa.Codec("zstd", 3).compress(body, asbytes=True)
+    return np.int64(len(body)).tobytes() + pa.Codec("zstd", LEVEL).compress(body, asbytes=True)
 
 
 def unpack(blob: bytes, *kinds: type) -> list:
     """What pack() took; kinds: a dtype for each array, bytes for a string."""
-    body = pa.Codec("zstd", 3).decompress(blob[8:], int(np.frombuffer(blob[:8], np.int64)[0]), asbytes=True)
+    body = pa.Codec("zstd").decompress(blob[8:], int(np.frombuffer(blob[:8], np.int64)[0]), asbytes=True)
     n = int(np.frombuffer(body[:8], np.int64)[0])
     sizes = np.frombuffer(body[8 : 8 + 8 * n], np.int64)
     out, at = [], 8 + 8 * n

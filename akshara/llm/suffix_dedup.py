@@ -43,7 +43,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from akshara.llm._bytes import blocks, merged, mix, pack, prefix_hash, released, sliding_min, span_hash, unpack, utf8
+from akshara.llm._bytes import blocks, merged, mix, pack, parts, prefix_hash, released, sliding_min, span_hash, unpack, utf8
 from akshara.llm._frames import NO_ID, field, partitions, rowed, unrowed
 from akshara.llm._hot import HotValues, hot_values
 from akshara.llm.substring_dedup import SPANS, cover, document_key, span_lists
@@ -203,7 +203,7 @@ def _map(width: int, gram: int, n_buckets: int, per_task: int, hot=None):
         for batch in batches:
             ids, keys = pc.fill_null(batch.column("doc"), NO_ID).to_numpy(), batch.column("key").to_numpy()
             buf, offsets = utf8(batch.column("text"))
-            for i, j in blocks(offsets, 2 << 20):
+            for i, j in blocks(offsets):
                 raw = buf[offsets[i] : offsets[j]].tobytes()
                 part = offsets[i : j + 1] - offsets[i]
                 row, lo, end, anchor, h = contexts(buf[offsets[i] : offsets[j]], part, width, gram, common)
@@ -278,10 +278,10 @@ def _reduce(width: int, gram: int):
             for k, blob in zip(batch.column("bucket").to_pylist(), batch.column("blob").to_pylist(), strict=True):
                 blobs.setdefault(k, []).append(blob)
         for k in sorted(blobs):
-            parts = [unpack(x, *RUN) for x in blobs.pop(k)]
-            out = [[np.concatenate([p[c] for p in parts])] for c in range(9, 13)]
+            pieces = [unpack(x, *RUN) for x in blobs.pop(k)]
+            out = [[np.concatenate([p[c] for p in pieces])] for c in range(9, 13)]
             runs, lefts = [], []
-            for p in parts:
+            for p in pieces:
                 lcp = p[5].tolist()
                 runs.append((front_decode(lcp, p[6].tolist(), p[7]), lcp))
                 cut = np.concatenate([[0], np.cumsum(p[3], dtype=np.int64)]).tolist()
@@ -296,7 +296,7 @@ def _reduce(width: int, gram: int):
                 else:
                     before, after = [0], [0]
                 for (r, i), s, e in zip(group, before, after, strict=True):
-                    p = parts[r]
+                    p = pieces[r]
                     if p[4][i]:  # the whole context occurs twice
                         spans.append((p[0][i], p[1][i], p[2][i], p[2][i] + p[3][i] + p[6][i]))
                     elif e:
@@ -305,7 +305,7 @@ def _reduce(width: int, gram: int):
 
             for r, i, same in merge_runs(runs):
                 if same < gram:
-                    if len(group) > 1 or group and parts[group[0][0]][4][group[0][1]]:
+                    if len(group) > 1 or group and pieces[group[0][0]][4][group[0][1]]:
                         settle()
                     group.clear()
                     lcp.clear()
@@ -326,19 +326,18 @@ def _reduce(width: int, gram: int):
 def _keep(text_col: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            row = batch.column("row")
-            buf, offsets = utf8(pc.struct_field(row, text_col))
-            a, b = span_lists(batch.column("spans"), offsets[:-1])
-            gone = cover(a, b, len(buf))
-            edge = np.zeros(len(buf) + 1, bool)
-            edge[offsets] = True
-            opens = gone & (np.append(True, ~gone[:-1]) if len(gone) else gone)
-            opens |= gone & edge[:-1]
-            total = lambda x: np.diff(np.concatenate([[0], np.cumsum(x, dtype=np.int64)])[offsets])
-            kept = buf[~gone]
-            at = np.concatenate([[0], np.cumsum(total(~gone))]).astype(np.int32)
-            texts = pa.Array.from_buffers(pa.binary(), len(row), [None, pa.py_buffer(at.tobytes()), pa.py_buffer(kept.tobytes())])
-            yield pa.RecordBatch.from_arrays([row, pa.array(np.diff(offsets)), pa.array(total(gone)), pa.array(total(opens)), texts], ["row", "n_bytes", "n_removed", "n_spans", "kept_bytes"])
+            for part, buf, offsets in parts(batch, pc.struct_field(batch.column("row"), text_col)):
+                a, b = span_lists(part.column("spans"), offsets[:-1])
+                gone = cover(a, b, len(buf))
+                edge = np.zeros(len(buf) + 1, bool)
+                edge[offsets] = True
+                opens = gone & (np.append(True, ~gone[:-1]) if len(gone) else gone)
+                opens |= gone & edge[:-1]
+                total = lambda x: np.diff(np.concatenate([[0], np.cumsum(x, dtype=np.int64)])[offsets])
+                kept = buf[~gone]
+                at = np.concatenate([[0], np.cumsum(total(~gone))]).astype(np.int32)
+                texts = pa.Array.from_buffers(pa.binary(), len(part), [None, pa.py_buffer(at.tobytes()), pa.py_buffer(kept.tobytes())])
+                yield pa.RecordBatch.from_arrays([part.column("row"), pa.array(np.diff(offsets)), pa.array(total(gone)), pa.array(total(opens)), texts], ["row", "n_bytes", "n_removed", "n_spans", "kept_bytes"])
 
     return run
 
