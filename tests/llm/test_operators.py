@@ -168,6 +168,40 @@ def test_jaccard_components(docs, empty):
     assert sorted(str(r.doc_id) for r in kept.collect()) == sorted({str(c) for _, _, c in want})
 
 
+def components_by_force(sets):
+    root = np.arange(len(sets))
+    for i in range(len(sets)):
+        for j in range(i):
+            both = len(sets[i] & sets[j])
+            if sets[i] and 100 * both >= 80 * (len(sets[i]) + len(sets[j]) - both):
+                root[root == root[i]] = root[j]
+    low = {}
+    for i, r in enumerate(root.tolist()):
+        low.setdefault(r, i)
+    return [low[r] for r in root.tolist()]
+
+
+def edits(seed, groups, size, rows):
+    """Near copies of a few texts, most of them within reach of others."""
+    local = np.random.default_rng(seed)
+    base = [list(local.choice(VOCABULARY, size)) for _ in range(groups)]
+    texts = []
+    for _ in range(rows):
+        w = list(base[local.integers(groups)])
+        for _ in range(local.integers(0, 4)):
+            w[local.integers(len(w))] = str(local.choice(VOCABULARY))
+        texts.append(" ".join(w))
+    return texts
+
+
+@pytest.mark.parametrize("bits", [32, 3])
+def test_large_regions_are_divided_across_tasks(spark, bits):
+    texts = edits(4, 3, 60, 150) + edits(5, 1, 40, 60)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    got = jaccard_components(docs, cell=12, queries=8, bits=bits).collect()
+    assert [r.component_id for r in sorted(got)] == components_by_force([shingles(t) for t in texts])
+
+
 def test_near_duplicates_keep_unlinked_rows_of_one_id(spark):
     texts = [prose(40) for _ in range(5)]
     rows = [(None, texts[0]), (None, texts[1]), (None, texts[0] + " tail"), (5, texts[2]), (5, texts[3]), (6, texts[3] + " tail"), (7, texts[4]), (8, ""), (None, ""), (None, None)]
