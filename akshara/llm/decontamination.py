@@ -22,6 +22,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from akshara.llm._frames import NO_ID, checkpointed, field, let
 
@@ -30,6 +31,8 @@ WINDOW, LEAST, SHARE = 8, 5, 0.5
 LITERAL = 0.5
 #: Benchmark windows up to which they are broadcast; beyond that the join shuffles.
 BROADCAST_WINDOWS = 500_000
+#: Added to the size of windows that are matched by their own words.
+EXACT = 1 << 16
 UNITS = ("mm", "cm", "m", "km", "mg", "g", "kg", "ml", "l", "inch", "inches", "foot", "feet", "mile", "miles", "second", "seconds", "minute", "minutes", "hour", "hours", "day", "days", "week", "weeks", "month", "months", "year", "years", "cent", "cents", "dollar", "dollars", "euro", "euros", "percent", "degrees", "meter", "meters", "litre", "litres", "gram", "grams", "pound", "pounds", "ounce", "ounces", "ton", "tons")
 #: Private-use characters: before a name, before a capitalised word that opens a sentence, inside a number, and the placeholders.
 MARK, OPENS, POINT, NAME, NUMBER, UNIT = "\ue000", "\ue004", "\ue005", "\ue001", "\ue002", "\ue003"
@@ -70,11 +73,16 @@ def split(text: Column) -> Column:
     return F.filter(F.split(text, " "), lambda x: x != "")
 
 
-def windows(df: DataFrame, keep: list[str], sizes: list[int]) -> DataFrame:
-    """df's keep and every: size, place and hash of each of a text's windows, in both forms where these differ; df has marked."""
+def windows(df: DataFrame, keep: list[str], sizes: list[int], least: int = LEAST) -> DataFrame:
+    """df's keep and every: size, place and hash of each of a text's windows, in both forms where these differ; df has marked.
+
+    sizes as item_windows() gives them: beyond EXACT for windows of a text's own
+    words, below 0 for whole short texts.
+    """
     none = F.array().cast("array<int>")
 
-    def of_size(words: Column, size: int, opens: Column | None) -> Column:
+    def of_size(words: Column, code: int, opens: Column | None) -> Column:
+        size = code % EXACT
         last = F.size(words) - size + 1
         if opens is None:
             at = F.sequence(F.lit(1), last)
@@ -82,10 +90,14 @@ def windows(df: DataFrame, keep: list[str], sizes: list[int]) -> DataFrame:
             at = F.filter(opens, lambda p: p - size + 1 <= last)
             at = F.array_distinct(F.flatten(F.transform(at, lambda p: F.sequence(F.greatest(p - size + 1, F.lit(1)), F.least(p, last)))))
         at = F.when(last >= 1, at).otherwise(none)
-        return F.transform(at, lambda i: F.struct(F.lit(size).alias("size"), i.alias("pos"), F.xxhash64(F.slice(words, i, F.lit(size))).alias("hash")))
+        return F.transform(at, lambda i: F.struct(F.lit(code).alias("size"), i.alias("pos"), F.xxhash64(F.slice(words, i, F.lit(size))).alias("hash")))
 
     def of(x: Column) -> Column:
-        parts = [p for size in sizes for p in (of_size(x["one"], size, None), of_size(x["two"], size, x["opens"]))]
+        parts = [p for size in sizes if 0 < size < EXACT for p in (of_size(x["one"], size, None), of_size(x["two"], size, x["opens"]))]
+        parts += [of_size(values(text), size, None) for size in sizes if size > EXACT]
+        if min(sizes) < 0:
+            whole = F.array(F.struct((-F.size(x["one"])).alias("size"), F.lit(1).alias("pos"), F.xxhash64(values(text)).alias("hash")))
+            parts.append(F.filter(whole, lambda y: y["size"] > -least))
         return F.concat(*parts)
 
     text = F.col("marked")
@@ -104,14 +116,20 @@ def item_windows(benchmark: DataFrame, item_col: str, text_col: str, window: int
     rows = benchmark.select(field(item_col).cast("long").alias("item_id"), marked(field(text_col)).alias("marked"))
     forms = [F.struct(split(canonical(F.col("marked"), bool(i))).alias("words"), F.lit(i).alias("form")) for i in (0, 1)]
     rows = rows.select("item_id", values(F.col("marked")).alias("values"), openings(F.col("marked")).alias("opens"), F.explode(F.array(*forms)).alias("x"))
-    rows = rows.select("item_id", "values", "opens", "x.words", "x.form").where(F.size("words") >= least)
-    rows = rows.withColumn("size", F.least(F.size("words"), F.lit(window)))
+    every = rows.select("item_id", "values", "opens", "x.words", "x.form").where(F.size("words") > 0)
+    rows = every.where(F.size("words") >= least).withColumn("size", F.least(F.size("words"), F.lit(window)))
     rows = rows.select("item_id", "words", "values", "size", "opens", "form", F.explode(F.sequence(F.lit(1), F.size("words") - F.col("size") + 1)).alias("item_pos"))
     # a window that no word opens is the same in both forms
     opened = F.exists("opens", lambda p: (p >= F.col("item_pos")) & (p < F.col("item_pos") + F.col("size")))
     rows = rows.withColumn("forms", F.when(opened, F.array("form")).otherwise(F.array(F.lit(0), F.lit(1)))).where(opened | (F.col("form") == 0))
-    rows = rows.select("item_id", "size", "item_pos", "forms", F.xxhash64(F.slice("words", F.col("item_pos"), F.col("size"))).alias("hash"), slots(F.col("item_pos"), F.col("size")).alias("item_slots"))
-    return rows.where(F.size("item_slots") <= F.col("size") * (1 - LITERAL))
+    rows = rows.select("item_id", "size", "item_pos", "forms", F.xxhash64(F.slice("words", F.col("item_pos"), F.col("size"))).alias("hash"), slots(F.col("item_pos"), F.col("size")).alias("item_slots"), F.slice("values", F.col("item_pos"), F.col("size")).alias("own"))
+    rows = rows.withColumn("enough", F.size("item_slots") <= F.col("size") * (1 - LITERAL)).withColumn("some", F.max("enough").over(Window.partitionBy("item_id")))
+    none = F.lit(None).cast(rows.schema["item_slots"].dataType)
+    exact = lambda size, words: [size.alias("size"), F.col("item_pos"), F.array(F.lit(0)).alias("forms"), F.xxhash64(words).alias("hash"), F.coalesce(none, F.filter(F.array(F.struct(F.lit(0).alias("at"), F.lit("").alias("v"))), lambda x: F.lit(False))).alias("item_slots")]
+    rare = rows.where(~F.col("some")).select("item_id", *exact(F.col("size") + EXACT, F.col("own"))).dropDuplicates(["item_id", "item_pos"])
+    short = every.where((F.size("words") < least) & (F.col("form") == 0)).withColumn("item_pos", F.lit(1)).select("item_id", *exact(-F.size("words"), F.col("values")))
+    usual = rows.where("enough").select("item_id", "size", "item_pos", "forms", "hash", "item_slots")
+    return usual.unionByName(rare).unionByName(short)
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW, share: float = SHARE, least: int = LEAST) -> DataFrame:
@@ -122,7 +140,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     if facts.n <= BROADCAST_WINDOWS:
         items, total = F.broadcast(items), F.broadcast(total)
     rows = docs.select(field(id_col).cast("long").alias("doc_id"), F.xxhash64(field(id_col), field(text_col)).alias("key"), marked(field(text_col)).alias("marked"))
-    found = windows(rows, ["doc_id", "key"], sorted(facts.sizes) or [window])
+    found = windows(rows, ["doc_id", "key"], sorted(facts.sizes) or [window], least)
     # hashes alone are exploded; the words of a matched window are cut out by its place afterwards
     hits = found.select("doc_id", "key", F.explode_outer("every").alias("w")).select("doc_id", "key", "w.size", "w.pos", "w.hash")
     hits = checkpointed(hits.join(items, ["size", "hash"]).select("doc_id", "key", "item_id", "size", "pos", "item_pos", "forms", "item_slots"))
