@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -32,13 +34,24 @@ def partitions(spark: SparkSession) -> int:
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """df cut from its lineage in the shared folder of spark.checkpoint.dir; a folder is set only where there is none, as in tests."""
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir", "/tmp/checkpoints"))
+    """df cut from its lineage in the shared folder of spark.checkpoint.dir."""
+    shared_root(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
+def shared_root(spark: SparkSession) -> str:
+    """The folder that driver and executors share: the session's checkpoint folder or spark.checkpoint.dir. Only where Spark runs in one process is there another choice."""
+    context = spark.sparkContext
+    if context.getCheckpointDir() is None:
+        folder = context.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+        if folder is None:
+            if not context.master.startswith("local"):
+                raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+            folder = f"{tempfile.gettempdir()}/checkpoints"
+        context.setCheckpointDir(folder)
+    return context.getCheckpointDir()
+
+
 def let(value: Column, then) -> Column:
     """then(value), with value computed once a row even where then uses it inside lambdas."""
     return F.get(F.transform(F.array(value), then), F.lit(0))

@@ -288,6 +288,16 @@ def removed_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     return packed.repartitionById(n, F.col("part")).mapInArrow(released(_reduce(width)), SPANS)
 
 
+def _judged(docs: DataFrame, id_col: str, text_col: str, width: int, seed: int) -> DataFrame:
+    """The rows of docs as one struct, n_words, n_removed and kept_text."""
+    spans = removed_spans(docs, id_col, text_col, width, seed)
+    spans = spans.groupBy("doc", "key").agg(F.collect_list(F.struct("start", "stop")).alias("spans"))
+    rows = rowed(docs, doc=F.coalesce(field(id_col).cast("long"), F.lit(NO_ID)), key=document_key(docs, id_col, text_col))
+    joined = rows.join(spans, ["doc", "key"], "left").select("row", "spans")
+    schema = T.StructType([joined.schema["row"], T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("kept_text", T.StringType())])
+    return joined.mapInArrow(released(_keep(text_col, "kept_text")), schema)
+
+
 def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, seed: int = SEED) -> DataFrame:
     """All columns of docs and n_words, n_removed and kept_text: the words that no repeated window covers, joined by one space.
 
@@ -295,9 +305,12 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     or same id and an earlier start); all are judged on the input. A null text
     is kept as an empty one. New columns replace old ones of their names.
     """
-    spans = removed_spans(docs, id_col, text_col, width, seed)
-    spans = spans.groupBy("doc", "key").agg(F.collect_list(F.struct("start", "stop")).alias("spans"))
-    rows = rowed(docs, doc=F.coalesce(field(id_col).cast("long"), F.lit(NO_ID)), key=document_key(docs, id_col, text_col))
-    joined = rows.join(spans, ["doc", "key"], "left").select("row", "spans")
-    schema = T.StructType([joined.schema["row"], T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("kept_text", T.StringType())])
-    return unrowed(joined.mapInArrow(released(_keep(text_col, "kept_text")), schema), docs.columns, ["n_words", "n_removed", "kept_text"])
+    return unrowed(_judged(docs, id_col, text_col, width, seed), docs.columns, ["n_words", "n_removed", "kept_text"])
+
+
+def repeats_removed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length_col: str = "n_chars", width: int = WIDTH, seed: int = SEED) -> DataFrame:
+    """docs with the kept words as the text of rows that lose words, and its code points in length_col, where there is one; all else as it was."""
+    out = _judged(docs, id_col, text_col, width, seed)
+    own = lambda c: F.col("row").getField(c)
+    new = {text_col: F.col("kept_text"), length_col: F.char_length("kept_text").cast("long")}
+    return out.select(*[(F.when(F.col("n_removed") == 0, own(c)).otherwise(new[c]) if c in new else own(c)).alias(c) for c in docs.columns])

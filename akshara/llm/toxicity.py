@@ -248,11 +248,12 @@ def calibrated(x: np.ndarray, y: np.ndarray, rounds: int = 50) -> tuple[float, f
 
 
 def train_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample: dict[int, int] | None = None) -> Machine:
-    """A machine trained on a bounded sample of the labelled rows; labels has id_col and label_col, the largest label of an id counts."""
+    """A machine trained on a bounded sample of the labelled rows; labels has id_col and label_col, the largest label of an id counts, and of rows with one id the smallest text."""
     marks = labels.where(field(id_col).isNotNull() & field(label_col).isNotNull()).groupBy(field(id_col).alias("id")).agg(F.max(field(label_col).cast("int")).alias("label"))
     parts = [marks.where(F.col("label") == k).orderBy(F.xxhash64("id"), "id").limit(n) for k, n in (sample or SAMPLE).items()]
     few = F.broadcast(parts[0].unionByName(parts[1]))
-    rows = docs.join(few, field(id_col) == few["id"]).select("id", "label", field(text_col).alias("text")).where("text is not null").collect()
+    rows = docs.select(field(id_col).alias("__id"), field(text_col).alias("__text")).where("__text is not null").join(few, F.col("__id") == few["id"])
+    rows = rows.groupBy("id", "label").agg(F.min("__text").alias("text")).collect()
     rows.sort(key=lambda r: (r.id, r.text))
     return train_machine([r.text.encode() for r in rows], np.array([r.label for r in rows], np.int64))
 
@@ -272,3 +273,10 @@ def score_toxicity(docs: DataFrame, machine: Machine, text_col: str = "text") ->
     rows = rowed(docs)
     out = rows.mapInArrow(released(_score(machine, text_col)), T.StructType([rows.schema["row"], T.StructField("score", T.DoubleType())]))
     return unrowed(out.withColumn("predicted", (F.col("score") >= 0.5).cast("int")), docs.columns, ["score", "predicted"])
+
+
+def nontoxic(docs: DataFrame, machine: Machine, text_col: str = "text") -> DataFrame:
+    """docs whose score is below 0.5, with their columns as they were."""
+    rows = rowed(docs)
+    out = rows.mapInArrow(released(_score(machine, text_col)), T.StructType([rows.schema["row"], T.StructField("score", T.DoubleType())]))
+    return unrowed(out.where("score < 0.5"), docs.columns, [])

@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from akshara.llm._bytes import utf8
-from akshara.llm._frames import NO_ID, field, partitions
+from akshara.llm._frames import NO_ID, field, partitions, shared_root
 
 ROLL_BYTES, LEAST_BYTES = 32 << 20, 0
 #: Ids of the sample from which a shard's bounds are taken.
@@ -48,7 +48,7 @@ RECORD = T.StructType([T.StructField("id", T.LongType()), T.StructField("url", T
 
 def shared_folder(spark: SparkSession, name: str) -> str:
     """A new folder below the one that all executors share."""
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", "/tmp/checkpoints")
+    base = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None) or shared_root(spark)
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
