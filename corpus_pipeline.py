@@ -17,8 +17,8 @@ from pyspark.sql import functions as F
 from akshara.llm.decontamination import decontaminate
 from akshara.llm.jaccard_join import near_duplicates_removed
 from akshara.llm.packing import pack_documents
-from akshara.llm.substring_dedup import substring_dedup
-from akshara.llm.toxicity import score_toxicity, train_toxicity
+from akshara.llm.substring_dedup import repeats_removed
+from akshara.llm.toxicity import nontoxic, train_toxicity
 from akshara.llm.warc import shared_folder
 
 ORACLE_SQL = None
@@ -27,7 +27,7 @@ ORACLE_SQL = None
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose toxicity score is below 0.5; the machine learns from labels of documents."""
     machine = train_toxicity(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return score_toxicity(docs, machine).where("predicted = 0").select(docs.columns)
+    return nontoxic(docs, machine)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -37,10 +37,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def repeated_windows(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the words of windows that start earlier; a text that loses nothing stays as it is."""
-    out = substring_dedup(docs)
-    text = F.when(F.col("n_removed") == 0, F.col("text")).otherwise(F.col("kept_text"))
-    changed = {"text": text, "n_chars": F.when(F.col("n_removed") == 0, F.col("n_chars")).otherwise(F.char_length("kept_text").cast("long"))}
-    return out.select(*[changed.get(c, F.col(c)).alias(c) for c in docs.columns])
+    return repeats_removed(docs)
 
 
 def benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
