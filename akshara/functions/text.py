@@ -54,9 +54,20 @@ def title_words(title: Column) -> Column:
     return F.when(has_devanagari(title), mixed).otherwise(F.array_distinct(latin))
 
 
-def normal_key(text: Column, full: bool = True) -> Column:
-    """Lower case, letters a-z, digits, Devanagari and single spaces."""
-    return F.trim(F.regexp_replace(F.regexp_replace(F.lower(normalized(text, full)), f"[^a-z0-9{DEVANAGARI}\\s\\p{{Z}}]", ""), WHITE, " "))
+#: Letters that NFC joins with a combining mark into a letter beyond a-z, and their marks.
+JOINED = {c: "".join(chr(m) for m in range(0x300, 0x370) if len(unicodedata.normalize("NFC", c + chr(m))) == 1) for c in "abcdefghijklmnopqrstuvwxyz"}
+
+
+def normal_key(text: Column) -> Column:
+    """Lower case, letters a-z, digits, Devanagari and single spaces, of text in NFC.
+
+    A Latin letter that NFC would join with a mark after it goes with its marks,
+    as the joined letter would; so no function outside the JVM is needed.
+    """
+    out = F.lower(normalized(text))
+    joined = "|".join(f"{c}\\p{{M}}*?[{marks}]" for c, marks in JOINED.items() if marks)
+    out = F.regexp_replace(out, joined, "")
+    return F.trim(F.regexp_replace(F.regexp_replace(out, f"[^a-z0-9{DEVANAGARI}\\s\\p{{Z}}]", ""), WHITE, " "))
 
 
 def light_stem(word: Column) -> Column:
@@ -65,7 +76,8 @@ def light_stem(word: Column) -> Column:
     for suffix in reversed(L.SUFFIXES):
         n = len(suffix)
         out = F.when(word.endswith(suffix) & (F.length(word) >= n + 2), F.left(word, F.length(word) - n)).otherwise(out)
-    return F.regexp_replace(out, f"^(.{{2}}.*?)[{L.MATRAS}]+$", "$1")
+    # a word of Latin letters, which sort before all others, stays as it is
+    return F.when(word >= F.lit("\u0900"), F.regexp_replace(out, f"^(.{{2}}.*?)[{L.MATRAS}]+$", "$1")).otherwise(word)
 
 
 def story_key(title: Column) -> Column:
@@ -108,7 +120,7 @@ def percent(part: Column, whole: Column) -> Column:
 
 def parsed_date(value: Column) -> Column:
     """The date of a text in one of the accepted forms or an ISO timestamp, else null."""
-    text = F.trim(value)
+    text = F.regexp_replace(value, r"^[\s\p{Z}]+|[\s\p{Z}]+$", "")
     text = F.when(text.rlike(r"^[0-9]{4}-[0-9]{2}-[0-9]{2}[T ]"), F.left(text, F.lit(10))).otherwise(text)
     return F.coalesce(*[F.try_to_date(text, f) for f in L.DATE_FORMATS])
 
@@ -124,11 +136,12 @@ def in_window(day: Column, first: str | None, last: str | None) -> Column:
 
 
 def url_key(url: Column) -> Column:
-    """Host without www., path without trailing slashes, sorted query without utm_ parameters; no scheme or fragment."""
+    """Host without www., path without trailing slashes, sorted query without utm_ parameters; no scheme, fragment or ;parameters of the last path segment."""
     bare = F.regexp_replace(F.coalesce(url, F.lit("")), "#.*$", "")
     rest = F.regexp_replace(bare, "^[A-Za-z][A-Za-z0-9+.-]*://", "")
     host = F.regexp_replace(F.lower(F.regexp_extract(rest, "^([^/?]*)", 1)), r"^www\.", "")
-    path = F.regexp_replace(F.regexp_extract(rest, "^[^/?]*([^?]*)", 1), "/+$", "")
+    path = F.regexp_replace(F.regexp_extract(rest, "^[^/?]*([^?]*)", 1), ";[^/]*$", "")
+    path = F.regexp_replace(path, "/+$", "")
     query = F.filter(F.split(F.regexp_extract(rest, r"^[^?]*\?(.*)$", 1), "&"), lambda p: (p != "") & ~F.lower(p).startswith("utm_"))
     return F.concat(host, path, F.when(F.size(query) > 0, F.concat(F.lit("?"), F.array_join(F.array_sort(query), "&"))).otherwise(F.lit("")))
 
@@ -160,18 +173,36 @@ def band(value: Column, good: int, fair: int, lower_is_better: bool = False) ->
     return F.when(value.isNull(), "none").when(first, "ok").when(second, "warn").otherwise("err")
 
 
+def word_grams(text: Column, n: int = 4) -> Column:
+    """Hashes of the distinct word n-grams of a text, in no order."""
+    w = F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(f"[a-z{DEVANAGARI}]{{2,}}"), F.lit(0))
+    every = lambda w: F.when(F.size(w) < n, F.array().cast("array<bigint>")).otherwise(F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.size(w) - n + 1, F.lit(1))), lambda i: F.xxhash64(F.slice(w, i, F.lit(n))))))
+    return F.get(F.transform(F.array(w), every), F.lit(0))
+
+
+def gram_share(source: Column, story: Column) -> Column:
+    """Percentage of the story's grams that the source has, 0 of none."""
+    return F.coalesce(percent(F.size(F.array_intersect(source, story)), F.size(story)), F.lit(0))
+
+
 def copied_share(source: Column, story: Column) -> Column:
     """Percentage of the story's distinct word 4-grams that the source has; 0 for texts too short to compare."""
+    pair = F.array(F.struct(word_grams(source).alias("a"), word_grams(story).alias("b")))
+    share = F.get(F.transform(pair, lambda p: gram_share(p["a"], p["b"])), F.lit(0))
+    short = (F.length(F.coalesce(source, F.lit(""))) < 30) | (F.length(F.coalesce(story, F.lit(""))) < 30)
+    return F.when(short, F.lit(0)).otherwise(share)
 
-    def grams(text: Column) -> Column:
-        w = F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(f"[a-z{DEVANAGARI}]{{2,}}"), F.lit(0))
-        every = lambda w: F.when(F.size(w) < 4, F.array().cast("array<string>")).otherwise(F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.size(w) - 3, F.lit(1))), lambda i: F.array_join(F.slice(w, i, F.lit(4)), " "))))
-        return F.get(F.transform(F.array(w), every), F.lit(0))
 
-    pair = F.array(F.struct(grams(source).alias("a"), grams(story).alias("b")))
-    share = F.get(F.transform(pair, lambda p: percent(F.size(F.array_intersect(p["a"], p["b"])), F.size(p["b"]))), F.lit(0))
-    short = (F.length(F.coalesce(source, F.lit(""))) < 30) | (F.length(F.coalesce(story, F.lit(""))) < 30)
-    return F.when(short, F.lit(0)).otherwise(F.coalesce(share, F.lit(0)))
+# They must be these for equal results.
+SOURCE_SUFFIXES = (r"(?i)\s*\(RSB Hindi\)$", r"(?i)\s+Indian Railways$", r"(?i)\s+Press Releases?$")
+
+
+def short_source(name: Column) -> Column:
+    """A source's name without suffixes that every row repeats; the name itself where nothing else is left."""
+    out = F.coalesce(name, F.lit(""))
+    for suffix in SOURCE_SUFFIXES:
+        out = F.regexp_replace(out, suffix, "")
+    return F.coalesce(F.nullif(F.trim(out), F.lit("")), name, F.lit(""))
 
 
 def article_key(link: Column, title: Column, source: Column, date: Column) -> Column:

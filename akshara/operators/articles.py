@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -74,54 +76,98 @@ def gates(df: DataFrame, title: str, body: str, story: str, off_topic: Column) -
     n = F.size("numbers_unsupported")
     imprecise = F.coalesce(F.col("number_precision") < 90, F.lit(False))
     ceiling = F.least(F.lit(100), F.when(off_topic | degenerate, 0), F.when(short, 20), F.when(imprecise, F.greatest(F.lit(0), 100 - 15 * n)))
-    failures = F.array(F.when(off_topic, "off-topic source"), F.when(short, "source body under 300 chars"), F.when(degenerate, "degenerate story"), F.when(imprecise, F.format_string("%d%% numeric precision, %d unsupported", F.col("number_precision"), n)))
+    failures = F.array(F.when(off_topic, "off-topic source (no railway content)"), F.when(short, "source body under 300 chars"), F.when(degenerate, "degenerate story"), F.when(imprecise, F.format_string("%d%% numeric precision — %d unsupported figure(s)", F.col("number_precision"), n)))
     failures = F.filter(failures, lambda x: x.isNotNull())
     return df.withColumns({"grounding_ceiling": ceiling, "gate_failures": failures, "gates_passed": F.size(failures) == 0})
 
 
 def story_edges(df: DataFrame, idx: str, words: str, threshold: float) -> DataFrame:
-    """Pairs a < b whose word sets have a Jaccard similarity of threshold or more; pairs without a common word are never formed."""
+    """Pairs a < b whose word sets have a Jaccard similarity of threshold or more.
+
+    Two such sets share one of the first n - ceil(threshold n) + 1 words of each
+    in one order of all words, the rarest first; so only those are joined, and a
+    frequent word forms pairs only where a title has no other. Pairs are then
+    tested on their whole sets.
+    """
     rows = df.select(F.col(idx).alias("i"), F.col(words).alias("w")).where(F.size("w") > 0)
-    long = rows.select("i", F.size("w").alias("n"), F.explode("w").alias("t"))
-    other = long.select(F.col("i").alias("j"), F.col("n").alias("m"), "t")
-    both = long.join(other, "t").where("i < j").groupBy("i", "j", "n", "m").agg(F.count("*").alias("k"))
-    return both.where(F.col("k") >= F.lit(threshold) * (F.col("n") + F.col("m") - F.col("k"))).select(F.col("i").alias("a"), F.col("j").alias("b"))
+    long = rows.select("i", "w", F.explode("w").alias("t"))
+    often = long.groupBy("t").agg(F.count("*").alias("f"))
+    ranked = long.join(often, "t").groupBy("i").agg(F.first("w").alias("w"), F.array_sort(F.collect_list(F.struct("f", "t"))).alias("order"))
+    kept = F.size("w") - F.ceil(F.size("w") * F.lit(threshold) - 1e-9).cast("int") + 1
+    first = ranked.select("i", "w", F.explode(F.slice("order", F.lit(1), kept)).alias("x")).select("i", "w", "x.t")
+    other = first.select(F.col("i").alias("j"), F.col("w").alias("v"), "t")
+    n, m, k = F.size("w"), F.size("v"), F.size(F.array_intersect("w", "v"))
+    near = (F.least(n, m) >= F.lit(threshold) * F.greatest(n, m) - 1e-9) & (k >= F.lit(threshold) * (n + m - k))
+    return first.join(other, "t").where(F.col("i") < F.col("j")).where(near).select(F.col("i").alias("a"), F.col("j").alias("b")).distinct()
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
+    """df cut from its lineage in the folder of spark.checkpoint.dir; only a Spark of one process may do without that setting."""
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir", "/tmp/checkpoints"))
+        folder = context.getConf().get("spark.checkpoint.dir") or df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if folder is None and not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        context.setCheckpointDir(folder or f"{tempfile.gettempdir()}/checkpoints")
     return df.checkpoint(eager=True)
 
 
 def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """node and cluster, the smallest node reachable: single linkage by spreading the smallest label, with pointer jumping."""
-    both = checkpointed(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))))
-    now = checkpointed(nodes.select(F.col(nodes.columns[0]).alias("node")).withColumn("cluster", F.col("node")))
+    """node and cluster, the smallest node reachable: single linkage by alternating stars.
+
+    Each round ties every node to the smallest neighbour it knows, first its
+    larger neighbours, then its smaller ones; minima combine before a shuffle, so
+    a large cluster is no hot group.
+    """
+    now = checkpointed(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct())
+    state = None
     while True:
-        low = both.join(now, both.b == now.node).groupBy("a").agg(F.min("cluster").alias("low"))
-        new = now.join(low, now.node == low.a, "left").select("node", F.least("cluster", "low").alias("next"), F.col("cluster").alias("old"))
-        jump = new.select(F.col("node").alias("k"), F.col("next").alias("far"))
-        new = checkpointed(new.join(jump, F.col("next") == F.col("k")).select("node", F.col("far").alias("cluster"), (F.col("far") != F.col("old")).alias("moved")))
-        now = new.select("node", "cluster")
-        if new.where("moved").isEmpty():
-            return now
+        both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        low = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("low"))
+        large = both.join(low, "a").where("b > a").select(F.col("b").alias("a"), F.col("low").alias("b")).where("a <> b").distinct()
+        low = large.groupBy("a").agg(F.min("b").alias("low"))
+        small = large.join(low, "a").where("b <> low").select(F.col("b").alias("a"), F.col("low").alias("b"))
+        now = checkpointed(small.unionByName(low.select("a", F.col("low").alias("b"))).distinct())
+        seen = now.agg(F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("s")).first()
+        if state == (seen.n, seen.s):
+            break
+        state = (seen.n, seen.s)
+    return nodes.select(F.col(nodes.columns[0]).alias("node")).join(now, F.col("node") == F.col("a"), "left").select("node", F.coalesce("b", "node").alias("cluster"))
 
 
 def merged_bodies(df: DataFrame, cluster: str, idx: str, source: str, date: str, body: str, most: int = 6000) -> DataFrame:
-    """One body per cluster: each member under a header, cut to an even share of the budget at a blank line where one is late enough."""
-    rows = df.withColumn("__n", F.count("*").over(Window.partitionBy(cluster)))
+    """One row per cluster as input of a report: cluster, lead, body, cluster_size, cluster_trimmed, cluster_sources, cluster_links and cluster_titles.
+
+    The longest body leads, equal ones by idx. Members stand under headers, each
+    cut to an even share of the budget at a blank line where one is late enough.
+    A cluster of one keeps its body as it is. Columns link and title are used
+    where df has them; missing sources are "unknown", in clusters of one "".
+    """
+    text = lambda c: F.coalesce(F.col(c), F.lit("")) if c in df.columns else F.lit("")
+    # members meet in one array per cluster, which the budget needs at once; sizes are counted first so that a share is known before bodies travel
+    sizes = df.groupBy(cluster).agg(F.count("*").alias("__n"))
+    rows = df.join(sizes, cluster)
     share = F.greatest(F.lit(400), F.floor((F.lit(most) - F.col("__n") * 60) / F.col("__n")).cast("int"))
-    text = F.regexp_replace(F.coalesce(F.col(body), F.lit("")), r"^[\s\p{Z}]+|[\s\p{Z}]+$", "")
-    rows = rows.withColumns({"__s": share, "__t": text})
+    rows = rows.withColumns({"__s": share, "__t": F.regexp_replace(text(body), r"^[\s\p{Z}]+|[\s\p{Z}]+$", "")})
     head = F.left(F.col("__t"), F.col("__s"))
     back = F.instr(F.reverse(head), "\n\n")
     cut = F.when(back > 0, F.col("__s") - back - 1)
     cut = F.when(cut > F.floor(F.col("__s") / 2), cut).otherwise(F.col("__s"))
     long = F.length("__t") > F.col("__s")
     part = F.when(long, F.concat(F.regexp_replace(F.left(F.col("__t"), cut.cast("int")), r"[\s\p{Z}]+$", ""), F.lit(" […]"))).otherwise(F.col("__t"))
-    head = F.concat(F.lit("["), F.coalesce(F.nullif(F.col(source), F.lit("")), F.lit("unknown")), F.lit(" — "), F.coalesce(F.nullif(F.col(date), F.lit("")), F.lit("no date")), F.lit("]\n"))
-    rows = rows.withColumn("__p", F.when(F.col("__n") > 1, F.concat(head, part)).otherwise(F.col(body)))
-    out = rows.groupBy(cluster).agg(F.array_sort(F.collect_list(F.struct(F.col(idx).alias("i"), F.col("__p").alias("p"), F.coalesce(F.col(source), F.lit("")).alias("s")))).alias("m"), F.sum(F.when((F.col("__n") > 1) & long, 1).otherwise(0)).alias("cluster_trimmed"))
-    return out.select(F.col(cluster), F.size("m").alias("cluster_size"), "cluster_trimmed", F.array_join(F.transform("m", lambda x: x["p"]), "\n\n---\n\n").alias("body"), F.transform("m", lambda x: x["s"]).alias("cluster_sources"))
+    named = F.coalesce(F.nullif(text(source), F.lit("")), F.lit("unknown"))
+    header = F.concat(F.lit("["), named, F.lit(" — "), F.coalesce(F.nullif(text(date), F.lit("")), F.lit("no date")), F.lit("]\n"))
+    alone = F.col("__n") == 1
+    member = F.struct((-F.length(text(body))).alias("k"), F.col(idx).alias("i"), F.when(alone, text(body)).otherwise(F.concat(header, part)).alias("part"), F.when(alone, text(source)).otherwise(named).alias("source"), text("link").alias("link"), text("title").alias("title"), (long & ~alone).cast("int").alias("trimmed"))
+    out = rows.groupBy(cluster).agg(F.array_sort(F.collect_list(member)).alias("m"))
+    every = lambda name: F.transform("m", lambda x: x[name])
+    return out.select(
+        cluster,
+        F.get("m", F.lit(0))["i"].alias("lead"),
+        F.array_join(every("part"), "\n\n---\n\n").alias("body"),
+        F.size("m").alias("cluster_size"),
+        F.aggregate(every("trimmed"), F.lit(0), lambda a, x: a + x).alias("cluster_trimmed"),
+        every("source").alias("cluster_sources"),
+        every("link").alias("cluster_links"),
+        every("title").alias("cluster_titles"),
+    )

@@ -16,6 +16,7 @@ from pyspark.sql.window import Window
 from akshara.functions import lexicon as L
 from akshara.functions import text as X
 from akshara.operators import articles as A
+from akshara.operators import stories as ST
 
 #: Words that play the part of a subject in the generated English texts.
 STRONG, WEAK = ("apple", "theanther", "erthe on"), ("thion", "oning", "theand", "and the")
@@ -78,7 +79,9 @@ def title_sql(x: str) -> str:
 
 
 def number_coverage(spark, sf_dir):
-    out = A.coverage(pairs(spark, sf_dir), "body", "story")
+    # the figures meet, joined by blanks, and not the texts
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.array_join(X.numbers(F.col("text")), " ").alias("body"))
+    out = A.coverage(docs.join(docs.select((F.col("doc_id") - 1).alias("doc_id"), F.col("body").alias("story")), "doc_id"), "body", "story")
     return out.select("doc_id", "coverage_score", "number_precision", "source_numbers", "story_numbers", "numbers_carried", F.array_join("numbers_unsupported", ",").alias("unsupported"), F.array_join("numbers_missed", ",").alias("missed"), "coverage_detail")
 
 
@@ -109,7 +112,7 @@ def token_sql(inner: str, text: str) -> str:
 SQL["grounding_gates"] = f"""{COVERAGE}, {token_sql("SELECT * FROM s", "title || ' ' || left(body, 600)")},
 g AS (SELECT *, NOT (len({hits_sql(STRONG)}) > 0 OR len({hits_sql(WEAK)}) >= 2) AS off, length(body) < 300 AS short, (story IS NULL OR length(story) < 30 OR starts_with(story, 'Generation failed') OR starts_with(story, '[Not generated')) AS bad, CASE WHEN ok THEN len({minus("b", "a")}) ELSE 0 END AS u FROM t3)
 SELECT doc_id, NOT (off OR short OR bad OR coalesce(number_precision < 90, false)) AS gates_passed, CAST(least(100, CASE WHEN off OR bad THEN 0 ELSE 100 END, CASE WHEN short THEN 20 ELSE 100 END, CASE WHEN coalesce(number_precision < 90, false) THEN greatest(0, 100 - 15 * u) ELSE 100 END) AS INT) AS grounding_ceiling,
-concat_ws('; ', CASE WHEN off THEN 'off-topic source' END, CASE WHEN short THEN 'source body under 300 chars' END, CASE WHEN bad THEN 'degenerate story' END, CASE WHEN number_precision < 90 THEN number_precision || '% numeric precision, ' || u || ' unsupported' END) AS gate_failures FROM g"""
+concat_ws('; ', CASE WHEN off THEN 'off-topic source (no railway content)' END, CASE WHEN short THEN 'source body under 300 chars' END, CASE WHEN bad THEN 'degenerate story' END, CASE WHEN number_precision < 90 THEN number_precision || '% numeric precision — ' || u || ' unsupported figure(s)' END) AS gate_failures FROM g"""
 
 FIXTURE = [
     (1, "रेलगाड़ियों का आंशिक रद्दीकरण / पुनर्निर्धारण"),
@@ -151,7 +154,7 @@ array_to_string(list_sort(CASE WHEN {_deva} > 0 THEN list_filter({_mixed}, lambd
 
 
 def title_dedup(spark, sf_dir):
-    rows = articles(spark, sf_dir).withColumn("title_key", X.normal_key(F.col("title")))
+    rows = articles(spark, sf_dir).select("doc_id", X.normal_key(F.col("title")).alias("title_key"))
     return A.first_wins(rows, "title_key", ["doc_id"]).select("doc_id", "title_key", F.md5("title_key").alias("dedup_key"))
 
 
@@ -173,7 +176,7 @@ def url_dedup(spark, sf_dir):
 _rest = "regexp_replace(regexp_replace(url, '#.*$', ''), '^[A-Za-z][A-Za-z0-9+.-]*://', '')"
 SQL["url_dedup"] = rf"""WITH r AS (SELECT page_id, url, {_rest} AS rest, regexp_replace(url, '^https?://(www\.)?', '') AS t FROM pages),
 q AS (SELECT *, list_sort(list_filter(string_split(regexp_extract(rest, '^[^?]*\?(.*)$', 1), '&'), lambda p: p <> '' AND NOT starts_with(lower(p), 'utm_'))) AS query, CASE WHEN contains(t, '?') THEN '?…' ELSE '' END AS suffix, split_part(t, '?', 1) AS base FROM r),
-u AS (SELECT *, regexp_replace(lower(regexp_extract(rest, '^([^/?]*)', 1)), '^www\.', '') || regexp_replace(regexp_extract(rest, '^[^/?]*([^?]*)', 1), '/+$', '') || CASE WHEN len(query) > 0 THEN '?' || array_to_string(query, '&') ELSE '' END AS url_key, split_part(base, '/', 1) AS host FROM q),
+u AS (SELECT *, regexp_replace(lower(regexp_extract(rest, '^([^/?]*)', 1)), '^www\.', '') || regexp_replace(regexp_replace(regexp_extract(rest, '^[^/?]*([^?]*)', 1), ';[^/]*$', ''), '/+$', '') || CASE WHEN len(query) > 0 THEN '?' || array_to_string(query, '&') ELSE '' END AS url_key, split_part(base, '/', 1) AS host FROM q),
 s AS (SELECT *, substr(base, length(host) + 2) AS path, 44 - length(suffix) AS room FROM u)
 SELECT page_id, url_key, CASE WHEN length(base) <= room THEN base || suffix WHEN path = '' THEN left(base, room) || '…' ELSE host || '/…' || right(path, greatest(8, room - length(host) - 2)) || suffix END AS short_url FROM s QUALIFY url_key = '' OR row_number() OVER (PARTITION BY url_key ORDER BY page_id) = 1"""
 
@@ -199,7 +202,8 @@ SELECT event_id, published, CAST(day AS VARCHAR) AS day, day BETWEEN DATE '2024-
 def drop_reasons(spark, sf_dir):
     rows = A.with_tokens(articles(spark, sf_dir), F.concat_ws(" ", "title", "body"))
     rows = rows.withColumn("k", X.normal_key(F.col("title"))).withColumn("off", ~A.relevant(strong=STRONG, weak=WEAK)).withColumn("short", F.length("body") < 300)
-    rows = rows.withColumn("late", F.row_number().over(Window.partitionBy("k", F.col("short") | F.col("off")).orderBy("doc_id")) > 1)
+    # rows with an empty key are no repeats of one another and need no common window
+    rows = rows.withColumn("late", F.row_number().over(Window.partitionBy("k", F.col("short") | F.col("off"), F.when(F.col("k") == "", F.col("doc_id"))).orderBy("doc_id")) > 1)
     reason = F.when(F.col("short"), "short_body").when(F.col("off"), "off_topic").when(F.col("late") & (F.col("k") != ""), "duplicate").otherwise("kept")
     return rows.groupBy(reason.alias("reason"), "source").agg(F.count("*").alias("n"))
 
@@ -210,7 +214,10 @@ SELECT CASE WHEN short THEN 'short_body' WHEN off THEN 'off_topic' WHEN late AND
 
 
 def copied_text(spark, sf_dir):
-    rows = pairs(spark, sf_dir).withColumn("copied", X.copied_share(F.col("body"), F.col("story")))
+    # grams of hashes meet, not texts
+    docs = table(spark, sf_dir, "documents").select("doc_id", X.word_grams(F.col("text")).alias("a"), (F.length("text") < 30).alias("short"))
+    story = docs.select((F.col("doc_id") - 1).alias("doc_id"), F.col("a").alias("b"), F.col("short").alias("brief"))
+    rows = docs.join(story, "doc_id").withColumn("copied", F.when(F.col("short") | F.col("brief"), 0).otherwise(X.gram_share(F.col("a"), F.col("b"))))
     return rows.select("doc_id", F.col("copied").alias("plagiarism_score"), X.band(F.col("copied"), 20, 35, True).alias("band"))
 
 
@@ -230,7 +237,7 @@ def clustered(spark, sf_dir):
     return rows.join(A.components(rows.select("doc_id"), A.story_edges(rows, "doc_id", "w", 0.20)).withColumnRenamed("node", "doc_id"), "doc_id")
 
 
-CLUSTER = f"""WITH RECURSIVE art AS (SELECT *, {title_sql("title")} AS w FROM ({ART})), tok AS (SELECT doc_id, len(w) AS n, unnest(w) AS t FROM art),
+CLUSTER = f"""WITH RECURSIVE art AS (SELECT *, list_distinct(list_transform({title_sql("title")}, lambda w: {stem("w")})) AS w FROM ({ART})), tok AS (SELECT doc_id, len(w) AS n, unnest(w) AS t FROM art),
 e AS (SELECT a.doc_id AS a, b.doc_id AS b FROM tok a JOIN tok b ON a.t = b.t AND a.doc_id < b.doc_id GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING count(*) >= 0.20::DOUBLE * (a.n + b.n - count(*))),
 both_ways AS (SELECT a, b FROM e UNION ALL SELECT b, a FROM e), r AS (SELECT doc_id AS node, doc_id AS reach FROM art UNION SELECT r.node, x.b FROM r JOIN both_ways x ON x.a = r.reach), lab AS (SELECT node AS doc_id, min(reach) AS cluster FROM r GROUP BY node), c AS (SELECT * FROM art JOIN lab USING (doc_id))"""
 
@@ -248,12 +255,19 @@ def merged_by_language(spark, sf_dir):
     """Merged bodies of the articles that share a title key (topic-free grouping)."""
     rows = articles(spark, sf_dir).withColumn("k", X.normal_key(F.col("title"))).where("k <> ''")
     out = A.merged_bodies(rows.withColumn("date", F.lit(None).cast("string")), "k", "doc_id", "source", "date", "body")
-    return out.select("k", "cluster_size", F.md5("body").alias("body_md5"), F.array_join("cluster_sources", ",").alias("sources"))
+    return out.select("k", "lead", "cluster_size", "cluster_trimmed", F.md5("body").alias("body_md5"), F.array_join("cluster_sources", ",").alias("sources"), F.md5(F.array_join("cluster_titles", "|")).alias("titles_md5"))
+
+
+_trim = r"regexp_replace(body, '^[\s\p{Z}]+|[\s\p{Z}]+$', '', 'g')"
+_cut = r"regexp_replace(left(t, CASE WHEN back > 0 AND share - back - 1 > share // 2 THEN share - back - 1 ELSE share END), '[\s\p{Z}]+$', '') || ' […]'"
+SQL["merged_by_language"] = f"""WITH k AS (SELECT *, {key("title")} AS k FROM ({ART})), n AS (SELECT *, {_trim} AS t, count(*) OVER (PARTITION BY k) AS n FROM k WHERE k <> ''), s AS (SELECT *, greatest(400, (6000 - n * 60) // n) AS share FROM n),
+b AS (SELECT *, instr(reverse(left(t, share)), chr(10) || chr(10)) AS back FROM s),
+p AS (SELECT *, CASE WHEN n = 1 THEN body ELSE '[' || source || ' — no date]' || chr(10) || CASE WHEN length(t) > share THEN {_cut} ELSE t END END AS part, CASE WHEN n > 1 AND length(t) > share THEN 1 ELSE 0 END AS trimmed, row_number() OVER (PARTITION BY k ORDER BY length(body) DESC, doc_id) AS r FROM b)
+SELECT k, max(doc_id) FILTER (r = 1) AS lead, CAST(count(*) AS INT) AS cluster_size, CAST(sum(trimmed) AS INT) AS cluster_trimmed, md5(string_agg(part, chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY r)) AS body_md5, string_agg(source, ',' ORDER BY r) AS sources, md5(string_agg(title, '|' ORDER BY r)) AS titles_md5 FROM p GROUP BY k"""
 
 
 def source_report(spark, sf_dir):
-    n = F.length("body")
-    return articles(spark, sf_dir).groupBy("source").agg(F.count("*").alias("articles"), F.min(n).alias("shortest"), F.get(F.sort_array(F.collect_list(n)), F.floor(F.count("*") / 2).cast("int")).alias("upper_median"), F.max(n).alias("longest"), F.count_if(n < 300).alias("short"), F.countDistinct("lang").alias("langs"), F.bround(F.avg(n.cast("double")), 1).alias("mean_chars"))
+    return ST.body_report(articles(spark, sf_dir), ["source"], "body", "lang")
 
 
 SQL["source_report"] = f"SELECT source, count(*) AS articles, min(length(body)) AS shortest, list_sort(list(length(body)))[count(*) // 2 + 1] AS upper_median, max(length(body)) AS longest, count(*) FILTER (length(body) < 300) AS short, count(DISTINCT lang) AS langs, round_even(avg(length(body)), 1) AS mean_chars FROM ({ART}) GROUP BY source"
@@ -261,8 +275,7 @@ SQL["source_report"] = f"SELECT source, count(*) AS articles, min(length(body))
 
 def browse_rows(spark, sf_dir):
     rows = articles(spark, sf_dir)
-    source = F.regexp_replace(F.regexp_replace(F.regexp_replace("source", r"(?i)\s*\(RSB Hindi\)$", ""), r"(?i)\s+Indian Railways$", ""), r"(?i)\s+Press Releases?$", "")
-    return rows.select("doc_id", X.snippet(F.col("body")).alias("snippet"), F.coalesce(F.nullif(F.trim(source), F.lit("")), "source").alias("short_source"), (F.length("body") < 300).alias("short"), X.article_key(F.lit(None).cast("string"), F.col("title"), F.col("source"), F.lit("")).alias("article_key"))
+    return rows.select("doc_id", X.snippet(F.col("body")).alias("snippet"), X.short_source(F.col("source")).alias("short_source"), (F.length("body") < 300).alias("short"), X.article_key(F.lit(None).cast("string"), F.col("title"), F.col("source"), F.lit("")).alias("article_key"))
 
 
 _snip = rf"trim(regexp_replace(body, '{W}', ' ', 'g'))"
@@ -335,19 +348,20 @@ SQL["page_paragraphs"] = f"""SELECT page_id, CAST(len({_par}) AS INT) AS n, md5(
 
 
 def bilingual_scores(spark, sf_dir):
-    """Points for a Hindi body, an English one, both stories and a title, on conversations: user turns as sources, the next turns as stories."""
-    turns = table(spark, sf_dir, "conversations")
-    story = turns.select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("story"))
-    rows = turns.join(story, ["conv_id", "turn"])
-    real = (F.length(F.trim("story")) > 0) & ~F.col("story").startswith("[") & ~F.col("story").startswith("Generation failed")
-    return rows.select("conv_id", "turn", (F.when(X.has_devanagari(F.col("text")), 25).otherwise(0) + F.when(F.col("text").rlike("[a-zA-Z]"), 25).otherwise(0) + F.when(real, 25).otherwise(0) + F.when(F.length("text") >= 30, 25).otherwise(0)).alias("bilingual_score"), X.copied_share(F.col("text"), F.col("story")).alias("copied"))
-
-
-SQL["bilingual_scores"] = rf"""WITH p AS (SELECT a.conv_id, a.turn, a.text, b.text AS story FROM conversations a JOIN conversations b ON a.conv_id = b.conv_id AND b.turn = a.turn + 1),
-w AS (SELECT *, regexp_extract_all(lower(text), '[a-z\x{{0900}}-\x{{097F}}]{{2,}}') AS a, regexp_extract_all(lower(story), '[a-z\x{{0900}}-\x{{097F}}]{{2,}}') AS b FROM p),
-g AS (SELECT *, list_distinct(list_transform(range(1, len(a) - 2), lambda i: array_to_string(list_slice(a, i, i + 3), ' '))) AS ga, list_distinct(list_transform(range(1, len(b) - 2), lambda i: array_to_string(list_slice(b, i, i + 3), ' '))) AS gb FROM w)
-SELECT conv_id, turn, CAST((CASE WHEN regexp_matches(text, '[\x{{0900}}-\x{{097F}}]') THEN 25 ELSE 0 END) + (CASE WHEN regexp_matches(text, '[a-zA-Z]') THEN 25 ELSE 0 END) + (CASE WHEN length(trim(story)) > 0 AND NOT starts_with(story, '[') AND NOT starts_with(story, 'Generation failed') THEN 25 ELSE 0 END) + (CASE WHEN length(text) >= 30 THEN 25 ELSE 0 END) AS INT) AS bilingual_score,
-CASE WHEN length(text) < 30 OR length(story) < 30 OR len(gb) = 0 THEN 0 ELSE CAST(round_even(100.0 * len(list_intersect(ga, gb)) / len(gb), 0) AS INT) END AS copied FROM g"""
+    """Turns stand for sources, the next turns for their stories and the ones after for translations; even conversations claim Hindi, others English, every seventh nothing."""
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.col("text").alias("body"))
+    later = lambda k, name: turns.select("conv_id", (F.col("turn") - k).alias("turn"), F.col("body").alias(name))
+    rows = turns.join(later(1, "ai_news_story"), ["conv_id", "turn"], "left").join(later(2, "ai_news_story_translated"), ["conv_id", "turn"], "left")
+    lang = F.when(F.col("conv_id") % 7 == 0, "unknown").when(F.col("conv_id") % 2 == 0, "hi").otherwise("en")
+    rows = rows.withColumns({"source_lang": lang, "title": F.lit("")})
+    return ST.bilingual_scores(rows).select("conv_id", "turn", "bilingual_score", "hindi_information_score")
+
+
+SQL["bilingual_scores"] = r"""WITH p AS (SELECT a.conv_id, a.turn, CASE WHEN a.conv_id % 7 = 0 THEN 'unknown' WHEN a.conv_id % 2 = 0 THEN 'hi' ELSE 'en' END AS lang, coalesce(a.text, '') AS body, coalesce(b.text, '') AS story, coalesce(c.text, '') AS other
+FROM conversations a LEFT JOIN conversations b ON a.conv_id = b.conv_id AND b.turn = a.turn + 1 LEFT JOIN conversations c ON a.conv_id = c.conv_id AND c.turn = a.turn + 2),
+f AS (SELECT *, regexp_matches(body, '[\x{0900}-\x{097F}]') AS bh, regexp_matches(story, '[\x{0900}-\x{097F}]') AS sh, regexp_matches(other, '[\x{0900}-\x{097F}]') AS oh, regexp_matches(story, '[A-Za-z]') AS se, regexp_matches(other, '[A-Za-z]') AS oe FROM p)
+SELECT conv_id, turn, CAST((CASE WHEN lang IN ('hi', 'en') THEN 25 ELSE 0 END) + (CASE WHEN length(regexp_replace(story, '^[\s\p{Z}]+|[\s\p{Z}]+$', '', 'g')) > 30 THEN 25 ELSE 0 END) + (CASE WHEN length(regexp_replace(other, '^[\s\p{Z}]+|[\s\p{Z}]+$', '', 'g')) > 30 THEN 25 ELSE 0 END)
++ (CASE WHEN lang = 'hi' AND sh AND oe OR lang = 'en' AND se AND oh THEN 25 ELSE 0 END) AS INT) AS bilingual_score, CAST((CASE WHEN bh THEN 35 ELSE 0 END) + (CASE WHEN sh THEN 35 ELSE 0 END) + (CASE WHEN oh THEN 30 ELSE 0 END) AS INT) AS hindi_information_score FROM f"""
 
 
 def json_props(spark, sf_dir):

@@ -81,10 +81,15 @@ def host_sql(x: str) -> str:
     return rf"regexp_replace(lower(regexp_extract(coalesce({x}, ''), '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)', 1)), '^www\.', '')"
 
 
-SQL["listing_links"] = rf"""WITH p AS (SELECT page_id, url, list_filter(regexp_extract_all(html, '(?i)href=["'']([^"'']*)["'']', 1), lambda h: h <> '' AND NOT regexp_matches(h, '{S.SKIP_LINK}')) AS f FROM pages),
-l AS (SELECT page_id, url, unnest(f) AS h, generate_subscripts(f, 1) AS ord FROM p),
-a AS (SELECT page_id, url, ord, CASE WHEN regexp_matches(h, '^[A-Za-z][A-Za-z0-9+.-]*:') THEN h WHEN starts_with(h, '//') THEN regexp_extract(url, '^([A-Za-z]+:)', 1) || h WHEN starts_with(h, '/') THEN regexp_extract(url, '^([A-Za-z]+://[^/?#]*)', 1) || h ELSE regexp_extract(url, '^([A-Za-z]+://[^?#]*/)', 1) || h END AS link FROM l),
-d AS (SELECT page_id, link, min(ord) AS ord FROM a WHERE {host_sql("url")} <> '' AND {host_sql("link")} = {host_sql("url")} GROUP BY page_id, link),
+def _host(x: str) -> str:
+    return f"replace(regexp_extract({x}, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)', 1), 'www.', '')"
+
+
+SQL["listing_links"] = rf"""WITH p AS (SELECT page_id, url, regexp_extract_all(html, '(?i)<a\s[^>]*?href\s*=\s*["'']([^"'']*)["'']', 1) AS f FROM pages),
+l AS (SELECT page_id, url, replace(trim(unnest(f)), '&amp;', '&') AS h, generate_subscripts(f, 1) AS ord FROM p),
+a AS (SELECT page_id, url, ord, CASE WHEN regexp_matches(h, '^[A-Za-z][A-Za-z0-9+.-]*:') THEN h WHEN starts_with(h, '//') THEN regexp_extract(url, '^([A-Za-z]+:)', 1) || h WHEN starts_with(h, '/') THEN regexp_extract(url, '^([A-Za-z]+://[^/?#]*)', 1) || h
+WHEN starts_with(h, '#') OR h = '' THEN regexp_replace(url, '#.*$', '') || h WHEN starts_with(h, '?') THEN regexp_replace(url, '[?#].*$', '') || h ELSE regexp_replace(regexp_extract(url, '^[^?#]*', 0), '/[^/]*$', '') || '/' || h END AS link FROM l),
+d AS (SELECT page_id, regexp_replace(link, '#.*$', '') AS link, min(ord) AS ord FROM a WHERE contains({_host("link")}, {_host("url")}) AND NOT regexp_matches(link, '{S.SKIP_LINK}') GROUP BY 1, 2),
 r AS (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY ord) AS n FROM d)
 SELECT page_id, count(*) AS n, string_agg(link, ' ' ORDER BY ord) AS links FROM r WHERE n <= 25 GROUP BY page_id"""
 
@@ -173,7 +178,7 @@ def runs_by_day(spark, sf_dir):
 
 SQL["runs_by_day"] = "SELECT CAST(CAST(ts AS DATE) AS VARCHAR) AS day, count(*) AS runs, count(DISTINCT user_id) AS users, array_to_string(list_sort(list(DISTINCT event_type)), ',') AS kinds FROM events GROUP BY 1"
 
-LINES = [(1, "=== Daily News ==="), (2, "  OK   title"), (3, "  skip (short body) x"), (4, "WARNING: none"), (5, "Wrote 3 articles"), (6, "=== NR — North ==="), (7, "  OK y"), (8, "Traceback (most recent call last)")]
+LINES = [(9, "AI generating 2/7: a title"), (10, "=== a === b ==="), (11, "  OK WARNING"), (1, "=== Daily News ==="), (2, "  OK   title"), (3, "  skip (short body) x"), (4, "WARNING: none"), (5, "Wrote 3 articles"), (6, "=== NR — North ==="), (7, "  OK y"), (8, "Traceback (most recent call last)")]
 
 
 def log_progress(spark, sf_dir):
@@ -182,7 +187,7 @@ def log_progress(spark, sf_dir):
 
 
 _lines = ", ".join(f"('run-{i % 2}', '{t}')" for i, t in LINES)
-SQL["log_progress"] = rf"""SELECT log_name, CASE WHEN regexp_matches(line, 'WARNING|FAILED|Traceback') THEN 'warning' WHEN regexp_matches(line, '^=== .+ ===$') THEN 'source' WHEN regexp_matches(line, '^\s+OK\s') THEN 'kept' WHEN regexp_matches(line, '^\s+skip \(.+\)') THEN 'skipped' ELSE 'other' END AS kind, count(*) AS n FROM (VALUES {_lines}) v(log_name, line) GROUP BY 1, 2"""
+SQL["log_progress"] = rf"""SELECT log_name, CASE WHEN regexp_matches(line, '^AI generating [0-9]+/[0-9]+: ') THEN 'generating' WHEN regexp_matches(line, '^=== .+? ===$') THEN 'source' WHEN regexp_matches(line, '^\s+OK\s') THEN 'kept' WHEN regexp_matches(line, '^\s+skip \(.+?\)') THEN 'skipped' WHEN regexp_matches(line, 'WARNING|FAILED|Traceback') THEN 'warning' WHEN regexp_matches(line, '^Wrote [0-9]+ article') THEN 'wrote' ELSE 'other' END AS kind, count(*) AS n FROM (VALUES {_lines}) v(log_name, line) GROUP BY 1, 2"""
 
 
 def hourly_counts(spark, sf_dir):

@@ -8,6 +8,8 @@ whole, a row a file, so they suit exports. Stages of a run are Parquet folders
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -34,10 +36,39 @@ def as_fields(schema: str) -> str:
 
 
 def write_articles(df: DataFrame, path: str, meta: dict[str, str] | None = None) -> None:
-    """The articles as JSON lines at path, and meta as one line at path_meta."""
-    df.write.mode("overwrite").json(path)
+    """The articles as JSON lines at path, each with _meta as a field where there is any; read_lines() reads them.
+
+    A run writes a folder of its own beside path and is then renamed to it, so
+    readers see the old articles or the new ones.
+    """
     if meta is not None:
-        df.sparkSession.range(1).select(*[F.lit(v).alias(k) for k, v in meta.items()]).write.mode("overwrite").json(f"{path}_meta")
+        df = df.withColumn("_meta", F.struct(*[F.lit(v).alias(k) for k, v in meta.items()]))
+    spark = df.sparkSession
+    new, old = (f"{path.rstrip('/')}.{end}-{uuid.uuid4().hex}" for end in ("new", "old"))
+    df.write.json(new)
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    target, fresh, past = hadoop(path), hadoop(new), hadoop(old)
+    fs = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if fs.exists(target):
+        fs.rename(target, past)
+    if not fs.rename(fresh, target):
+        fs.rename(past, target)
+        raise OSError(f"could not rename {new} to {path}")
+    fs.delete(past, True)
+
+
+def read_lines(spark: SparkSession, path: str, schema: str = ARTICLE) -> DataFrame:
+    """The articles of JSON lines, split among tasks within files; malformed lines hold none."""
+    try:
+        return spark.read.schema(schema).option("mode", "DROPMALFORMED").json(path)
+    except AnalysisException:
+        return spark.createDataFrame([], schema)
+
+
+def read_meta(spark: SparkSession, path: str) -> dict[str, str]:
+    """The _meta that write_articles() put into JSON lines, empty where there is none."""
+    rows = spark.read.schema("_meta map<string, string>").json(path).where("_meta is not null").limit(1).collect()
+    return dict(rows[0]["_meta"]) if rows else {}
 
 
 def read_registry(spark: SparkSession, path: str) -> DataFrame:

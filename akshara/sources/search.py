@@ -69,14 +69,67 @@ def json_hits(df: DataFrame, results: str, query: str, listing: str, engine: str
     return rows.select("ord", F.col("r.url").alias("url"), F.trim(unescaped(F.coalesce("r.title", none))).alias("title"), source.alias("source"), F.left(F.coalesce("r.page_age", none), F.lit(10)).alias("date"), unescaped(F.regexp_replace(F.coalesce("r.description", none), "<[^>]+>", "")).alias("snippet"), F.lit(engine).alias("engine"), "query", "listing_url")
 
 
-def listing_links(df: DataFrame, idx: str, url: str, page: str, limit: int = 25) -> DataFrame:
-    """idx, ord and link of the first links of each page: absolute, of the page's host, none of the skipped kinds, without fragments, each once."""
-    base, found = F.col(url), F.regexp_extract_all(F.coalesce(F.col(page), F.lit("")), F.lit("""(?i)href=["']([^"']*)["']"""), F.lit(1))
-    scheme, root, folder = F.regexp_extract(base, "^([A-Za-z]+:)", 1), F.regexp_extract(base, "^([A-Za-z]+://[^/?#]*)", 1), F.regexp_extract(base, "^([A-Za-z]+://[^?#]*/)", 1)
-    absolute = lambda h: F.when(h.rlike("^[A-Za-z][A-Za-z0-9+.-]*:"), h).when(h.startswith("//"), F.concat(scheme, h)).when(h.startswith("/"), F.concat(root, h)).otherwise(F.concat(folder, h))
-    links = F.transform(F.filter(found, lambda h: (h != "") & ~h.rlike(SKIP_LINK)), absolute)
-    links = F.filter(F.array_distinct(links), lambda h: (host_of(base) != "") & (host_of(h) == host_of(base)))
-    return df.select(F.col(idx), F.posexplode(F.slice(links, 1, limit)).alias("ord", "link"))
+# They must be these for equal results.
+LINK_PATTERNS = {
+    "aajtak.in": r"/story/",
+    "jansatta.com": r"/\d{6,}/?$",
+    "navbharattimes.indiatimes.com": r"articleshow",
+    "amarujala.com": r"\d{4}-\d{2}-\d{2}$",
+    "livehindustan.com": r"/story-",
+    "pib.gov.in": r"PressRelease\w*\.aspx\?PRID=\d+",
+}
+
+
+def domain_key(url: Column, domains=tuple(LINK_PATTERNS)) -> Column:
+    """The first listed domain that the host holds or that holds the host, else the host; an empty host matches the first."""
+    host = F.replace(F.lower(F.regexp_extract(F.coalesce(url, F.lit("")), "^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)", 1)), F.lit("www."), F.lit(""))
+    return F.coalesce(*[F.when(F.contains(host, F.lit(d)) | F.contains(F.lit(d), host), d) for d in domains], host)
+
+
+def resolved(base: Column, href: Column) -> Column:
+    """The absolute address of a link on the page base, with . and .. worked out."""
+    scheme, root, folder = F.regexp_extract(base, "^([A-Za-z]+:)", 1), F.regexp_extract(base, "^([A-Za-z]+://[^/?#]*)", 1), F.regexp_extract(base, "^[A-Za-z]+://[^/?#]*(/?[^?#]*/|/?)", 1)
+    page = F.regexp_replace(base, "#.*$", "")
+    raw = F.when(href.rlike("^[A-Za-z][A-Za-z0-9+.-]*:"), href).when(href.startswith("//"), F.concat(scheme, href)).when(href.startswith("/"), F.concat(root, href))
+    raw = raw.when(href.startswith("?"), F.concat(F.regexp_replace(page, r"\?.*$", ""), href)).when(href.startswith("#") | (href == ""), F.concat(page, href))
+    raw = raw.otherwise(F.concat(root, F.when(folder == "", "/").otherwise(folder), href))
+    front, tail = F.regexp_extract(raw, "^([A-Za-z]+://[^/?#]*)", 1), F.regexp_extract(raw, r"^[^?#]*([?#].*)?$", 1)
+    path = F.regexp_extract(raw, "^[A-Za-z]+://[^/?#]*([^?#]*)", 1)
+    none = F.array().cast("array<string>")
+    parts = F.split(path, "/")
+    last = F.element_at(parts, -1)
+    walked = F.aggregate(F.filter(parts, lambda p: p != "."), none, lambda a, p: F.when(p != "..", F.concat(a, F.array(p))).when(F.size(a) > 1, F.slice(a, 1, F.size(a) - 1)).otherwise(a))
+    clean = F.concat(F.array_join(walked, "/"), F.when(last.isin(".", "..") & (F.element_at(walked, -1) != ""), "/").otherwise(""))
+    return F.when(path.rlike(r"(^|/)\.\.?(/|$)"), F.concat(front, clean, F.coalesce(tail, F.lit("")))).otherwise(raw)
+
+
+def listing_links(df: DataFrame, idx: str, url: str, page: str, limit: int = 25, patterns: dict[str, str] | None = None) -> DataFrame:
+    """idx, ord and link of the first article links of each listing page.
+
+    A feed's links are those of its <link> elements, a page's those of its <a>
+    elements (a feed without any: these too). A link is resolved against the
+    page; it stays if its host holds the page's host, the pattern of the page's
+    domain finds it (where there is one) and it is none of the skipped kinds.
+    Fragments go afterwards, and each link is listed once.
+    """
+    text, base = F.coalesce(F.col(page), F.lit("")), F.col(url)
+    feed = F.contains(F.left(text, F.lit(400)), F.lit("<rss")) | F.contains(F.left(text, F.lit(200)), F.lit("<?xml"))
+    items = F.when(feed, F.regexp_extract_all(text, F.lit(r"<link>\s*([^<\s]+)\s*</link>"), F.lit(1))).otherwise(F.array().cast("array<string>"))
+    anchors = F.regexp_extract_all(text, F.lit("""(?i)<a\\s[^>]*?href\\s*=\\s*["']([^"']*)["']"""), F.lit(1))
+    own = lambda u: F.replace(F.regexp_extract(u, "^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)", 1), F.lit("www."), F.lit(""))
+    rows = df.select(F.col(idx), base.alias("__base"), domain_key(base).alias("__key"), F.when(F.size(items) > 0, items).otherwise(F.transform(anchors, unescaped_href)).alias("__raw"))
+    links = F.transform("__raw", lambda h: resolved(F.col("__base"), F.trim(h)))
+    wanted = lambda h: F.coalesce(*[F.when(F.col("__key") == d, h.rlike(p)) for d, p in (LINK_PATTERNS if patterns is None else patterns).items()], F.lit(True))
+    links = F.filter(links, lambda h: F.contains(own(h), own(F.col("__base"))) & wanted(h) & ~h.rlike(SKIP_LINK))
+    links = F.array_distinct(F.transform(links, lambda h: F.regexp_replace(h, "#.*$", "")))
+    return rows.select(F.col(idx), F.posexplode(F.slice(links, 1, limit)).alias("ord", "link"))
+
+
+def unescaped_href(href: Column) -> Column:
+    """The entities that addresses use."""
+    for old, new in (("&#38;", "&"), ("&quot;", '"'), ("&#39;", "'"), ("&lt;", "<"), ("&gt;", ">"), ("&amp;", "&")):
+        href = F.replace(href, F.lit(old), F.lit(new))
+    return href
 
 
 def hit_order(hits: DataFrame, order: list[str]) -> DataFrame:

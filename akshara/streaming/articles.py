@@ -20,9 +20,15 @@ def log_lines(spark: SparkSession, folder: str) -> DataFrame:
     return spark.readStream.text(folder).select(F.col("value").alias("line"), F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1).alias("log_name"))
 
 
+def warns(line: Column) -> Column:
+    """Whether the log view lists a line among its warnings."""
+    return line.rlike("WARNING|FAILED|Traceback|SKIP|Error")
+
+
 def line_kind(line: Column) -> Column:
-    """What a log line reports: a source begun, an article kept or skipped, a warning, else other."""
-    return F.when(line.rlike("WARNING|FAILED|Traceback"), "warning").when(line.rlike("^=== .+ ===$"), "source").when(line.rlike(r"^\s+OK\s"), "kept").when(line.rlike(r"^\s+skip \(.+\)"), "skipped").otherwise("other")
+    """What a log line reports: a story being generated, a source begun, an article kept or skipped, a warning, articles written, else other."""
+    kind = F.when(line.rlike(r"^AI generating [0-9]+/[0-9]+: "), "generating").when(line.rlike("^=== .+? ===$"), "source").when(line.rlike(r"^\s+OK\s"), "kept").when(line.rlike(r"^\s+skip \(.+?\)"), "skipped")
+    return kind.when(line.rlike("WARNING|FAILED|Traceback"), "warning").when(line.rlike("^Wrote [0-9]+ article"), "wrote").otherwise("other")
 
 
 def progress(lines: DataFrame, line: str = "line", by: str = "log_name") -> DataFrame:
