@@ -99,7 +99,8 @@ def resolved(base: Column, href: Column) -> Column:
     parts = F.split(path, "/")
     last = F.element_at(parts, -1)
     walked = F.aggregate(F.filter(parts, lambda p: p != "."), none, lambda a, p: F.when(p != "..", F.concat(a, F.array(p))).when(F.size(a) > 1, F.slice(a, 1, F.size(a) - 1)).otherwise(a))
-    clean = F.concat(F.array_join(walked, "/"), F.when(last.isin(".", "..") & (F.element_at(walked, -1) != ""), "/").otherwise(""))
+    joined = F.array_join(walked, "/")
+    clean = F.concat(joined, F.when(last.isin(".", "..") & ~joined.endswith("/"), "/").otherwise(""))
     return F.when(path.rlike(r"(^|/)\.\.?(/|$)"), F.concat(front, clean, F.coalesce(tail, F.lit("")))).otherwise(raw)
 
 
@@ -109,8 +110,8 @@ def listing_links(df: DataFrame, idx: str, url: str, page: str, limit: int = 25,
     A feed's links are those of its <link> elements, a page's those of its <a>
     elements (a feed without any: these too). A link is resolved against the
     page; it stays if its host holds the page's host, the pattern of the page's
-    domain finds it (where there is one) and it is none of the skipped kinds.
-    Fragments go afterwards, and each link is listed once.
+    domain finds it (where there is one) and it is none of the skipped kinds,
+    links with a fragment among them; each link is listed once.
     """
     text, base = F.coalesce(F.col(page), F.lit("")), F.col(url)
     feed = F.contains(F.left(text, F.lit(400)), F.lit("<rss")) | F.contains(F.left(text, F.lit(200)), F.lit("<?xml"))
