@@ -31,6 +31,8 @@ WINDOW, LEAST, SHARE = 8, 5, 0.5
 LITERAL = 0.5
 #: Benchmark windows up to which they are broadcast; beyond that the join shuffles.
 BROADCAST_WINDOWS = 500_000
+#: Bits of the table that tells which windows may be an item's.
+BITS = 1 << 17
 #: Added to the size of windows that are matched by their own words.
 EXACT = 1 << 16
 UNITS = ("mm", "cm", "m", "km", "mg", "g", "kg", "ml", "l", "inch", "inches", "foot", "feet", "mile", "miles", "second", "seconds", "minute", "minutes", "hour", "hours", "day", "days", "week", "weeks", "month", "months", "year", "years", "cent", "cents", "dollar", "dollars", "euro", "euros", "percent", "degrees", "meter", "meters", "litre", "litres", "gram", "grams", "pound", "pounds", "ounce", "ounces", "ton", "tons")
@@ -40,22 +42,27 @@ WORDS = "[^\\p{L}\\p{M}\\p{N}" + MARK + OPENS + POINT + "]+"
 
 
 def marked(text: Column) -> Column:
-    """Lower-cased words of a text joined by single spaces, names and words that may be names with a mark, whole numbers as one word without their unit."""
+    """Lower-cased words of a text joined by single spaces, names and words that may be names with a mark, whole numbers as one word without their unit.
+
+    Texts without digits skip the rules of numbers; rules test the sign that is
+    rare in a text first.
+    """
     bare = F.translate(F.coalesce(text, F.lit("")), MARK + OPENS + POINT + NAME + NUMBER + UNIT, "      ")
-    bare = F.regexp_replace(bare, r"(?<=\p{Nd}),(?=\p{Nd}{3}(?!\p{Nd}))", "")
-    bare = F.regexp_replace(bare, r"(?<=\p{Nd})[.,](?=\p{Nd})", POINT)
-    named = F.regexp_replace(bare, r"(?<=[\p{L}\p{N},;]\s)(?=\p{Lu}\p{Ll})", MARK)
-    named = F.regexp_replace(named, r"(?<![\p{L}\p{M}\p{N}" + MARK + r"])(?=\p{Lu}\p{Ll})", OPENS)
+    digits = text.rlike(r"\p{Nd}")
+    whole = F.regexp_replace(bare, r",(?<=\p{Nd},)(?=\p{Nd}{3}(?!\p{Nd}))", "")
+    whole = F.regexp_replace(whole, r"[.,](?<=\p{Nd}[.,])(?=\p{Nd})", POINT)
+    named = F.regexp_replace(F.when(digits, whole).otherwise(bare), r"(?=\p{Lu}\p{Ll})(?<=[\p{L}\p{N},;]\s)", MARK)
+    named = F.regexp_replace(named, r"(?=\p{Lu}\p{Ll})(?<![\p{L}\p{M}\p{N}" + MARK + r"])", OPENS)
     words = F.btrim(F.lower(F.regexp_replace(named, WORDS, " ")))
-    return F.regexp_replace(words, f"(?<![^ ])(\\p{{Nd}}[\\p{{Nd}}{POINT}]*)({'|'.join(UNITS)})(?![^ ])", "$1 $2")
+    return F.when(digits, F.regexp_replace(words, f"(?<![^ ])(\\p{{Nd}}[\\p{{Nd}}{POINT}]*)({'|'.join(UNITS)})(?![^ ])", "$1 $2")).otherwise(words)
 
 
 def canonical(text: Column, opens: bool = False) -> Column:
     """marked() text with placeholders for names, numbers, and units after numbers; opens: for words that open a sentence too."""
     out = text if opens else F.replace(text, F.lit(OPENS), F.lit(""))
     out = F.regexp_replace(out, f"[{MARK}{OPENS}][^ ]*", NAME)
-    out = F.regexp_replace(out, r"(?<![^ ])\p{Nd}[^ ]*", NUMBER)
-    return F.regexp_replace(out, f"(?<={NUMBER} )(?:{'|'.join(UNITS)})(?![^ ])", UNIT)
+    number = F.regexp_replace(out, r"\p{Nd}(?<![^ ].)[^ ]*", NUMBER)
+    return F.when(text.rlike(r"\p{Nd}"), F.regexp_replace(number, f"(?<={NUMBER} )(?:{'|'.join(UNITS)})(?![^ ])", UNIT)).otherwise(out)
 
 
 def values(text: Column) -> Column:
@@ -73,14 +80,35 @@ def split(text: Column) -> Column:
     return F.filter(F.split(text, " "), lambda x: x != "")
 
 
-def windows(df: DataFrame, keep: list[str], sizes: list[int], least: int = LEAST) -> DataFrame:
-    """df's keep and every: size, place and hash of each of a text's windows, in both forms where these differ; df has marked.
+def opening_hash(words: Column, pos: Column) -> Column:
+    """Hash of the first three words of the window at a place (from 1)."""
+    return F.xxhash64(F.get(words, pos - 1), F.get(words, pos), F.get(words, pos + 1))
+
+
+def opening_table(items: DataFrame) -> Column:
+    """BITS bits in an array of longs: those of the items' opening hashes. A window without its bit is none of theirs. The table's size is fixed."""
+    slot = F.shiftright(F.col("opening").bitwiseAND(F.lit(BITS - 1)), 6)
+    rows = items.where("opening is not null").groupBy(slot.alias("at")).agg(F.bit_or(F.expr("shiftleft(1L, cast(opening & 63 as int))")).alias("bits")).collect()
+    table = ["0"] * (BITS >> 6)
+    for r in rows:
+        table[r["at"]] = str(r.bits)
+    return F.split(F.lit(",".join(table)), ",").cast("array<bigint>")
+
+
+def windows(df: DataFrame, keep: list[str], sizes: list[int], table: Column, least: int = LEAST) -> DataFrame:
+    """df's keep and every: size, place and hash of the text's windows that may be an item's, in both forms where these differ; df has marked.
 
     sizes as item_windows() gives them: beyond EXACT for windows of a text's own
-    words, below 0 for whole short texts.
+    words, below 0 for whole short texts; table: opening_table() of the items.
     """
     none = F.array().cast("array<int>")
 
+    def likely(words: Column, at: Column) -> Column:
+        """The places of at whose first three words some window of an item may open with."""
+        bit = lambda h: F.getbit(F.get(table, F.shiftright(h.bitwiseAND(F.lit(BITS - 1)), 6).cast("int")), h.bitwiseAND(F.lit(63)).cast("int"))
+        hit = lambda hashes: F.filter(F.transform(hashes, lambda h, k: F.when(bit(h) == 1, k)), lambda k: k.isNotNull())
+        return let(at, lambda at: F.transform(hit(F.transform(at, lambda i: opening_hash(words, i))), lambda k: F.get(at, k)))
+
     def of_size(words: Column, code: int, opens: Column | None) -> Column:
         size = code % EXACT
         last = F.size(words) - size + 1
@@ -89,7 +117,7 @@ def windows(df: DataFrame, keep: list[str], sizes: list[int], least: int = LEAST
         else:
             at = F.filter(opens, lambda p: p - size + 1 <= last)
             at = F.array_distinct(F.flatten(F.transform(at, lambda p: F.sequence(F.greatest(p - size + 1, F.lit(1)), F.least(p, last)))))
-        at = F.when(last >= 1, at).otherwise(none)
+        at = F.when(last >= 1, likely(words, at)).otherwise(none)
         return F.transform(at, lambda i: F.struct(F.lit(code).alias("size"), i.alias("pos"), F.xxhash64(F.slice(words, i, F.lit(size))).alias("hash")))
 
     def of(x: Column) -> Column:
@@ -122,13 +150,13 @@ def item_windows(benchmark: DataFrame, item_col: str, text_col: str, window: int
     # a window that no word opens is the same in both forms
     opened = F.exists("opens", lambda p: (p >= F.col("item_pos")) & (p < F.col("item_pos") + F.col("size")))
     rows = rows.withColumn("forms", F.when(opened, F.array("form")).otherwise(F.array(F.lit(0), F.lit(1)))).where(opened | (F.col("form") == 0))
-    rows = rows.select("item_id", "size", "item_pos", "forms", F.xxhash64(F.slice("words", F.col("item_pos"), F.col("size"))).alias("hash"), slots(F.col("item_pos"), F.col("size")).alias("item_slots"), F.slice("values", F.col("item_pos"), F.col("size")).alias("own"))
+    rows = rows.select("item_id", "size", "item_pos", "forms", F.xxhash64(F.slice("words", F.col("item_pos"), F.col("size"))).alias("hash"), slots(F.col("item_pos"), F.col("size")).alias("item_slots"), F.slice("values", F.col("item_pos"), F.col("size")).alias("own"), opening_hash(F.col("words"), F.col("item_pos")).alias("opening"))
     rows = rows.withColumn("enough", F.size("item_slots") <= F.col("size") * (1 - LITERAL)).withColumn("some", F.max("enough").over(Window.partitionBy("item_id")))
     none = F.lit(None).cast(rows.schema["item_slots"].dataType)
     exact = lambda size, words: [size.alias("size"), F.col("item_pos"), F.array(F.lit(0)).alias("forms"), F.xxhash64(words).alias("hash"), F.coalesce(none, F.filter(F.array(F.struct(F.lit(0).alias("at"), F.lit("").alias("v"))), lambda x: F.lit(False))).alias("item_slots")]
-    rare = rows.where(~F.col("some")).select("item_id", *exact(F.col("size") + EXACT, F.col("own"))).dropDuplicates(["item_id", "item_pos"])
-    short = every.where((F.size("words") < least) & (F.col("form") == 0)).withColumn("item_pos", F.lit(1)).select("item_id", *exact(-F.size("words"), F.col("values")))
-    usual = rows.where("enough").select("item_id", "size", "item_pos", "forms", "hash", "item_slots")
+    rare = rows.where(~F.col("some")).select("item_id", *exact(F.col("size") + EXACT, F.col("own")), opening_hash(F.col("own"), F.lit(1)).alias("opening")).dropDuplicates(["item_id", "item_pos"])
+    short = every.where((F.size("words") < least) & (F.col("form") == 0)).withColumn("item_pos", F.lit(1)).select("item_id", *exact(-F.size("words"), F.col("values")), F.lit(None).cast("bigint").alias("opening"))
+    usual = rows.where("enough").select("item_id", "size", "item_pos", "forms", "hash", "item_slots", "opening")
     return usual.unionByName(rare).unionByName(short)
 
 
@@ -136,11 +164,13 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     """One row per contaminated document and item: doc_id, key (a hash of id and text), item_id, n_windows, item_windows, share, changed_slots."""
     items = item_windows(benchmark, item_col, item_text_col, window, least)
     facts = items.agg(F.count("*").alias("n"), F.collect_set("size").alias("sizes")).first()
+    table = opening_table(items)
+    items = items.drop("opening")
     total = items.groupBy("item_id").agg(F.countDistinct("item_pos").alias("item_windows"))
     if facts.n <= BROADCAST_WINDOWS:
         items, total = F.broadcast(items), F.broadcast(total)
-    rows = docs.select(field(id_col).cast("long").alias("doc_id"), F.xxhash64(field(id_col), field(text_col)).alias("key"), marked(field(text_col)).alias("marked"))
-    found = windows(rows, ["doc_id", "key"], sorted(facts.sizes) or [window], least)
+    rows = docs.select(field(id_col).cast("long").alias("doc_id"), F.xxhash64(field(id_col), field(text_col)).alias("key"), field(text_col).alias("text"))
+    found = windows(rows.select("doc_id", "key", marked(F.col("text")).alias("marked")), ["doc_id", "key"], sorted(facts.sizes) or [window], table, least)
     # hashes alone are exploded; the words of a matched window are cut out by its place afterwards
     hits = found.select("doc_id", "key", F.explode_outer("every").alias("w")).select("doc_id", "key", "w.size", "w.pos", "w.hash")
     hits = checkpointed(hits.join(items, ["size", "hash"]).select("doc_id", "key", "item_id", "size", "pos", "item_pos", "forms", "item_slots"))
@@ -157,7 +187,7 @@ def consistent(slotted: DataFrame, rows: DataFrame) -> DataFrame:
     """Of matched windows with slots, those of alignments whose slots stand for each other one to one."""
     which = slotted.select(F.coalesce("doc_id", F.lit(NO_ID)).alias("d"), F.col("key").alias("k")).distinct()
     own = rows.withColumns({"d": F.coalesce("doc_id", F.lit(NO_ID)), "k": F.col("key")}).join(which, ["d", "k"], "left_semi").dropDuplicates(["d", "k"])
-    own = own.select("d", "k", values(F.col("marked")).alias("values"))
+    own = own.select("d", "k", values(marked(F.col("text"))).alias("values"))
     slotted = slotted.join(own, (F.coalesce("doc_id", F.lit(NO_ID)) == F.col("d")) & (F.col("key") == F.col("k")))
     pairs = F.transform("item_slots", lambda x: F.named_struct(F.lit("item"), x["v"], F.lit("doc"), F.get("values", F.col("pos") + x["at"] - 1)))
     slotted = slotted.select("doc_id", "key", "item_id", "item_pos", (F.col("pos") - F.col("item_pos")).alias("offset"), F.explode("forms").alias("form"), pairs.alias("pairs"))
