@@ -28,6 +28,21 @@ late AS (SELECT doc_id, pos FROM h QUALIFY row_number() OVER (PARTITION BY win O
 gone AS (SELECT DISTINCT doc_id, unnest(range(pos, pos + 20)) AS i FROM late),
 per AS (SELECT doc_id, list(i) AS g FROM gone GROUP BY doc_id)
 SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(len(g), 0)::BIGINT AS n_removed, sha256(coalesce(array_to_string(CASE WHEN g IS NULL THEN w ELSE list_transform(list_filter(range(1, len(w) + 1), lambda i: NOT list_contains(g, i)), lambda i: w[i]) END, ' '), '')) AS kept_sha256 FROM d LEFT JOIN per USING (doc_id)""",
+    "op6_jaccard_join": r"""WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN [] ELSE list_distinct(list_transform(range(1, greatest(len(w) - 4, 1) + 1), lambda i: array_to_string(list_slice(w, i, i + 4), ' '))) END AS g FROM d),
+c AS (SELECT min(doc_id) AS rep, g, list(doc_id) AS ids FROM s WHERE len(g) > 0 GROUP BY g), t AS (SELECT rep, len(g) AS n, unnest(g) AS x FROM c),
+e AS (SELECT a.rep AS a, b.rep AS b FROM t a JOIN t b ON a.x = b.x AND a.rep <> b.rep GROUP BY a.rep, b.rep, a.n, b.n HAVING 100 * count(*) >= 80 * (a.n + b.n - count(*))),
+r AS (SELECT rep AS node, rep AS reach FROM c UNION SELECT r.node, e.b FROM r JOIN e ON e.a = r.reach), l AS (SELECT node, min(reach) AS component FROM r GROUP BY node), m AS (SELECT unnest(ids) AS doc_id, component FROM c JOIN l ON l.node = c.rep)
+SELECT doc_id, len(g)::BIGINT AS n_shingles, coalesce(component, doc_id) AS component_id FROM s LEFT JOIN m USING (doc_id)""",
+    "op8_warc": r"""WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages), m AS (SELECT h, max(page_id) AS last FROM p GROUP BY h), s AS (SELECT page_id, octet_length(encode(h)) AS n, sha1(h) AS x, last FROM p JOIN m USING (h)),
+b AS (SELECT *, list_transform(range(0, 8), lambda k: ('0x' || substr(x, 5 * k + 1, 5))::BIGINT) AS v FROM s)
+SELECT page_id, n::BIGINT AS payload_bytes, array_to_string(flatten(list_transform(v, lambda y: list_transform([15, 10, 5, 0], lambda k: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((y >> k) & 31) + 1, 1)))), '') AS payload_digest, CASE WHEN page_id = last THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> last THEN last END AS refers_to FROM b""",
+    "op10_suffix_dedup": r"""WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS x FROM documents), p AS (SELECT doc_id, unnest(range(0, length(x) // 2 - 399)) AS pos, x FROM d WHERE length(x) >= 800),
+h AS (SELECT doc_id, pos, md5_number(substr(x, 2 * pos + 1, 800)) AS k FROM p), g AS (SELECT doc_id, pos FROM h QUALIFY count(*) OVER (PARTITION BY k) > 1),
+i AS (SELECT doc_id, pos, CASE WHEN pos <= lag(pos) OVER (PARTITION BY doc_id ORDER BY pos) + 400 THEN 0 ELSE 1 END AS new FROM g), j AS (SELECT doc_id, pos, sum(new) OVER (PARTITION BY doc_id ORDER BY pos) AS span FROM i),
+s AS (SELECT doc_id, span, min(pos) AS a, max(pos) + 400 AS b FROM j GROUP BY 1, 2), k AS (SELECT doc_id, span, a, b, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY span), 0) AS before FROM s),
+o AS (SELECT doc_id, count(*) AS n_spans, sum(b - a) AS n_removed, string_agg(substr(x, 2 * before + 1, 2 * (a - before)), '' ORDER BY span) AS front, max(b) AS last FROM k JOIN d USING (doc_id) GROUP BY doc_id)
+SELECT doc_id, (length(x) // 2)::BIGINT AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0)::BIGINT AS n_spans, sha256(unhex(CASE WHEN n_spans IS NULL THEN x ELSE front || substr(x, 2 * last + 1) END)) AS kept_sha256 FROM d LEFT JOIN o USING (doc_id)""",
 }
 
 

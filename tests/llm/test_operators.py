@@ -254,6 +254,64 @@ def test_fingerprints(docs, empty, spark):
     assert len(FP.merged_fingerprints(parts, ["g"], "s").first().sketch) == 5
 
 
+def test_small_fingerprints_hold_whole_sets(spark):
+    """A sketch of fewer shingles than its size is the set itself, so likeness is exact."""
+    local = np.random.default_rng(9)
+    base = list(local.choice(VOCABULARY, 60))
+    texts = []
+    for _ in range(25):
+        w = list(base)
+        for _ in range(local.integers(0, 8)):
+            w[local.integers(60)] = str(local.choice(VOCABULARY))
+        texts.append(" ".join(w[: local.integers(3, 61)]))
+
+    def sets(t):
+        w = words(t)
+        return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+
+    def like(a, b):
+        return len(a & b) / len(a | b) if a | b else 1.0
+
+    got = {r.doc_id: r for r in FP.fingerprint_documents(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    for i, t in enumerate(texts):
+        n = texts[(i + 1) % len(texts)]
+        h = len(t) // 2
+        assert abs(got[i].near_next - like(sets(t), sets(n))) < 1e-9
+        assert abs(got[i].near_edited - like(sets(t), sets(t[: len(t) - h] + n[:h]))) < 1e-9
+        assert len(got[i].sketch) == len(sets(t))
+
+
+def test_pieces_join_to_the_ids_of_their_documents(spark):
+    from tokenizers import Tokenizer
+
+    import public_tokenizers
+
+    t = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    texts = [prose(int(n)) + "" for n in rng.integers(1, 4000, 40)] + ["don't STOP 1,234 <|endoftext|> çà  \u00a0 x", ""]
+    pieces = {}
+    for r in pack_documents(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3), capacity=512).collect():
+        pieces.setdefault(r.doc_id, []).append(r)
+    for i, text in enumerate(texts):
+        own = sorted(pieces[i], key=lambda r: r.start)
+        ids = np.array([*t.encode(text, add_special_tokens=False).ids, 1], "<u4")
+        assert [r.start for r in own] == np.cumsum([0, *(r.length for r in own)])[:-1].tolist()
+        assert b"".join(bytes(r.ids) for r in own) == ids.tobytes() and all(r.doc_tokens == len(ids) for r in own)
+
+
+def test_held_out_documents(spark):
+    """Predictions of rows that training never saw, on a small table."""
+    from akshara.llm import queries as Q
+
+    sf = "/root/testdata/sf0.01"
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "lang")
+    rows = Q.op7_language_id(spark, sf).join(docs, "doc_id").where("held_out and lang is not null and lang_pred <> 'und'").collect()
+    assert len(rows) > 100 and sum(r.lang == r.lang_pred for r in rows) >= 0.97 * len(rows)
+    labels = spark.read.parquet(f"{sf}/labels.parquet").select("doc_id", "toxic")
+    rows = Q.op9_toxicity(spark, sf).join(labels, "doc_id").where("held_out").collect()
+    clean = [r.predicted for r in rows if r.toxic == 0]
+    assert sum(r.predicted == r.toxic for r in rows) >= 0.85 * len(rows) and sum(clean) <= 0.1 * len(clean)
+
+
 def test_packing(docs, empty):
     from tokenizers import Tokenizer
 
@@ -462,3 +520,18 @@ def test_pipeline(spark):
 
     out = corpus_pipeline.run(spark, "/root/testdata/sf0.001")
     assert out.count() > 50 and "sequence_id" in out.columns
+
+
+@pytest.mark.parametrize("name", ["op1_substring_dedup", "op6_jaccard_join", "op8_warc", "op10_suffix_dedup"])
+def test_against_sql(spark, name):
+    import duckdb
+
+    from akshara.llm import queries as Q
+
+    sf = "/root/testdata/sf0.001"
+    db = duckdb.connect()
+    for t in ("documents", "pages"):
+        db.sql(f"create view {t} as select * from '{sf}/{t}.parquet'")
+    want = db.sql(Q.oracle_sql()[name])
+    got = Q.queries()[name](spark, sf).select(*[F.col(c) for c in want.columns])
+    assert sorted(map(str, map(tuple, got.collect()))) == sorted(map(str, want.fetchall()))
