@@ -143,14 +143,19 @@ def merged(start: np.ndarray, stop: np.ndarray, owner: np.ndarray) -> tuple[np.n
     return start[first], stop[np.append(first[1:], len(start)) - 1], owner[first]
 
 
+def trimmed() -> None:
+    """Gives freed memory of this process back."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc has it
+    if trim:
+        trim(0)
+
+
 def released(run):
     """The function of a task, which gives freed memory back at its end: a reused worker would hold it through later stages."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from run(batches)
-        pa.default_memory_pool().release_unused()
-        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc has it
-        if trim:
-            trim(0)
+        trimmed()
 
     return task

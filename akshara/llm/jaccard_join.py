@@ -42,7 +42,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from akshara.llm._bytes import blocks, mix, pack, prefix_hash, released, span_hash, unpack, utf8, words
+from akshara.llm._bytes import blocks, mix, pack, prefix_hash, released, span_hash, trimmed, unpack, utf8, words
 from akshara.llm._frames import NO_ID, checkpointed, field, partitions, rowed, unrowed
 from akshara.llm.components import connected_components
 from akshara.llm.substring_dedup import document_key, normalised
@@ -459,6 +459,8 @@ def _divided(members: DataFrame, shingle: int, percent: int, limit: int, queries
         places = places.withColumn("new", new).where("new is not null")
         for x in [fa for names, *_ in pivots.values() for fa in names.tolist()]:
             root(x)
+        del pivots
+        trimmed()
         names = F.broadcast(spark.createDataFrame([(x, root(x)) for x in list(group)], "node long, root long"))
         moved = members.join(places, ["cell", "fa"]).select(F.col("new").alias("cell"), "fa", "n", "text", F.coalesce("c", "label").alias("label"))
         moved = moved.join(names, F.col("label") == F.col("node"), "left").select("cell", "fa", "n", "text", F.coalesce("root", "label").alias("label"))

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from akshara.llm._bytes import SPACE, blocks, released, utf8
+from akshara.llm._bytes import SPACE, blocks, released, trimmed, utf8
 from akshara.llm._frames import field, rowed, unrowed
 
 LENGTH, REACH, DECAY, SLOTS = 4, 6, 0.6, 1 << 18
@@ -136,7 +136,7 @@ def broken(text: np.ndarray, at: np.ndarray, rng) -> tuple[np.ndarray, np.ndarra
 
 
 def kernel(slots: np.ndarray, weights: np.ndarray, landmarks: np.ndarray) -> np.ndarray:
-    """Kernel values of stretches with the landmarks (slots x landmarks)."""
+    """Kernel values of stretches with the landmarks (places of slots x landmarks)."""
     out = np.zeros((len(slots), landmarks.shape[1]), np.float32)
     for j in range(slots.shape[1]):
         out += landmarks[slots[:, j]] * weights[:, j : j + 1]
@@ -200,16 +200,21 @@ def train_machine(texts: list[bytes], toxic: np.ndarray, seed: int = 11) -> Mach
         y = np.concatenate([np.ones(len(ps)), -np.ones(len(ns))])
         # landmarks: stretches of toxic texts far from one another, and some clean ones
         chosen = [*spread(ps, pw, LANDMARKS * 3 // 4, rng), *(len(ps) + rng.choice(len(ns), min(len(ns), LANDMARKS // 4), replace=False))]
-        landmarks = np.zeros((SLOTS, len(chosen)), np.float32)
+        # only slots that some landmark has are kept; all others share one row of zeros
+        used = np.unique(slots[chosen])
+        place = np.full(SLOTS, len(used), np.int32)
+        place[used] = np.arange(len(used))
+        landmarks = np.zeros((len(used) + 1, len(chosen)), np.float32)
         for k, c in enumerate(chosen):
-            np.add.at(landmarks[:, k], slots[c], weights[c])
+            np.add.at(landmarks[:, k], place[slots[c]], weights[c])
         values, vectors = np.linalg.eigh((landmarks.T @ landmarks).astype(np.float64))
         good = values > 1e-3 * values.max()
         white = (vectors[:, good] / np.sqrt(values[good])).astype(np.float32)
-        z = kernel(slots, weights, landmarks) @ white
+        z = kernel(place[slots], weights, landmarks) @ white
         cost = np.where(y > 0, 1.0, max(1.0, len(ps)) / max(1, len(ns)) * 2)
         w = fit_svm(z, y, cost)
-        table = (landmarks @ (white @ w[:-1].astype(np.float32))).astype(np.float32)
+        table = np.zeros(SLOTS, np.float32)
+        table[used] = (landmarks @ (white @ w[:-1].astype(np.float32)))[:-1]
     out = np.concatenate([worst(buf[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], table)[0] for i, j in blocks(offsets, 1 << 20)])
     floor = float(out[np.isfinite(out)].min())
     slope, bias = calibrated(np.where(np.isfinite(out), out, floor), toxic)
@@ -255,7 +260,10 @@ def train_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
     rows = docs.select(field(id_col).alias("__id"), field(text_col).alias("__text")).where("__text is not null").join(few, F.col("__id") == few["id"])
     rows = rows.groupBy("id", "label").agg(F.min("__text").alias("text")).collect()
     rows.sort(key=lambda r: (r.id, r.text))
-    return train_machine([r.text.encode() for r in rows], np.array([r.label for r in rows], np.int64))
+    machine = train_machine([r.text.encode() for r in rows], np.array([r.label for r in rows], np.int64))
+    del rows
+    trimmed()
+    return machine
 
 
 def _score(machine: Machine, text_col: str):
