@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from akshara.llm._bytes import SPACE, blocks, released, trimmed, utf8
+from akshara.llm._bytes import SPACE, blocks, released, utf8
 from akshara.llm._frames import field, rowed, unrowed
 
 LENGTH, REACH, DECAY, SLOTS = 4, 6, 0.6, 1 << 18
@@ -258,12 +258,21 @@ def train_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
     parts = [marks.where(F.col("label") == k).orderBy(F.xxhash64("id"), "id").limit(n) for k, n in (sample or SAMPLE).items()]
     few = F.broadcast(parts[0].unionByName(parts[1]))
     rows = docs.select(field(id_col).alias("__id"), field(text_col).alias("__text")).where("__text is not null").join(few, F.col("__id") == few["id"])
-    rows = rows.groupBy("id", "label").agg(F.min("__text").alias("text")).collect()
-    rows.sort(key=lambda r: (r.id, r.text))
-    machine = train_machine([r.text.encode() for r in rows], np.array([r.label for r in rows], np.int64))
-    del rows
-    trimmed()
-    return machine
+    rows = rows.groupBy("id", "label").agg(F.min("__text").alias("text"))
+    # the bounded sample meets in one task; the driver gets the machine alone
+    made = rows.repartition(1).sortWithinPartitions("id", "text").select("label", "text").mapInArrow(released(_train), "table binary, slope double, bias double, floor double").collect()
+    if not made:
+        return train_machine([], np.zeros(0, np.int64))
+    return Machine(np.frombuffer(bytes(made[0].table), np.float32), made[0].slope, made[0].bias, made[0].floor)
+
+
+def _train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    texts, labels = [], []
+    for batch in batches:
+        texts += batch.column("text").cast(pa.binary()).to_pylist()
+        labels += batch.column("label").to_pylist()
+    machine = train_machine(texts, np.array(labels, np.int64))
+    yield pa.RecordBatch.from_arrays([pa.array([machine.table.tobytes()], pa.binary()), pa.array([machine.slope]), pa.array([machine.bias]), pa.array([machine.floor])], ["table", "slope", "bias", "floor"])
 
 
 def _score(machine: Machine, text_col: str):
