@@ -34,6 +34,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from functools import reduce
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
@@ -60,6 +61,8 @@ HELD = 3_000_000
 #: Cells of no more classes are compared directly; pivots of a cell.
 SMALL, PIVOTS = 64, 12
 FACTS = "kind int, doc long, key long, n long, fa long, fb long"
+#: Bytes of a shingle from which it is hashed by itself.
+LONG = 256
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
@@ -74,7 +77,11 @@ def shingle_sets(buf: np.ndarray, offsets: np.ndarray, shingle: int = SHINGLE) -
     count = np.where(n == 0, 0, np.maximum(n - shingle + 1, 1))
     row = np.repeat(np.arange(len(n)), count)
     i = np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count) + first[row]
-    h = span_hash(prefix, s[i], e[np.minimum(i + shingle, first[row + 1]) - 1])
+    begin, stop = s[i], e[np.minimum(i + shingle, first[row + 1]) - 1]
+    h = span_hash(prefix, begin, stop)
+    # a polynomial modulo 2^64 has known collisions from about a thousand bytes on
+    for k in np.flatnonzero(stop - begin > LONG).tolist():
+        h[k] = int.from_bytes(blake2b(text[begin[k] : stop[k]].tobytes(), digest_size=8).digest())
     order = np.lexsort((h, row))
     h, row = h[order], row[order]
     new = np.ones(len(h), bool)

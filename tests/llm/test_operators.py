@@ -177,6 +177,16 @@ def test_jaccard_components(docs, empty):
     assert sorted(str(r.doc_id) for r in kept.collect()) == sorted({str(c) for _, _, c in want})
 
 
+def test_long_words_that_a_polynomial_takes_for_equal(spark):
+    """The Thue-Morse word of 2,048 letters and its complement, alone and inside shingles."""
+    bits = [bin(i).count("1") % 2 for i in range(2048)]
+    a, b = ("".join("xy"[k ^ flip] for k in bits) for flip in (0, 1))
+    near = prose(80)
+    rows = [(1, a), (2, b), (3, a), (4, f"{near} {a}"), (5, f"{near} {b}"), (6, f"{a} b c d e"), (7, f"{b} b c d e")]
+    got = {r.doc_id: r.component_id for r in jaccard_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: 1, 2: 2, 3: 1, 4: 4, 5: 4, 6: 6, 7: 7}
+
+
 def components_by_force(sets):
     root = np.arange(len(sets))
     for i in range(len(sets)):
