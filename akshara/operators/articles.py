@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -102,14 +102,19 @@ def story_edges(df: DataFrame, idx: str, words: str, threshold: float) -> DataFr
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """df cut from its lineage in the folder of spark.checkpoint.dir; only a Spark of one process may do without that setting."""
-    context = df.sparkSession.sparkContext
+    """df cut from its lineage in the folder of spark.checkpoint.dir."""
+    checkpoint_root(df.sparkSession)
+    return df.checkpoint(eager=True)
+
+
+def checkpoint_root(spark: SparkSession) -> None:
+    """Sets the context's checkpoint folder from spark.checkpoint.dir; only a Spark of one process may do without that setting."""
+    context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        folder = context.getConf().get("spark.checkpoint.dir") or df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        folder = context.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
         if folder is None and not context.master.startswith("local"):
             raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         context.setCheckpointDir(folder or f"{tempfile.gettempdir()}/checkpoints")
-    return df.checkpoint(eager=True)
 
 
 def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
