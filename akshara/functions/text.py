@@ -85,6 +85,11 @@ def story_key(title: Column) -> Column:
     return F.array_distinct(F.transform(title_words(title), light_stem))
 
 
+def normal_term(term: str) -> str:
+    """What normalized() and lower case make of a listed term, worked out while the plan is built."""
+    return " ".join(unicodedata.normalize("NFC", term.translate(dict.fromkeys(map(ord, L.ZERO_WIDTH)))).split()).lower()
+
+
 def stem_of(word: str) -> str:
     """light_stem() of a listed term, worked out while the plan is built."""
     end = next((s for s in L.SUFFIXES if word.endswith(s) and len(word) >= len(s) + 2), "")

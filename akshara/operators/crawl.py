@@ -34,7 +34,7 @@ def matches_keywords(keywords: list[str]) -> Column:
     """Whether any keyword occurs: phrases in the blob, words as tokens or by equal stems. No keywords: always; needs the columns of with_tokens()."""
     if not keywords:
         return F.lit(True)
-    terms = [" ".join(k.lower().split()) for k in keywords]
+    terms = [X.normal_term(k) for k in keywords]
     return (F.col("blob") != "") & (F.size(X.term_hits(terms, F.col("blob"), F.col("words"), F.col("stems"))) > 0)
 
 
@@ -84,41 +84,76 @@ def search_plan(keywords: DataFrame, engines: DataFrame) -> DataFrame:
     return rows.select((F.col("k") * n + F.col("e")).alias("ord"), "keyword", "engine")
 
 
-def search_chain(hits: DataFrame, pages: DataFrame, window: tuple[str | None, str | None], keywords: list[str] | None = None, mode: str = "narrow", cap: int | None = None, keep_undated: bool = True, min_body: int = 300, strong=L.STRONG, weak=L.WEAK) -> DataFrame:
-    """Every hit with its reason: kept, or why it is left out.
-
-    hits: ord (the order in which a run meets them), query, engine, url, title,
-    date, source, listing_url. pages: url, body, real_url, page_date, extractor,
-    page_title. An address counts from its first hit that no blocked host has,
-    whatever becomes of it; a title counts once kept. A cap keeps the first rows
-    of each query; without one the result is that of a run that goes hit by hit,
-    with one a later query may lose a title to a row beyond an earlier one's cap.
-    """
+def first_before(rows: DataFrame, marks: DataFrame, key: str, flag: str) -> DataFrame:
+    """rows with flag: whether a mark (key, query, ord, active) of the row's key stands before it that is active or of its own query. Empty keys have none."""
+    per = marks.where(F.col(key) != "").groupBy(key, "query").agg(F.min("ord").alias("__own"), F.min(F.when(F.col("active"), F.col("ord"))).alias("__act"))
+    every = per.groupBy(key).agg(F.min("__act").alias("__act"))
+    out = rows.join(per.select(key, "query", "__own"), [key, "query"], "left").join(every, key, "left")
+    return out.withColumn(flag, F.coalesce(F.col("__own") < F.col("ord"), F.lit(False)) | F.coalesce(F.col("__act") < F.col("ord"), F.lit(False))).drop("__own", "__act")
+
+
+def search_facts(hits: DataFrame, pages: DataFrame, window: tuple[str | None, str | None], keywords: list[str] | None, mode: str, keep_undated: bool, min_body: int, strong, weak) -> DataFrame:
+    """What is known of each hit by itself: its keys and why it would go; of bodies only lengths and openings travel."""
     none = F.lit("")
-    rows = hits.withColumn("__key", X.url_key(F.col("url"))).withColumn("__blocked", S.blocked(F.col("url")))
-    seen = F.row_number().over(Window.partitionBy("__key", "__blocked").orderBy("ord")) > 1
-    rows = rows.withColumn("__seen", seen).join(pages.withColumnsRenamed({"url": "__url"}), F.col("url") == F.col("__url"), "left")
-    rows = rows.withColumn("__old", F.coalesce(~X.in_window(X.parsed_date(F.col("date")), *window), F.lit(False)))
+    head = pages.select(F.col("url").alias("__url"), F.length(F.coalesce("body", none)).alias("__chars"), F.left(F.coalesce("body", none), F.lit(600)).alias("__head"), "real_url", "page_date", "extractor", "page_title")
+    rows = hits.join(head, F.col("url") == F.col("__url"), "left")
+    inside = lambda c: X.in_window(X.parsed_date(F.col(c)), *window)
     rows = rows.withColumn("final_title", F.when(truncated_title(F.col("title")), F.coalesce("page_title", none)).otherwise(F.col("title")))
-    rows = A.with_tokens(rows, F.concat_ws(" ", "final_title", F.left(F.coalesce("body", none), F.lit(600)))).withColumn("__topic", passes_topic(keywords or [], mode, strong, weak)).drop("blob", "words", "stems")
-    rows = rows.withColumn("final_date", F.coalesce(F.nullif("page_date", none), "date", none)).withColumn("__in", X.in_window(X.parsed_date(F.col("final_date")), *window))
-    short = F.length(F.coalesce("body", none)) < min_body
+    rows = rows.withColumn("final_date", F.coalesce(F.nullif("page_date", none), "date", none)).withColumn("__in", inside("final_date"))
+    rows = A.with_tokens(rows, F.concat_ws(" ", "final_title", F.coalesce("__head", none))).withColumn("__topic", passes_topic(keywords or [], mode, strong, weak))
     undated = F.col("__in").isNull() & F.lit(not keep_undated)
-    first = F.when(F.col("__blocked"), "aggregator or social site").when(F.col("__seen"), "already have this URL")
-    later = F.when(F.col("__old"), "outside the date window").when(short, "body too short").when(~F.col("__topic"), "off-topic").when(undated, "no date on page").when(~F.col("__in"), "outside the date window")
-    rows = rows.withColumns({"__first": first, "__later": later, "__title": X.normal_key(F.col("final_title")), "__hit": X.normal_key(F.col("title"))})
-    fit = F.col("__first").isNull() & F.col("__later").isNull()
-    # rows without a title are repeats of no other
-    turn = F.row_number().over(Window.partitionBy("__title", fit, F.when(F.col("__title") == "", F.col("ord"))).orderBy("ord"))
-    rows = rows.withColumn("__keep", fit & (turn == 1))
-    owner = rows.where("__keep").where("__title <> ''").select(F.col("__title").alias("__t"), F.col("ord").alias("__o"))
-    rows = rows.join(owner, F.col("__hit") == F.col("__t"), "left").withColumn("__known", F.coalesce(F.col("__o") < F.col("ord"), F.lit(False)))
-    reason = F.coalesce("__first", F.when(F.col("__known"), "already have this story"), "__later", F.when(~F.col("__keep"), "already have this story"), F.lit("kept"))
-    rows = rows.withColumn("reason", reason)
-    if cap is not None:
-        place = F.row_number().over(Window.partitionBy("query", F.col("reason") == "kept").orderBy("ord"))
-        rows = rows.withColumn("reason", F.when((F.col("reason") == "kept") & (place > cap), "beyond the cap").otherwise(F.col("reason")))
-    return rows.select("ord", "query", "engine", F.coalesce("real_url", "url").alias("link"), F.col("final_title").alias("title"), F.col("final_date").alias("date"), "source", "listing_url", "body", "extractor", "reason", F.col("__in").isNull().alias("undated"))
+    later = F.when(F.coalesce("__chars", F.lit(0)) < min_body, "body too short").when(~F.col("__topic"), "off-topic").when(undated, "no date on page").when(~F.col("__in"), "outside the date window")
+    link = F.coalesce("real_url", "url")
+    return rows.select(
+        "ord", "query", "engine", "url", link.alias("link"), "final_title", "final_date", "source", "listing_url", "extractor", F.col("__in").isNull().alias("undated"),
+        S.blocked(F.col("url")).alias("blocked"), F.coalesce(~inside("date"), F.lit(False)).alias("old"), later.alias("later"),
+        X.url_key(F.col("url")).alias("key"), X.url_key(link).alias("real_key"), X.normal_key(F.col("title")).alias("hit_key"), X.normal_key(F.col("final_title")).alias("title_key"),
+    )
+
+
+def search_chain(hits: DataFrame, pages: DataFrame, window: tuple[str | None, str | None], keywords: list[str] | None = None, mode: str = "narrow", cap: int | None = None, keep_undated: bool = True, min_body: int = 300, strong=L.STRONG, weak=L.WEAK) -> DataFrame:
+    """Every hit with its reason: kept, or why it is left out; kept rows have their body.
+
+    hits: ord (unique, the order in which a run meets them; a query's hits stand
+    together), query, engine, url, title, date, source, listing_url. pages (one
+    a url): url, body, real_url, page_date, extractor, page_title. An address
+    counts from its first hit that no blocked host has, and so does that a page
+    was really found at; a title counts once kept. Once a query has kept cap
+    hits, its later ones are not looked at and leave addresses and titles free.
+
+    What a hit meets follows from hits before it alone. So all are judged at
+    once against the verdicts of the round before, until a round changes
+    nothing: every round settles at least the first hits that were not, and in
+    practice all but a few chains of repeats and caps after two or three.
+    """
+    rows = A.checkpointed(search_facts(hits, pages, window, keywords, mode, keep_undated, min_body, strong, weak))
+    # at first every hit is taken that nothing of its own speaks against
+    now = rows.withColumns({"seen": F.lit(False), "known": F.lit(False), "again": F.lit(False), "active": F.lit(True), "fetched": ~F.col("blocked") & ~F.col("old")}).withColumn("kept", F.col("fetched") & F.col("later").isNull())
+    state = None
+    while True:
+        marks = now.where(~F.col("blocked")).select("key", "query", "ord", "active")
+        marks = marks.unionByName(now.where("fetched").select(F.col("real_key").alias("key"), "query", "ord", "active"))
+        titles = now.where("kept").select("title_key", "query", "ord", "active")
+        judged = first_before(rows, marks, "key", "seen")
+        judged = first_before(judged, titles.withColumnRenamed("title_key", "hit_key"), "hit_key", "known")
+        judged = first_before(judged, titles, "title_key", "again")
+        judged = judged.withColumn("fetched", ~(F.col("blocked") | F.col("seen") | F.col("known") | F.col("old"))).withColumn("kept", F.col("fetched") & F.col("later").isNull() & ~F.col("again"))
+        judged = A.checkpointed(judged)
+        if cap is None:
+            judged = judged.withColumn("active", F.lit(True))
+        else:
+            place = F.row_number().over(Window.partitionBy("query").orderBy("ord"))
+            cuts = judged.where("kept").select("query", "ord").withColumn("__n", place).where(F.col("__n") <= cap).groupBy("query").agg(F.max("ord").alias("__cut"), F.max("__n").alias("__n")).where(F.col("__n") == cap)
+            judged = judged.join(cuts.select("query", "__cut"), "query", "left").withColumn("active", F.coalesce(F.col("ord") <= F.col("__cut"), F.lit(True))).drop("__cut")
+        now = judged
+        seen = now.agg(F.sum(F.xxhash64("ord", "fetched", "kept", "active").cast("decimal(38,0)")).alias("s")).first().s
+        if seen == state:
+            break
+        state = seen
+    reason = F.when(~F.col("active"), "beyond the cap").when(F.col("blocked"), "aggregator or social site").when(F.col("seen"), "already have this URL").when(F.col("known"), "already have this story").when(F.col("old"), "outside the date window")
+    out = now.withColumn("reason", reason.otherwise(F.coalesce("later", F.when(F.col("again"), "already have this story"), F.lit("kept"))))
+    kept = out.where("reason = 'kept'").select("ord", "url").join(pages.select("url", "body"), "url").select("ord", "body")
+    return out.join(kept, "ord", "left").select("ord", "query", "engine", "link", F.col("final_title").alias("title"), F.col("final_date").alias("date"), "source", "listing_url", "body", "extractor", "reason", "undated")
 
 
 def kept_by_engine(chain: DataFrame) -> DataFrame:
