@@ -25,24 +25,33 @@ def nfc(text: pd.Series) -> pd.Series:
 
 def normalized(text: Column, full: bool = False) -> Column:
     """Zero-width characters deleted, NFC, white space collapsed and trimmed. full: NFC of every script, by an Arrow function; else of Devanagari alone."""
-    out = F.translate(F.coalesce(text, F.lit("")), L.ZERO_WIDTH, "")
-    if full:
-        out = nfc(out)
-    else:
+    plain = F.coalesce(text, F.lit(""))
+    even = plain
+    for c in "\t\n\v\f\r":
+        even = F.replace(even, F.lit(c), F.lit(" "))
+    even = F.replace(F.replace(even, F.lit("  "), F.lit(" ")), F.lit("  "), F.lit(" "))
+    even = F.when(F.contains(even, F.lit("  ")), F.regexp_replace(even, " +", " ")).otherwise(even)
+    out = F.translate(plain, L.ZERO_WIDTH, "")
+    if not full:
         for old, new in DECOMPOSED.items():
             out = F.replace(out, F.lit(old), F.lit(new))
-    return F.trim(F.regexp_replace(out, WHITE, " "))
+    out = F.regexp_replace(nfc(out) if full else out, WHITE, " ")
+    # most texts have white space of ASCII alone and nothing else to change; what could be is a no-break space, a soft hyphen or beyond U+0900
+    special = F.octet_length(plain) != F.length(plain)
+    if not full:
+        special = special & (F.contains(plain, F.lit("\u00a0")) | F.contains(plain, F.lit("\u00ad")) | plain.rlike("[\u0900-\U0010ffff]"))
+    return F.trim(F.when(special, out).otherwise(even))
 
 
 def has_devanagari(text: Column) -> Column:
     return F.coalesce(text.rlike(f"[{DEVANAGARI}]"), F.lit(False))
 
 
-def tokens(text: Column, least_hi: int = 3, least_en: int = 4) -> Column:
-    """Distinct Devanagari runs and lower-cased Latin runs of normalized text."""
+def tokens(text: Column, least_hi: int = 3, least_en: int = 4, lowered: bool = False) -> Column:
+    """Distinct Devanagari runs and lower-cased Latin runs of normalized text; lowered: it is in lower case."""
     hi = F.regexp_extract_all(text, F.lit(f"[{DEVANAGARI}]{{{least_hi},}}"), F.lit(0))
-    en = F.regexp_extract_all(F.lower(text), F.lit(f"[a-z]{{{least_en},}}"), F.lit(0))
-    return F.array_union(hi, en)
+    en = F.regexp_extract_all(text if lowered else F.lower(text), F.lit(f"[a-z]{{{least_en},}}"), F.lit(0))
+    return F.when(F.octet_length(text) == F.length(text), F.array_distinct(en)).otherwise(F.array_union(hi, en))
 
 
 def title_words(title: Column) -> Column:
@@ -97,12 +106,31 @@ def stem_of(word: str) -> str:
 
 
 def term_hits(terms, blob: Column, words: Column, stems: Column) -> Column:
-    """The listed terms found: phrases by substring, words as a token or by equal stems."""
-    found = []
-    for t in terms:
-        hit = F.contains(blob, F.lit(t)) if " " in t else F.array_contains(words, F.lit(t)) | F.array_contains(stems, F.lit(stem_of(t)))
-        found.append(F.when(hit, F.lit(t)))
-    return F.filter(F.array(*found), lambda x: x.isNotNull())
+    """The listed terms found, in the list's order: phrases by substring, words as a token or by equal stems.
+
+    Sets meet, so the cost of single words follows the text and not the list; a
+    list of thousands is a table for operators.lexicon.
+    """
+    terms = list(dict.fromkeys(terms))
+    none = F.array().cast("array<string>")
+    phrases, single = [t for t in terms if " " in t], [t for t in terms if " " not in t]
+    found = [F.filter(F.array(*[F.when(F.contains(blob, F.lit(t)), F.lit(t)) for t in phrases]), lambda x: x.isNotNull())] if phrases else []
+    if single:
+        found.append(F.array_intersect(F.lit(single), words))
+    # a stem that several terms have stands for all of them
+    by_stem: dict[str, list[str]] = {}
+    for t in single:
+        by_stem.setdefault(stem_of(t), []).append(t)
+    same = [s for s, of in by_stem.items() if of == [s]]
+    other = {s: of for s, of in by_stem.items() if of != [s]}
+    if same:
+        found.append(F.array_intersect(F.lit(same), stems))
+    if other:
+        of = F.create_map(*[x for s, t in other.items() for x in (F.lit(s), F.lit(t))])
+        found.append(F.flatten(F.transform(F.array_intersect(F.lit(list(other)), stems), lambda s: F.element_at(of, s))))
+    if not found:
+        return none
+    return found[0] if len(found) == 1 else F.array_intersect(F.lit(terms), F.concat(*found))
 
 
 def numbers(text: Column) -> Column:
@@ -125,7 +153,7 @@ def percent(part: Column, whole: Column) -> Column:
 
 def parsed_date(value: Column) -> Column:
     """The date of a text in one of the accepted forms or an ISO timestamp, else null."""
-    text = F.regexp_replace(value, r"^[\s\p{Z}]+|[\s\p{Z}]+$", "")
+    text = F.when(value.rlike(r"^[\s\p{Z}]|[\s\p{Z}]$"), F.regexp_replace(value, r"^[\s\p{Z}]+|[\s\p{Z}]+$", "")).otherwise(value)
     text = F.when(text.rlike(r"^[0-9]{4}-[0-9]{2}-[0-9]{2}[T ]"), F.left(text, F.lit(10))).otherwise(text)
     return F.coalesce(*[F.try_to_date(text, f) for f in L.DATE_FORMATS])
 

@@ -50,8 +50,9 @@ def coverage(df: DataFrame, source: str, story: str) -> DataFrame:
 def with_tokens(df: DataFrame, text: Column, least_hi: int = 2, least_en: int = 3) -> DataFrame:
     """df with blob, words and stems of a text, each computed once."""
     out = df.withColumn("blob", F.lower(X.normalized(text)))
-    out = out.withColumn("words", X.tokens(F.col("blob"), least_hi, least_en))
-    return out.withColumn("stems", F.array_distinct(F.transform("words", X.light_stem)))
+    out = out.withColumn("words", X.tokens(F.col("blob"), least_hi, least_en, lowered=True))
+    # Latin words are their own stems
+    return out.withColumn("stems", F.when(X.has_devanagari(F.col("blob")), F.array_distinct(F.transform("words", X.light_stem))).otherwise(F.col("words")))
 
 
 def relevant(blob: str = "blob", strong=L.STRONG, weak=L.WEAK) -> Column:
@@ -81,24 +82,63 @@ def gates(df: DataFrame, title: str, body: str, story: str, off_topic: Column) -
     return df.withColumns({"grounding_ceiling": ceiling, "gate_failures": failures, "gates_passed": F.size(failures) == 0})
 
 
-def story_edges(df: DataFrame, idx: str, words: str, threshold: float) -> DataFrame:
-    """Pairs a < b whose word sets have a Jaccard similarity of threshold or more.
+def title_classes(df: DataFrame, idx: str, words: str) -> tuple[DataFrame, DataFrame]:
+    """Members (i, cls) and classes (cls, w, size) of equal word sets; cls is the smallest idx. Rows without words are in none."""
+    rows = df.select(F.col(idx).alias("i"), F.array_sort(words).alias("w")).where(F.size("w") > 0)
+    classes = rows.groupBy("w").agg(F.min("i").alias("cls"), F.count("*").alias("size"))
+    return rows.join(classes, "w").select("i", "cls"), classes
+
+
+def story_edges(classes: DataFrame, threshold: float) -> DataFrame:
+    """a < b and score: pairs of classes whose word sets have a Jaccard similarity of threshold or more.
 
     Two such sets share one of the first n - ceil(threshold n) + 1 words of each
     in one order of all words, the rarest first; so only those are joined, and a
-    frequent word forms pairs only where a title has no other. Pairs are then
-    tested on their whole sets.
+    frequent word forms pairs only where a title has no other. Ids alone meet
+    there; each pair then fetches its whole sets once.
+    """
+    rows = classes.select("cls", F.size("w").alias("n"), F.explode("w").alias("t"))
+    often = rows.groupBy("t").agg(F.count("*").alias("f"))
+    ranked = rows.join(often, "t").groupBy("cls").agg(F.first("n").alias("n"), F.array_sort(F.collect_list(F.struct("f", "t"))).alias("order"))
+    kept = F.col("n") - F.ceil(F.col("n") * F.lit(threshold) - 1e-9).cast("int") + 1
+    first = ranked.select("cls", "n", F.explode(F.slice("order", F.lit(1), kept)).alias("x")).select(F.col("cls").alias("a"), "n", "x.t")
+    other = first.select(F.col("a").alias("b"), F.col("n").alias("m"), "t")
+    alike = F.least("n", "m") >= F.lit(threshold) * F.greatest("n", "m") - 1e-9
+    pairs = first.join(other, "t").where((F.col("a") < F.col("b")) & alike).select("a", "b").distinct()
+    of = lambda c, w: classes.select(F.col("cls").alias(c), F.col("w").alias(w))
+    k = F.size(F.array_intersect("w", "v"))
+    union = F.size("w") + F.size("v") - k
+    return pairs.join(of("a", "w"), "a").join(of("b", "v"), "b").where(k >= F.lit(threshold) * union).select("a", "b", (k / union).alias("score"))
+
+
+def story_components(df: DataFrame, idx: str, words: str, threshold: float) -> DataFrame:
+    """node and cluster of every row: single linkage of its word set. Equal sets are one class from the start, so a title that a million rows have costs no pair."""
+    members, classes = title_classes(df, idx, words)
+    classes = checkpointed(classes)
+    found = components(classes.select("cls"), story_edges(classes, threshold))
+    rows = members.join(found, F.col("cls") == F.col("node")).select("i", "cluster")
+    return df.select(F.col(idx).alias("node")).join(rows, F.col("node") == F.col("i"), "left").select("node", F.coalesce("cluster", "node").alias("cluster"))
+
+
+def same_story(df: DataFrame, idx: str, words: str, threshold: float = 0.45, most: int = 10) -> DataFrame:
+    """For each row the rows of nearly its title, the likest first and equal ones by idx: i, others (how many there are), place (from 0, below most), other and score.
+
+    Counts come from the classes' sizes. Of a class only the first most + 1
+    members can stand in a list, so only those are joined to its neighbours.
     """
-    rows = df.select(F.col(idx).alias("i"), F.col(words).alias("w")).where(F.size("w") > 0)
-    long = rows.select("i", "w", F.explode("w").alias("t"))
-    often = long.groupBy("t").agg(F.count("*").alias("f"))
-    ranked = long.join(often, "t").groupBy("i").agg(F.first("w").alias("w"), F.array_sort(F.collect_list(F.struct("f", "t"))).alias("order"))
-    kept = F.size("w") - F.ceil(F.size("w") * F.lit(threshold) - 1e-9).cast("int") + 1
-    first = ranked.select("i", "w", F.explode(F.slice("order", F.lit(1), kept)).alias("x")).select("i", "w", "x.t")
-    other = first.select(F.col("i").alias("j"), F.col("w").alias("v"), "t")
-    n, m, k = F.size("w"), F.size("v"), F.size(F.array_intersect("w", "v"))
-    near = (F.least(n, m) >= F.lit(threshold) * F.greatest(n, m) - 1e-9) & (k >= F.lit(threshold) * (n + m - k))
-    return first.join(other, "t").where(F.col("i") < F.col("j")).where(near).select(F.col("i").alias("a"), F.col("j").alias("b")).distinct()
+    members, classes = title_classes(df, idx, words)
+    members, classes = checkpointed(members), checkpointed(classes)
+    edges = story_edges(classes, threshold)
+    both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"), "score")).unionByName(classes.select(F.col("cls").alias("a"), F.col("cls").alias("b"), F.lit(1.0).alias("score")))
+    both = checkpointed(both)
+    sizes = classes.select(F.col("cls").alias("b"), "size")
+    others = both.join(sizes, "b").groupBy("a").agg((F.sum("size") - 1).alias("others"))
+    few = members.withColumn("__n", F.row_number().over(Window.partitionBy("cls").orderBy("i"))).where(F.col("__n") <= most + 1).select(F.col("cls").alias("b"), F.col("i").alias("other"))
+    place = F.row_number().over(Window.partitionBy("a").orderBy(F.desc("score"), "other"))
+    lists = both.join(few, "b").withColumn("__p", place).where(F.col("__p") <= most + 1).groupBy("a").agg(F.array_sort(F.collect_list(F.struct("__p", "other", "score"))).alias("l"))
+    rows = members.join(lists.join(others, "a"), F.col("cls") == F.col("a")).where("others > 0")
+    rows = rows.select("i", "others", F.posexplode(F.slice(F.filter("l", lambda x: x["other"] != F.col("i")), 1, most)).alias("place", "x"))
+    return rows.select("i", "others", "place", "x.other", "x.score")
 
 
 def checkpointed(df: DataFrame) -> DataFrame:

@@ -65,7 +65,7 @@ def cluster_members(df: DataFrame, mode: str = "story", idx: str = "idx", title:
         out = rows.withColumn("cluster", F.coalesce(F.get("topics", F.lit(0)), F.lit("Unclassified")))
     else:
         keys = rows.select("idx", X.story_key(blank("title")).alias("w"))
-        found = A.components(keys.select("idx"), A.story_edges(keys, "idx", "w", threshold))
+        found = A.story_components(keys, "idx", "w", threshold)
         out = rows.join(found, F.col("idx") == F.col("node")).withColumn("cluster", F.col("cluster").cast("string"))
     place = F.row_number().over(Window.partitionBy("cluster").orderBy(F.desc("chars"), "idx")) - 1
     return out.select("idx", "cluster", "chars", place.alias("place"), "topics", "title")

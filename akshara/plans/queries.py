@@ -234,7 +234,7 @@ SELECT doc_id, s AS plagiarism_score, CASE WHEN s <= 20 THEN 'ok' WHEN s <= 35 T
 
 def clustered(spark, sf_dir):
     rows = articles(spark, sf_dir).withColumn("w", X.story_key(F.col("title")))
-    return rows.join(A.components(rows.select("doc_id"), A.story_edges(rows, "doc_id", "w", 0.20)).withColumnRenamed("node", "doc_id"), "doc_id")
+    return rows.join(A.story_components(rows, "doc_id", "w", 0.20).withColumnRenamed("node", "doc_id"), "doc_id")
 
 
 CLUSTER = f"""WITH RECURSIVE art AS (SELECT *, list_distinct(list_transform({title_sql("title")}, lambda w: {stem("w")})) AS w FROM ({ART})), tok AS (SELECT doc_id, len(w) AS n, unnest(w) AS t FROM art),

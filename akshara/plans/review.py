@@ -11,6 +11,7 @@ from pyspark.sql.window import Window
 from akshara.functions import text as X
 from akshara.functions.topics import TOPICS
 from akshara.operators import articles as A
+from akshara.operators import lexicon as LX
 from akshara.operators import review as R
 from akshara.plans import queries as Q
 from akshara.sources import search as S
@@ -61,15 +62,16 @@ SELECT topic, count(*) AS size, sum(length(body))::BIGINT AS chars, arg_max(doc_
 
 
 def same_story(spark, sf_dir):
-    """For each article: how many others have nearly its title, and the nearest by id."""
+    """For each article the five others of the likest titles, with score, source, title and length, and how many there are in all."""
     rows = Q.articles(spark, sf_dir).withColumn("w", X.title_words(F.col("title")))
-    edges = A.story_edges(rows, "doc_id", "w", 0.45)
-    both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    return both.groupBy(F.col("a").alias("doc_id")).agg(F.count("*").alias("others"), F.min("b").alias("smallest"))
+    found = A.same_story(rows, "doc_id", "w", 0.45, 5)
+    named = rows.select(F.col("doc_id").alias("other"), "source", "title", F.length("body").alias("chars"))
+    return found.join(named, "other").select(F.col("i").alias("doc_id"), "others", "place", "other", F.bround("score", 2).alias("score"), "source", "title", "chars")
 
 
-SQL["same_story"] = f"""WITH tok AS (SELECT doc_id, len(w) AS n, unnest(w) AS t FROM (SELECT doc_id, {Q.title_sql("title")} AS w FROM ({Q.ART}))), e AS (SELECT a.doc_id AS a, b.doc_id AS b FROM tok a JOIN tok b ON a.t = b.t AND a.doc_id <> b.doc_id GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING count(*) >= 0.45::DOUBLE * (a.n + b.n - count(*)))
-SELECT a AS doc_id, count(*) AS others, min(b) AS smallest FROM e GROUP BY a"""
+SQL["same_story"] = f"""WITH a AS (SELECT *, {Q.title_sql("title")} AS w FROM ({Q.ART})), tok AS (SELECT doc_id, len(w) AS n, unnest(w) AS t FROM a), e AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) / (a.n + b.n - count(*))::DOUBLE AS score FROM tok a JOIN tok b ON a.t = b.t AND a.doc_id <> b.doc_id GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING count(*) >= 0.45::DOUBLE * (a.n + b.n - count(*))),
+r AS (SELECT *, count(*) OVER (PARTITION BY a) AS others, CAST(row_number() OVER (PARTITION BY a ORDER BY score DESC, b) - 1 AS INT) AS place FROM e)
+SELECT r.a AS doc_id, others, place, r.b AS other, round_even(score, 2) AS score, source, title, CAST(length(body) AS INT) AS chars FROM r JOIN a ON a.doc_id = r.b WHERE place < 5"""
 
 
 def listing_links(spark, sf_dir):
@@ -198,7 +200,21 @@ def hourly_counts(spark, sf_dir):
 
 SQL["hourly_counts"] = "SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M:%S') AS hour, event_type, count(*) AS n FROM events GROUP BY 1, 2"
 
-NAMES = ("derived_topics", "verified_topics", "topic_buckets", "same_story", "listing_links", "page_hosts", "freshness", "article_search", "score_report", "gate_listing", "impact_table", "text_languages", "newest_of_each", "runs_by_day", "log_progress", "hourly_counts")
+def lexicon_terms(spark, sf_dir):
+    """Documents that hold terms of a list of all words of four letters or more and all pairs of neighbouring ones of the benchmark: how many, and which."""
+    runs = Q.table(spark, sf_dir, "benchmark").select("item_id", F.regexp_extract_all(F.lower(F.coalesce("text", F.lit(""))), F.lit("[a-z]{4,}"), F.lit(0)).alias("w"))
+    pairs = F.transform(F.filter(F.sequence(F.lit(1), F.size("w")), lambda i: i < F.size("w")), lambda i: F.concat_ws(" ", F.get("w", i - 1), F.get("w", i)))
+    terms = runs.where(F.size("w") > 0).select(F.explode(F.concat("w", pairs)).alias("term")).distinct().withColumn("list", F.when(F.contains("term", F.lit(" ")), "pairs").otherwise("words"))
+    docs = Q.table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = LX.lexicon_hits(docs, "doc_id", F.col("text"), terms)
+    return found.groupBy(F.col("idx").alias("doc_id"), "list").agg(F.count("*").alias("n"), F.md5(F.array_join(F.array_sort(F.collect_list("term")), ",")).alias("terms_md5"))
+
+
+SQL["lexicon_terms"] = f"""WITH r AS (SELECT regexp_extract_all(lower(coalesce(text, '')), '[a-z]{{4,}}') AS w FROM benchmark), l AS (SELECT DISTINCT unnest(list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]))) AS term FROM r),
+{Q.token_sql("SELECT doc_id, text FROM documents", "text")}, h AS (SELECT doc_id, 'pairs' AS list, term FROM t3 JOIN l ON contains(blob, term) WHERE contains(term, ' ') UNION ALL SELECT doc_id, 'words', term FROM (SELECT doc_id, unnest(words) AS word FROM t3) JOIN l ON word = term)
+SELECT doc_id, list, count(*) AS n, md5(string_agg(term, ',' ORDER BY term)) AS terms_md5 FROM h GROUP BY 1, 2"""
+
+NAMES = ("lexicon_terms", "derived_topics", "verified_topics", "topic_buckets", "same_story", "listing_links", "page_hosts", "freshness", "article_search", "score_report", "gate_listing", "impact_table", "text_languages", "newest_of_each", "runs_by_day", "log_progress", "hourly_counts")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
