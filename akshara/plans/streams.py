@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from akshara.operators import articles as A
 from akshara.plans import queries as Q
 from akshara.sources import logs
+from akshara.sources import versions as V
 from akshara.streaming import articles as S
 
 STEPS, LOGS = 3, 8
@@ -99,7 +100,26 @@ u AS (SELECT page_id, title, regexp_replace(lower(regexp_extract(rest, '^([^/?]*
 SQL["streamed_pages"] = f"""WITH {_rows}, a AS (SELECT page_id, url_key, {Q.key("title")} AS title_key FROM u QUALIFY url_key = '' OR row_number() OVER (PARTITION BY url_key ORDER BY page_id) = 1)
 SELECT page_id, url_key, title_key FROM a QUALIFY title_key = '' OR row_number() OVER (PARTITION BY title_key ORDER BY page_id) = 1"""
 
-NAMES = ("log_tail", "streamed_pages")
+def version_history(spark, sf_dir):
+    """Documents written as three versions, one of them by a writer that stopped; each version as a reader of it finds it."""
+    root = shared_folder(spark, "versions")
+    docs = Q.table(spark, sf_dir, "documents").select("doc_id", "lang", "text")
+    V.commit(docs.where("lang = 'en'"), root, {"run_id": "first"}, expect=0)
+    V.commit(docs, root, {"run_id": "second"}, expect=1)
+    docs.limit(0).write.json(f"{root}/data-stopped")
+    V.commit(docs.where("lang <> 'en'"), root, {"run_id": "third"}, expect=2)
+    V.expire(spark, root, keep=2)
+    out = None
+    for v in (2, 3):
+        rows = V.snapshot(spark, root, v).groupBy(F.lit(v).alias("version"), "lang").agg(F.count("*").alias("n"), F.sum(F.length("text")).alias("chars"))
+        out = rows if out is None else out.unionByName(rows)
+    return out.join(V.versions(spark, root).select(F.col("version").cast("int").alias("version"), "rows", F.element_at("meta", "run_id").alias("run_id")), "version")
+
+
+SQL["version_history"] = """WITH v AS (SELECT 2 AS version, 'second' AS run_id, * FROM documents UNION ALL SELECT 3, 'third', * FROM documents WHERE lang <> 'en')
+SELECT version, lang, count(*) AS n, sum(length(text))::BIGINT AS chars, any_value(rows) AS rows, any_value(run_id) AS run_id FROM (SELECT *, count(*) OVER (PARTITION BY version) AS rows FROM v) GROUP BY version, lang"""
+
+NAMES = ("log_tail", "streamed_pages", "version_history")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -8,13 +8,13 @@ whole, a row a file, so they suit exports. Stages of a run are Parquet folders
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from akshara.sources import versions as V
+
 ARTICLE = "title string, link string, date string, source string, listing_url string, body string, fetched_at string, search_keyword string, search_engine string, extractor string, zone_code string, zone_name string, source_lang string, ai_headline string, ai_news_story string, topics array<string>, fact_score int, plagiarism_score int, truncated boolean"
 REGISTRY = "name string, category string, language string, notes string, crawl_difficulty string, priority int, start_urls array<string>, search_keywords array<string>"
 
@@ -35,40 +35,30 @@ def as_fields(schema: str) -> str:
     return ", ".join(": ".join(c.strip().split(" ", 1)) for c in schema.split(", "))
 
 
-def write_articles(df: DataFrame, path: str, meta: dict[str, str] | None = None) -> None:
-    """The articles as JSON lines at path, each with _meta as a field where there is any; read_lines() reads them.
-
-    A run writes a folder of its own beside path and is then renamed to it, so
-    readers see the old articles or the new ones.
-    """
-    if meta is not None:
-        df = df.withColumn("_meta", F.struct(*[F.lit(v).alias(k) for k, v in meta.items()]))
-    spark = df.sparkSession
-    new, old = (f"{path.rstrip('/')}.{end}-{uuid.uuid4().hex}" for end in ("new", "old"))
-    df.write.json(new)
-    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
-    target, fresh, past = hadoop(path), hadoop(new), hadoop(old)
-    fs = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    if fs.exists(target):
-        fs.rename(target, past)
-    if not fs.rename(fresh, target):
-        fs.rename(past, target)
-        raise OSError(f"could not rename {new} to {path}")
-    fs.delete(past, True)
-
-
-def read_lines(spark: SparkSession, path: str, schema: str = ARTICLE) -> DataFrame:
-    """The articles of JSON lines, split among tasks within files; malformed lines hold none."""
+def write_articles(df: DataFrame, path: str, meta: dict[str, str] | None = None, keep: int = 10) -> int:
+    """The articles as the newest version of the folder path, with the run's facts in its entry; the number of the version. Older ones than the last keep expire."""
+    version = V.commit(df, path, meta)
+    V.expire(df.sparkSession, path, keep)
+    return version
+
+
+def read_lines(spark: SparkSession, path: str, schema: str = ARTICLE, version: int | None = None) -> DataFrame:
+    """The articles of a version (the newest) of a folder that write_articles() wrote, or of plain JSON lines, split among tasks within files; malformed lines hold none."""
+    found = V.entries(spark, path)
+    if found:
+        rows = V.snapshot(spark, path, version)
+        wanted = spark.createDataFrame([], schema).schema
+        return rows.select(*[F.col(f.name).cast(f.dataType) if f.name in rows.columns else F.lit(None).cast(f.dataType).alias(f.name) for f in wanted])
     try:
         return spark.read.schema(schema).option("mode", "DROPMALFORMED").json(path)
     except AnalysisException:
         return spark.createDataFrame([], schema)
 
 
-def read_meta(spark: SparkSession, path: str) -> dict[str, str]:
-    """The _meta that write_articles() put into JSON lines, empty where there is none."""
-    rows = spark.read.schema("_meta map<string, string>").json(path).where("_meta is not null").limit(1).collect()
-    return dict(rows[0]["_meta"]) if rows else {}
+def read_meta(spark: SparkSession, path: str, version: int | None = None) -> dict[str, str]:
+    """The facts of a version (the newest), empty where there are none."""
+    found = V.entries(spark, path)
+    return dict(found.get(version or max(found, default=0), {}).get("meta", {}))
 
 
 def read_registry(spark: SparkSession, path: str) -> DataFrame:
