@@ -203,6 +203,34 @@ SQL["release_chain"] = expected(
 )
 
 
+#: Windows and rules of the releases drawn from documents.
+RELEASED = ("2024-01-03", "2024-01-25")
+
+
+def zone_releases(spark, sf_dir):
+    """Documents as releases of their sources, in Devanagari letters but for every fifth: all rules in one run, and what becomes of each."""
+    docs = Q.articles(spark, sf_dir).withColumn("n", F.col("doc_id"))
+    body = F.when(F.col("n") % 11 == 0, F.concat(F.left("body", F.lit(20)), F.lit(" Add Hindi content here"))).when(F.col("n") % 13 == 0, F.lit("x [PDF attached: x]")).when(F.col("n") % 5 != 0, F.translate("body", Q.LATIN, Q.DEVA)).otherwise(F.col("body"))
+    day = F.when(F.col("n") % 9 != 0, F.format_string("%02d-01-2024", F.col("n") % 28 + 1)).otherwise("")
+    rows = docs.select(F.col("n").alias("ord"), F.col("source").alias("zone_code"), F.concat(F.col("source"), F.lit(" zone")).alias("zone_name"), F.left(F.translate("title", Q.LATIN, Q.DEVA), F.lit(9)).alias("title"), day.alias("date"), F.lit("u").alias("link"), body.alias("body"))
+    out = C.release_chain(rows, RELEASED, keywords=[Q.DEVA_TERMS[0], Q.DEVA_TERMS[2]], hindi_only=True, per_zone=150)
+    return out.select("ord", "reason", "is_hindi_body", "title_hindi_ratio", "body_hindi_ratio", F.col("source"))
+
+
+def _ratio(x: str) -> str:
+    hi, en = Q._script(x, r"\x{0900}-\x{097F}"), Q._script(x, "a-zA-Z")
+    return f"(CASE WHEN {hi} + {en} > 0 THEN {hi}::DOUBLE / ({hi} + {en}) ELSE 0.0 END)"
+
+
+_zone = f"""SELECT doc_id AS ord, source AS zone_code, left(translate(title, '{Q.LATIN}', '{Q.DEVA}'), 9) AS title, CASE WHEN doc_id % 9 <> 0 THEN DATE '2024-01-01' + CAST(doc_id % 28 AS INT) END AS day,
+CASE WHEN doc_id % 11 = 0 THEN left(body, 20) || ' Add Hindi content here' WHEN doc_id % 13 = 0 THEN 'x [PDF attached: x]' WHEN doc_id % 5 <> 0 THEN translate(body, '{Q.LATIN}', '{Q.DEVA}') ELSE body END AS body FROM ({Q.ART})"""
+SQL["zone_releases"] = f"""WITH {Q.token_sql(f"SELECT * FROM ({_zone})", "title || ' ' || left(body, 600)")}, i AS (SELECT *, coalesce(day BETWEEN DATE '2024-01-03' AND DATE '2024-01-25', false) AS inside FROM t3),
+p AS (SELECT *, inside AND row_number() OVER (PARTITION BY zone_code, inside ORDER BY ord) <= 150 AS take, CASE WHEN length(body) < 200 THEN CASE WHEN contains(body, 'Add Hindi content here') THEN 'untranslated template' WHEN contains(body, '[PDF attached:') THEN 'PDF-only (no inline text)' ELSE length(body) || ' chars' END END AS thin FROM i),
+a AS (SELECT *, row_number() OVER (PARTITION BY zone_code, {Q.key("title")}, take AND thin IS NULL ORDER BY ord) > 1 AS again, {_ratio("body")} AS ratio, {_ratio("title")} AS title_ratio FROM p)
+SELECT ord, CASE WHEN NOT inside THEN 'outside the date window' WHEN NOT take THEN 'beyond the cap' WHEN thin IS NOT NULL THEN thin WHEN again THEN 'duplicate' WHEN NOT (blob <> '' AND len({Q.hits_sql((Q.DEVA_TERMS[0], Q.DEVA_TERMS[2]))}) > 0) THEN 'no keyword match' WHEN ratio < 0.5 THEN 'not Hindi' ELSE 'kept' END AS reason,
+ratio >= 0.5 AS is_hindi_body, round_even(title_ratio, 2) AS title_hindi_ratio, round_even(ratio, 2) AS body_hindi_ratio, zone_code || ' zone (RSB Hindi)' AS source FROM a"""
+
+
 def release_keywords(spark, sf_dir):
     """An open window keeps undated releases; one release per zone and a keyword."""
     return C.release_chain(releases(spark), (None, None), keywords=["गाड़ी"], per_zone=1).where("reason in ('kept', 'no keyword match')").select("ord", "reason")

@@ -153,6 +153,46 @@ SQL["bi_script_keys"] = f"""SELECT id, {key("text")} AS title_key, md5({key("tex
 array_to_string(list_sort(CASE WHEN {_deva} > 0 THEN list_filter({_mixed}, lambda w: w NOT IN ({_both})) ELSE {title_sql("text")} END), ' ') AS words, array_to_string({value_order(nums("text"))}, ',') AS numbers FROM ({VALUES})"""
 
 
+#: Stand-ins for a-z, so that the texts of the tables have Devanagari words with suffixes, vowel signs and digits.
+LATIN, DEVA = "abcdefghijklmnopqrstuvwxyz0123456789", "ाबचदेफगहिजकलमनोपकरसतुवयखय़ज०१२३४५६७८९".replace("\u092f\u093c", "ँ")
+DEVA_TERMS = tuple(w.translate(str.maketrans(LATIN, DEVA)) for w in ("the", "erthe", "tion", "apple", "oneror", "and the"))
+
+
+def deva_articles(spark, sf_dir) -> DataFrame:
+    docs = articles(spark, sf_dir)
+    return docs.select("doc_id", F.translate("title", LATIN, DEVA).alias("title"), F.translate("body", LATIN, DEVA).alias("body"))
+
+
+DEVA_ART = f"SELECT doc_id, translate(title, '{LATIN}', '{DEVA}') AS title, translate(body, '{LATIN}', '{DEVA}') AS body FROM ({ART})"
+
+
+def deva_terms(spark, sf_dir):
+    """Whole documents in Devanagari letters: listed terms found as tokens, by stems and as phrases, and the stems themselves."""
+    rows = A.with_tokens(deva_articles(spark, sf_dir), F.col("body"))
+    hits = X.term_hits(DEVA_TERMS, F.col("blob"), F.col("words"), F.col("stems"))
+    return rows.select("doc_id", F.array_join(hits, ",").alias("hits"), F.size("words").alias("n_words"), F.size("stems").alias("n_stems"), F.md5(F.array_join(F.array_sort("stems"), " ")).alias("stems_md5"))
+
+
+SQL["deva_terms"] = f"""WITH {token_sql(DEVA_ART, "body")} SELECT doc_id, array_to_string({hits_sql(DEVA_TERMS)}, ',') AS hits, CAST(len(words) AS INT) AS n_words, CAST(len(list_distinct(stems)) AS INT) AS n_stems, md5(array_to_string(list_sort(list_distinct(stems)), ' ')) AS stems_md5 FROM t3"""
+
+
+def deva_keys(spark, sf_dir):
+    """Titles and bodies of documents in Devanagari letters: keys, shares of script, words that tell titles apart, figures."""
+    rows = deva_articles(spark, sf_dir)
+    numbers = F.array_join(X.by_value(X.numbers(F.col("body"))), ",")
+    return rows.select("doc_id", F.md5(X.normal_key(F.col("body"))).alias("body_key"), F.round(X.script_ratio(F.col("body")), 6).alias("ratio"), X.has_devanagari(F.col("title")).alias("devanagari"), F.array_join(F.array_sort(X.title_words(F.col("title"))), " ").alias("words"), numbers.alias("numbers"))
+
+
+def _script(x: str, letters: str) -> str:
+    return f"length(regexp_replace({x}, '[^{letters}]', '', 'g'))"
+
+
+_dv, _lt = _script("body", r"\x{0900}-\x{097F}"), _script("body", "a-zA-Z")
+_tmixed = words_sql(rf"regexp_replace({norm('title')}, '[\s\p{{Z}}]+[-–—|][\s\p{{Z}}]+[^-–—|]{{2,30}}$', '')", 3, 4)
+SQL["deva_keys"] = f"""SELECT doc_id, md5({key("body")}) AS body_key, round(CASE WHEN {_dv} + {_lt} > 0 THEN {_dv}::DOUBLE / ({_dv} + {_lt}) ELSE 0.0 END, 6) AS ratio, regexp_matches(title, '[\\x{{0900}}-\\x{{097F}}]') AS devanagari,
+array_to_string(list_sort(CASE WHEN regexp_matches(title, '[\\x{{0900}}-\\x{{097F}}]') THEN list_filter({_tmixed}, lambda w: w NOT IN ({_both})) ELSE {title_sql("title")} END), ' ') AS words, array_to_string({value_order(nums("body"))}, ',') AS numbers FROM ({DEVA_ART})"""
+
+
 def title_dedup(spark, sf_dir):
     rows = articles(spark, sf_dir).select("doc_id", X.normal_key(F.col("title")).alias("title_key"))
     return A.first_wins(rows, "title_key", ["doc_id"]).select("doc_id", "title_key", F.md5("title_key").alias("dedup_key"))
@@ -371,7 +411,7 @@ def json_props(spark, sf_dir):
 
 SQL["json_props"] = "SELECT event_type, sum(CAST(json_extract(props, '$.k') AS BIGINT))::BIGINT AS k_sum, CAST(max(ts) AS VARCHAR) AS newest FROM events GROUP BY event_type"
 
-NAMES = ("number_coverage", "grounding_gates", "bi_script_terms", "bi_script_keys", "title_dedup", "title_tokens", "url_dedup", "date_window", "drop_reasons", "copied_text", "story_clusters", "merged_by_language", "source_report", "browse_rows", "selection", "resume_estimate", "source_caps", "search_plan", "run_compare", "page_paragraphs", "bilingual_scores", "json_props")
+NAMES = ("deva_terms", "deva_keys", "number_coverage", "grounding_gates", "bi_script_terms", "bi_script_keys", "title_dedup", "title_tokens", "url_dedup", "date_window", "drop_reasons", "copied_text", "story_clusters", "merged_by_language", "source_report", "browse_rows", "selection", "resume_estimate", "source_caps", "search_plan", "run_compare", "page_paragraphs", "bilingual_scores", "json_props")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
