@@ -14,7 +14,7 @@ from akshara.sources import search as S
 from akshara.streaming import articles as ST
 
 SF = "/root/testdata/sf0.001"
-TABLES = ("events", "documents", "pages", "labels", "conversations")
+TABLES = ("events", "documents", "pages", "labels", "conversations", "benchmark")
 
 
 @pytest.mark.parametrize("name", sorted(plans.oracle_sql()))

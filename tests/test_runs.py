@@ -1,9 +1,13 @@
 """Run summaries, settings that differ, fingerprints and stale stages."""
 
+import duckdb
 import pytest
-from pyspark.sql import functions as F
 
 from akshara.operators import runs as R
+from akshara.plans import runs as plans
+from akshara.plans import streams
+
+SF = "/root/testdata/sf0.001"
 
 
 def test_summaries(spark):
@@ -42,3 +46,14 @@ def test_stale_stages(spark, change, want):
     seen = R.manifest({"kept": ["docs"], "titles": ["kept"], "report": ["titles", "labels"], "loose": ["other"]}, table(first))
     got = {r.stage: (r.because, r.depth) for r in R.stale_stages(seen, table(first | change)).collect()}
     assert got == want
+
+
+@pytest.mark.parametrize("module,name", [(m, n) for m in (plans, streams) for n in m.NAMES])
+def test_against_sql(spark, module, name):
+    db = duckdb.connect()
+    for t in ("documents", "pages", "events", "labels", "conversations"):
+        db.sql(f"create view {t} as select * from '{SF}/{t}.parquet'")
+    df = module.queries()[name](spark, SF)
+    cols = sorted(df.columns)
+    want = db.sql(f"select {', '.join(cols)} from ({module.oracle_sql()[name]})").fetchall()
+    assert sorted(str(tuple(r[c] for c in cols)) for r in df.collect()) == sorted(map(str, want))
