@@ -34,6 +34,8 @@ def run_to_end(stream: DataFrame, out: str, state: str) -> None:
 def append_logs(rows: DataFrame, folder: str, step: int) -> None:
     """Appends the lines of a step (log, step, ord, text) to their logs. Each log is written by one task at its known length, so that a task that runs twice writes the same."""
     store, inner = logs.opened(folder)
+    if not isinstance(store, logs.stores.LocalFileSystem):
+        raise ValueError(f"logs are appended to in place, which needs a mounted folder and not {folder}")
     store.create_dir(inner, recursive=True)
     long = F.sum(F.when(F.col("step") < step, F.octet_length("text") + 1).otherwise(0)).alias("begin")
     begins = rows.groupBy("log").agg(long)
