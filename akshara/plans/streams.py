@@ -1,4 +1,4 @@
-"""Queries that write a table to a stream in several steps, stop and go on, and return what has come through; their SQL twins read the table."""
+"""Queries that write a table to a store or a stream in several steps, stop and go on, and return what has come through; their SQL twins read the table."""
 
 from __future__ import annotations
 
@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 
 from akshara.operators import articles as A
 from akshara.plans import queries as Q
-from akshara.sources import logs
+from akshara.sources import articles as SA
+from akshara.sources import arrays, logs
 from akshara.sources import versions as V
 from akshara.streaming import articles as S
 
@@ -121,7 +122,20 @@ def version_history(spark, sf_dir):
 SQL["version_history"] = """WITH v AS (SELECT 2 AS version, 'second' AS run_id, * FROM documents UNION ALL SELECT 3, 'third', * FROM documents WHERE lang <> 'en')
 SELECT version, lang, count(*) AS n, sum(length(text))::BIGINT AS chars, any_value(rows) AS rows, any_value(run_id) AS run_id FROM (SELECT *, count(*) OVER (PARTITION BY version) AS rows FROM v) GROUP BY version, lang"""
 
-NAMES = ("log_tail", "streamed_pages", "version_history")
+
+def array_articles(spark, sf_dir):
+    """All documents written as one exchange file by many tasks, and read back from many ranges of it as articles."""
+    folder = shared_folder(spark, "arrays")
+    docs = Q.table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("link"), F.col("lang").alias("source_lang"), "source", F.col("text").alias("body"))
+    docs.write.parquet(f"{folder}/rows")
+    arrays.write_array(spark.read.parquet(f"{folder}/rows"), f"{folder}/run.json", "articles", {"run_id": "all"})
+    back = SA.read_articles(spark, f"{folder}/run.json")
+    return back.select(F.col("link").cast("long").alias("doc_id"), F.col("source_lang").alias("lang"), "source", F.length("body").alias("chars"), F.md5("body").alias("text_md5"), F.col("title").isNull().alias("untitled"))
+
+
+SQL["array_articles"] = "SELECT doc_id, lang, source, CAST(length(text) AS INT) AS chars, md5(text) AS text_md5, true AS untitled FROM documents"
+
+NAMES = ("log_tail", "streamed_pages", "version_history", "array_articles")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -1,8 +1,8 @@
 """Article files and stage tables.
 
 Exchange files are JSON: an array of articles, or an object with _meta and
-articles; a missing, empty or malformed file holds no articles. They are read
-whole, a row a file, so they suit exports. Stages of a run are Parquet folders
+articles; a missing, empty or malformed file holds no articles. They are split
+among tasks within a file. Stages of a run are Parquet folders
 (pipeline, stage, run), committed by Spark's file committer.
 """
 
@@ -13,21 +13,24 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from akshara.sources import arrays
 from akshara.sources import versions as V
 
 ARTICLE = "title string, link string, date string, source string, listing_url string, body string, fetched_at string, search_keyword string, search_engine string, extractor string, zone_code string, zone_name string, source_lang string, ai_headline string, ai_news_story string, topics array<string>, fact_score int, plagiarism_score int, truncated boolean"
 REGISTRY = "name string, category string, language string, notes string, crawl_difficulty string, priority int, start_urls array<string>, search_keywords array<string>"
 
 
-def read_articles(spark: SparkSession, path: str, schema: str = ARTICLE) -> DataFrame:
-    """The articles of a JSON file or of each file of a folder, in no order across files."""
-    try:
-        files = spark.read.option("wholetext", True).text(path)
-    except AnalysisException:
-        return spark.createDataFrame([], schema)
-    bare = F.ltrim("value").startswith("[")
-    rows = F.when(bare, F.from_json("value", f"array<struct<{as_fields(schema)}>>")).otherwise(F.from_json("value", f"struct<articles: array<struct<{as_fields(schema)}>>>")["articles"])
-    return files.select(F.inline(rows))
+def read_articles(spark: SparkSession, path: str, schema: str = ARTICLE, part: int = arrays.PART) -> DataFrame:
+    """The articles of a JSON file or of each file of a folder, in no order across files.
+
+    A file with an element that is no JSON object holds none at all, so files are
+    parsed a second time for such elements; fields of another type are null.
+    """
+    rows = arrays.read_elements(spark, path, part=part)
+    parsed = rows.select("name", "element", F.from_json("element", f"{schema}, __bad string", {"columnNameOfCorruptRecord": "__bad"}).alias("a"))
+    no_object = F.try_parse_json("element").isNull() | ~F.col("element").rlike(r"^[ \t\r\n]*\{")
+    bad = parsed.where(F.col("a.__bad").isNotNull() & no_object).select("name").distinct()
+    return parsed.join(bad, "name", "left_anti").select("a.*").drop("__bad")
 
 
 def as_fields(schema: str) -> str:
