@@ -8,8 +8,9 @@ and either form of a document's window may match either of an item's. Windows of
 canonical words are hash-joined with those of the benchmark. A document and an
 item may align at several offsets; an alignment counts only if its slots are
 consistent (each value of the item stands for one value of the document and the
-other way round), so re-parameterised questions are caught and chance matches
-of templates are not. A document is contaminated by an item if consistent
+other way round), in itself and with the alignments of more windows that count
+already, so re-parameterised questions are caught, with words put in between
+too, and chance matches of templates are not. A document is contaminated by an item if consistent
 alignments cover at least `share` of the item's windows.
 
 Null and empty texts match nothing. Items of fewer words than a window are one
@@ -184,7 +185,12 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
 
 
 def consistent(slotted: DataFrame, rows: DataFrame) -> DataFrame:
-    """Of matched windows with slots, those of alignments whose slots stand for each other one to one."""
+    """Of matched windows with slots, those of alignments whose slots stand for each other one to one, within an alignment and across those taken.
+
+    The alignment with most windows is taken first, each other one only if its
+    pairs agree with all that are taken; what is held for a document and an item
+    is bounded by the document's own matches.
+    """
     which = slotted.select(F.coalesce("doc_id", F.lit(NO_ID)).alias("d"), F.col("key").alias("k")).distinct()
     own = rows.withColumns({"d": F.coalesce("doc_id", F.lit(NO_ID)), "k": F.col("key")}).join(which, ["d", "k"], "left_semi").dropDuplicates(["d", "k"])
     own = own.select("d", "k", values(marked(F.col("text"))).alias("values"))
@@ -193,11 +199,24 @@ def consistent(slotted: DataFrame, rows: DataFrame) -> DataFrame:
     slotted = slotted.select("doc_id", "key", "item_id", "item_pos", (F.col("pos") - F.col("item_pos")).alias("offset"), F.explode("forms").alias("form"), pairs.alias("pairs"))
     aligned = slotted.groupBy("doc_id", "key", "item_id", "offset", "form").agg(F.collect_set("item_pos").alias("places"), F.array_distinct(F.flatten(F.collect_set("pairs"))).alias("pairs"))
 
-    def distinct(name: str) -> Column:
-        return F.size(F.array_distinct(F.transform("pairs", lambda p: p[name])))
+    # alignments alike (a passage that comes many times) are one
+    way = F.struct((-F.size("places")).alias("less"), F.array_sort("places").alias("places"), F.array_sort("pairs").alias("pairs"))
+    ways = aligned.where(one_to_one(F.col("pairs"))).groupBy("doc_id", "key", "item_id").agg(F.array_sort(F.collect_set(way)).alias("ways"))
+
+    def joined(taken: Column, more: Column) -> Column:
+        pairs = F.array_union(taken["pairs"], more["pairs"])
+        both = F.struct(F.array_union(taken["places"], more["places"]).alias("places"), pairs.alias("pairs"))
+        return F.when(one_to_one(pairs), both).otherwise(taken)
+
+    none = F.struct(F.slice(F.col("ways")[0]["places"], 1, 0).alias("places"), F.slice(F.col("ways")[0]["pairs"], 1, 0).alias("pairs"))
+    agreed = ways.select("doc_id", "key", "item_id", F.aggregate("ways", none, joined).alias("x"))
+    return agreed.select("doc_id", "key", "item_id", F.explode("x.places").alias("item_pos"), F.size(F.filter("x.pairs", lambda p: p["item"] != p["doc"])).alias("changed"))
+
 
-    aligned = aligned.where((distinct("item") == F.size("pairs")) & (distinct("doc") == F.size("pairs")))
-    return aligned.select("doc_id", "key", "item_id", F.explode("places").alias("item_pos"), F.size(F.filter("pairs", lambda p: p["item"] != p["doc"])).alias("changed"))
+def one_to_one(pairs: Column) -> Column:
+    """Whether no value of either side stands in two of distinct pairs."""
+    own, theirs = F.transform(pairs, lambda p: p["item"]), F.transform(pairs, lambda p: p["doc"])
+    return (F.size(F.array_distinct(own)) == F.size(pairs)) & (F.size(F.array_distinct(theirs)) == F.size(pairs))
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
