@@ -13,6 +13,7 @@ from akshara.operators import articles as A
 from akshara.plans import queries as Q
 from akshara.sources import articles as SA
 from akshara.sources import arrays, logs
+from akshara.sources import responses as R
 from akshara.sources import versions as V
 from akshara.streaming import articles as S
 
@@ -135,7 +136,50 @@ def array_articles(spark, sf_dir):
 
 SQL["array_articles"] = "SELECT doc_id, lang, source, CAST(length(text) AS INT) AS chars, md5(text) AS text_md5, true AS untitled FROM documents"
 
-NAMES = ("log_tail", "streamed_pages", "version_history", "array_articles")
+
+#: Pages that a stored response lists, hits that a run takes of one, the days that pages are given, and where a run's window begins.
+LISTED, COUNT, DAYS, SINCE = 12, 8, 40, "2024-01-20"
+KEYWORDS = ("en", "es", "de")
+
+
+def listed_pages(spark, sf_dir) -> DataFrame:
+    """Pages as results of the response that lists them: by the language in their address, neighbours by id together; every fifth has no day."""
+    page = F.col("page_id")
+    title = F.trim(F.regexp_extract(F.coalesce("html", F.lit("")), "<h1[^>]*>([^<]*)", 1))
+    rows = Q.table(spark, sf_dir, "pages").select("page_id", F.coalesce("url", F.lit("")).alias("url"), title.alias("title"), F.regexp_extract(F.coalesce("url", F.lit("")), "^https?://[^/]*/([a-z]+)/", 1).alias("keyword"))
+    day = F.when(page % 5 != 0, F.date_add(F.lit("2024-01-01").cast("date"), (page % DAYS).cast("int")))
+    block = F.floor(page / (LISTED * 5))
+    return rows.withColumns({"day": day, "block": block, "engine": F.when(block % 2 == 0, "bing").otherwise("brave")}).where("keyword <> ''")
+
+
+def stored_hits(spark, sf_dir):
+    """Pages listed by stored responses of two engines, some of them refused, and the hits of a run's keywords and window read back from the store."""
+    folder = shared_folder(spark, "responses")
+    rows = listed_pages(spark, sf_dir)
+    escaped = lambda c: F.replace(F.replace(F.replace(c, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
+    sent = F.coalesce(F.concat(F.lit("<pubDate>Mon, "), F.date_format("day", "dd MMM yyyy"), F.lit(" 08:00:00 GMT</pubDate>")), F.lit(""))
+    item = F.concat(F.lit("<item><title>"), escaped(F.col("title")), F.lit("</title><link>"), escaped(F.col("url")), F.lit("</link>"), sent, F.lit("</item>"))
+    result = F.struct(escaped(F.col("title")).alias("title"), "url", F.concat(F.date_format("day", "yyyy-MM-dd"), F.lit("T08:00:00")).alias("page_age"))
+    # a response lists some dozens of pages at most: those of one block of ids
+    lists = rows.groupBy("engine", "keyword", "block").agg(F.array_sort(F.collect_list(F.struct("page_id", item.alias("item"), result.alias("result")))).alias("x"))
+    feed = F.concat(F.lit("<rss><channel>"), F.array_join(F.transform("x", lambda x: x["item"]), "\n"), F.lit("</channel></rss>"))
+    found = F.to_json(F.struct(F.transform("x", lambda x: x["result"]).alias("results")))
+    refused = F.col("block") % 7 == 3
+    body = F.when(refused, "busy").when(F.col("engine") == "bing", feed).otherwise(found)
+    status = F.when(refused & (F.col("block") % 2 == 1), 429).otherwise(200)
+    R.save_responses(lists.select("engine", "keyword", F.col("block").cast("string").alias("response"), status.alias("status"), F.concat(F.lit("list/"), F.col("block").cast("string")).alias("listing_url"), body.alias("body")), f"{folder}/store")
+    hits = R.engine_hits(spark, f"{folder}/store", list(KEYWORDS), since=SINCE, count=COUNT).drop("snippet")
+    errors = R.response_errors(spark, f"{folder}/store", list(KEYWORDS))
+    return hits.unionByName(errors, allowMissingColumns=True)
+
+
+SQL["stored_hits"] = f"""WITH r AS (SELECT page_id, coalesce(url, '') AS url, trim(regexp_extract(coalesce(html, ''), '<h1[^>]*>([^<]*)', 1), ' ') AS title, regexp_extract(coalesce(url, ''), '^https?://[^/]*/([a-z]+)/', 1) AS keyword, page_id // {LISTED * 5} AS block, CASE WHEN page_id % 5 <> 0 THEN strftime(DATE '2024-01-01' + CAST(page_id % {DAYS} AS INT), '%Y-%m-%d') ELSE '' END AS "date" FROM pages),
+l AS (SELECT *, CASE WHEN block % 2 = 0 THEN 'bing' ELSE 'brave' END AS engine FROM r WHERE keyword IN ('{"', '".join(KEYWORDS)}')),
+o AS (SELECT *, row_number() OVER (PARTITION BY keyword, block ORDER BY page_id) - 1 AS ord FROM l WHERE block % 7 <> 3)
+SELECT engine, keyword, CAST(block AS VARCHAR) AS response, CAST(ord AS INT) AS ord, url, title, regexp_replace(lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)', 1)), '^www\\.', '') AS source, "date", 'list/' || block AS listing_url, NULL AS error FROM o WHERE ord < {COUNT} AND ("date" = '' OR "date" >= '{SINCE}')
+UNION ALL SELECT DISTINCT engine, keyword, CAST(block AS VARCHAR), NULL, NULL, NULL, NULL, NULL, NULL, CASE WHEN block % 2 = 1 THEN 'HTTP 429: busy' ELSE 'response was not an RSS feed' END FROM l WHERE block % 7 = 3"""
+
+NAMES = ("log_tail", "streamed_pages", "version_history", "array_articles", "stored_hits")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
