@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -111,11 +112,43 @@ def story_edges(classes: DataFrame, threshold: float) -> DataFrame:
     return pairs.join(of("a", "w"), "a").join(of("b", "v"), "b").where(k >= F.lit(threshold) * union).select("a", "b", (k / union).alias("score"))
 
 
+def story_links(classes: DataFrame, threshold: float) -> DataFrame:
+    """a and b: links of classes (as in story_edges()) that leave the components as all links do, some per class and not some per pair.
+
+    Two sets of n and m words link when they share k or more, k the least with
+    k >= threshold (n + m - k). So classes that share k words are linked with the
+    one of fewest words among them, and who links with any of them through these
+    words links with that one. Subsets of words grow by a word a round, the rare
+    words first; those that one class alone has end, and so do classes in them
+    that link with their largest already. Subsets are told apart by 128 bits.
+    """
+    t = F.lit(threshold)
+    rows = classes.select("cls", F.size("w").alias("n"), F.explode("w").alias("t"))
+    often = rows.groupBy("t").agg(F.count("*").alias("f")).where("f > 1")
+    ranked = rows.join(often, "t").groupBy("cls").agg(F.first("n").alias("n"), F.array_sort(F.collect_list(F.struct("f", F.xxhash64("t").alias("x"), F.xxhash64(F.lit("second"), "t").alias("y")))).alias("o"))
+    # no partner shares fewer words than the share that the threshold asks of the set itself
+    sets = checkpointed(ranked.withColumn("need", F.ceil(F.col("n") * t - 1e-9).cast("int")).where(F.size("o") >= F.col("need")))
+    alive = sets.select("cls", F.lit(0).alias("at"), F.lit(0).cast("long").alias("x"), F.lit(0).cast("long").alias("y"))
+    links, k = [], 0
+    while True:
+        k += 1
+        last = F.size("o") - F.greatest(F.col("need") - k, F.lit(0))
+        more = F.transform(F.slice("o", F.col("at") + 1, F.greatest(last - F.col("at"), F.lit(0))), lambda v, i: F.struct((F.col("at") + i + 1).alias("at"), F.xxhash64("x", v["x"]).alias("x"), F.xxhash64("y", v["y"]).alias("y")))
+        grown = alive.join(sets, "cls").select("cls", "n", F.explode(more).alias("v")).select("cls", "n", "v.at", "v.x", "v.y")
+        groups = grown.groupBy("x", "y").agg(F.count("*").alias("c"), F.min(F.struct("n", "cls")).alias("hub"), F.max("n").alias("most")).where("c > 1").drop("c")
+        held = checkpointed(grown.join(groups, ["x", "y"]))
+        near = lambda other: F.lit(k) >= t * (F.col("n") + other - k)  # noqa: B023, E731
+        links.append(held.where((F.col("cls") != F.col("hub.cls")) & near(F.col("hub.n"))).select(F.col("hub.cls").alias("a"), F.col("cls").alias("b")))
+        alive = held.where(~near(F.col("most"))).select("cls", "at", "x", "y")
+        if alive.isEmpty():
+            return reduce(DataFrame.unionByName, links).distinct()
+
+
 def story_components(df: DataFrame, idx: str, words: str, threshold: float) -> DataFrame:
     """node and cluster of every row: single linkage of its word set. Equal sets are one class from the start, so a title that a million rows have costs no pair."""
     members, classes = title_classes(df, idx, words)
     classes = checkpointed(classes)
-    found = components(classes.select("cls"), story_edges(classes, threshold))
+    found = components(classes.select("cls"), story_links(classes, threshold))
     rows = members.join(found, F.col("cls") == F.col("node")).select("i", "cluster")
     return df.select(F.col(idx).alias("node")).join(rows, F.col("node") == F.col("i"), "left").select("node", F.coalesce("cluster", "node").alias("cluster"))
 

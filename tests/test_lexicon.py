@@ -1,5 +1,6 @@
 """Term lists as expressions and as tables, and titles in classes."""
 
+import random
 import time
 
 import numpy as np
@@ -82,3 +83,33 @@ def test_equal_titles_cost_no_pairs(spark):
     assert [(r.others, r.other) for r in near.where("i = 20000").orderBy("place").collect()] == [(20_000, 0), (20_000, 1), (20_000, 2)]
     assert [(r.others, r.place, r.other, r.score) for r in near.where("i = 20001").collect()] == [(1, 0, 20_003, 0.8)]
     assert time.time() - began < 120
+
+
+@pytest.mark.parametrize("threshold", [0.2, 0.45, 0.8])
+def test_links_of_classes_leave_the_components_of_all_pairs(spark, threshold):
+    rng = random.Random(threshold)
+    sets = [rng.sample(range(40 if i % 2 else 400), rng.choice((1, 2, 3, 5, 8, 12))) for i in range(300)]
+    sets += [[900 + x for x in range(12) if x != i] + [1000 + i] for i in range(12)]
+    df = spark.createDataFrame([(i, [f"w{x}" for x in s]) for i, s in enumerate(sets)], "i long, w array<string>")
+    root = list(range(len(sets)))
+
+    def of(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i, a in enumerate(sets):
+        for j in range(i):
+            n = len(set(a) & set(sets[j]))
+            if n and n >= threshold * (len(a) + len(sets[j]) - n):
+                x, y = sorted((of(i), of(j)))
+                root[y] = x
+    assert {r.node: r.cluster for r in A.story_components(df, "i", "w", threshold).collect()} == {i: of(i) for i in range(len(sets))}
+
+
+def test_a_frequent_word_costs_no_pairs(spark):
+    """2,000 titles of a common word and one of their own are 2 million pairs that link."""
+    df = spark.range(2_000).select(F.col("id").alias("i"), F.array(F.lit("railway"), F.concat(F.lit("w"), F.col("id").cast("string"))).alias("w"))
+    links = A.story_links(A.title_classes(df, "i", "w")[1], 0.2)
+    assert links.count() == 1_999
+    assert A.story_components(df, "i", "w", 0.2).where("cluster = 0").count() == 2_000
