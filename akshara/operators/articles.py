@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+from collections.abc import Iterator
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -90,22 +91,63 @@ def title_classes(df: DataFrame, idx: str, words: str) -> tuple[DataFrame, DataF
     return rows.join(classes, "w").select("i", "cls"), classes
 
 
+def ranked_sets(classes: DataFrame, threshold: float) -> DataFrame:
+    """cls, n (words), o (those that other classes have too, the rare ones first) and need (words that any partner shares) of classes that can have a partner."""
+    rows = classes.select("cls", F.size("w").alias("n"), F.explode("w").alias("t"))
+    often = rows.groupBy("t").agg(F.count("*").alias("f")).where("f > 1")
+    ranked = rows.join(often, "t").groupBy("cls").agg(F.first("n").alias("n"), F.array_sort(F.collect_list(F.struct("f", F.xxhash64("t").alias("x"), F.xxhash64(F.lit("second"), "t").alias("y")))).alias("o"))
+    return checkpointed(ranked.withColumn("need", F.ceil(F.col("n") * F.lit(threshold) - 1e-9).cast("int")).where(F.size("o") >= F.col("need")))
+
+
+def linked(k: int, n: Column, m: Column, threshold: float) -> Column:
+    """Whether k common words link sets of n and m words."""
+    return F.lit(k) >= F.lit(threshold) * (n + m - k)
+
+
+def shared_subsets(sets: DataFrame, threshold: float) -> Iterator[tuple[int, DataFrame]]:
+    """k and the subsets of k words that several classes hold: x, y (128 bits of the subset), cls, n, need, hub (n and cls of the fewest words among them) and most (words).
+
+    Subsets grow by a word a round, the rare words first; those that one class
+    alone has end, and so do classes in them that k words link with their largest.
+    """
+    alive, k = sets.select("cls", F.lit(0).alias("at"), F.lit(0).cast("long").alias("x"), F.lit(0).cast("long").alias("y")), 0
+    while not alive.isEmpty():
+        k += 1
+        last = F.size("o") - F.greatest(F.col("need") - k, F.lit(0))
+        more = F.transform(F.slice("o", F.col("at") + 1, F.greatest(last - F.col("at"), F.lit(0))), lambda v, i: F.struct((F.col("at") + i + 1).alias("at"), F.xxhash64("x", v["x"]).alias("x"), F.xxhash64("y", v["y"]).alias("y")))
+        grown = alive.join(sets, "cls").select("cls", "n", "need", F.explode(more).alias("v")).select("cls", "n", "need", "v.at", "v.x", "v.y")
+        groups = grown.groupBy("x", "y").agg(F.count("*").alias("c"), F.min(F.struct("n", "cls")).alias("hub"), F.max("n").alias("most")).where("c > 1").drop("c")
+        held = checkpointed(grown.join(groups, ["x", "y"]))
+        yield k, held
+        alive = held.where(~linked(k, F.col("n"), F.col("most"), threshold)).select("cls", "at", "x", "y")
+
+
+#: Common words by which pairs of titles are found, at most.
+DEPTH = 4
+
+
 def story_edges(classes: DataFrame, threshold: float) -> DataFrame:
     """a < b and score: pairs of classes whose word sets have a Jaccard similarity of threshold or more.
 
-    Two such sets share one of the first n - ceil(threshold n) + 1 words of each
-    in one order of all words, the rarest first; so only those are joined, and a
-    frequent word forms pairs only where a title has no other. Ids alone meet
-    there; each pair then fetches its whole sets once.
+    Pairs meet in a subset of as many words as must be common, up to DEPTH; so a
+    frequent word forms pairs only where it links. Ids alone meet there; each
+    pair then fetches its whole sets once.
     """
-    rows = classes.select("cls", F.size("w").alias("n"), F.explode("w").alias("t"))
-    often = rows.groupBy("t").agg(F.count("*").alias("f"))
-    ranked = rows.join(often, "t").groupBy("cls").agg(F.first("n").alias("n"), F.array_sort(F.collect_list(F.struct("f", "t"))).alias("order"))
-    kept = F.col("n") - F.ceil(F.col("n") * F.lit(threshold) - 1e-9).cast("int") + 1
-    first = ranked.select("cls", "n", F.explode(F.slice("order", F.lit(1), kept)).alias("x")).select(F.col("cls").alias("a"), "n", "x.t")
-    other = first.select(F.col("a").alias("b"), F.col("n").alias("m"), "t")
-    alike = F.least("n", "m") >= F.lit(threshold) * F.greatest("n", "m") - 1e-9
-    pairs = first.join(other, "t").where((F.col("a") < F.col("b")) & alike).select("a", "b").distinct()
+    found = []
+    for k, held in shared_subsets(ranked_sets(classes, threshold), threshold):
+        n, m = F.col("n"), F.col("m")
+        if k < DEPTH:
+            held = held.where(linked(k, n, F.greatest(F.lit(k), F.col("need")), threshold))
+        first = held.select("x", "y", F.col("cls").alias("a"), "n")
+        other = held.select("x", "y", F.col("cls").alias("b"), F.col("n").alias("m"))
+        alike = (F.least(n, m) >= F.lit(threshold) * F.greatest(n, m) - 1e-9) & ~linked(k - 1, n, m, threshold)
+        alike = alike & linked(k, n, m, threshold) if k < DEPTH else alike
+        found.append(first.join(other, ["x", "y"]).where((F.col("a") < F.col("b")) & alike).select("a", "b"))
+        if k == DEPTH:
+            break
+    if not found:
+        return classes.select(F.col("cls").alias("a"), F.col("cls").alias("b"), F.lit(1.0).alias("score")).limit(0)
+    pairs = reduce(DataFrame.unionByName, found).distinct()
     of = lambda c, w: classes.select(F.col("cls").alias(c), F.col("w").alias(w))
     k = F.size(F.array_intersect("w", "v"))
     union = F.size("w") + F.size("v") - k
@@ -113,35 +155,18 @@ def story_edges(classes: DataFrame, threshold: float) -> DataFrame:
 
 
 def story_links(classes: DataFrame, threshold: float) -> DataFrame:
-    """a and b: links of classes (as in story_edges()) that leave the components as all links do, some per class and not some per pair.
+    """a and b: links of classes that leave the components as all of story_edges() do, some per class and not some per pair.
 
     Two sets of n and m words link when they share k or more, k the least with
     k >= threshold (n + m - k). So classes that share k words are linked with the
     one of fewest words among them, and who links with any of them through these
-    words links with that one. Subsets of words grow by a word a round, the rare
-    words first; those that one class alone has end, and so do classes in them
-    that link with their largest already. Subsets are told apart by 128 bits.
+    words links with that one.
     """
-    t = F.lit(threshold)
-    rows = classes.select("cls", F.size("w").alias("n"), F.explode("w").alias("t"))
-    often = rows.groupBy("t").agg(F.count("*").alias("f")).where("f > 1")
-    ranked = rows.join(often, "t").groupBy("cls").agg(F.first("n").alias("n"), F.array_sort(F.collect_list(F.struct("f", F.xxhash64("t").alias("x"), F.xxhash64(F.lit("second"), "t").alias("y")))).alias("o"))
-    # no partner shares fewer words than the share that the threshold asks of the set itself
-    sets = checkpointed(ranked.withColumn("need", F.ceil(F.col("n") * t - 1e-9).cast("int")).where(F.size("o") >= F.col("need")))
-    alive = sets.select("cls", F.lit(0).alias("at"), F.lit(0).cast("long").alias("x"), F.lit(0).cast("long").alias("y"))
-    links, k = [], 0
-    while True:
-        k += 1
-        last = F.size("o") - F.greatest(F.col("need") - k, F.lit(0))
-        more = F.transform(F.slice("o", F.col("at") + 1, F.greatest(last - F.col("at"), F.lit(0))), lambda v, i: F.struct((F.col("at") + i + 1).alias("at"), F.xxhash64("x", v["x"]).alias("x"), F.xxhash64("y", v["y"]).alias("y")))
-        grown = alive.join(sets, "cls").select("cls", "n", F.explode(more).alias("v")).select("cls", "n", "v.at", "v.x", "v.y")
-        groups = grown.groupBy("x", "y").agg(F.count("*").alias("c"), F.min(F.struct("n", "cls")).alias("hub"), F.max("n").alias("most")).where("c > 1").drop("c")
-        held = checkpointed(grown.join(groups, ["x", "y"]))
-        near = lambda other: F.lit(k) >= t * (F.col("n") + other - k)  # noqa: B023, E731
-        links.append(held.where((F.col("cls") != F.col("hub.cls")) & near(F.col("hub.n"))).select(F.col("hub.cls").alias("a"), F.col("cls").alias("b")))
-        alive = held.where(~near(F.col("most"))).select("cls", "at", "x", "y")
-        if alive.isEmpty():
-            return reduce(DataFrame.unionByName, links).distinct()
+    links = [classes.select(F.col("cls").alias("a"), F.col("cls").alias("b")).limit(0)]
+    for k, held in shared_subsets(ranked_sets(classes, threshold), threshold):
+        near = (F.col("cls") != F.col("hub.cls")) & linked(k, F.col("n"), F.col("hub.n"), threshold)
+        links.append(held.where(near).select(F.col("hub.cls").alias("a"), F.col("cls").alias("b")))
+    return reduce(DataFrame.unionByName, links).distinct()
 
 
 def story_components(df: DataFrame, idx: str, words: str, threshold: float) -> DataFrame:

@@ -113,3 +113,18 @@ def test_a_frequent_word_costs_no_pairs(spark):
     links = A.story_links(A.title_classes(df, "i", "w")[1], 0.2)
     assert links.count() == 1_999
     assert A.story_components(df, "i", "w", 0.2).where("cluster = 0").count() == 2_000
+
+
+def test_pairs_of_likely_titles_are_all_found_and_few_are_looked_at(spark, monkeypatch):
+    """Titles of four words of a small stock share single words by the thousand; only those of enough common words meet."""
+    rng = random.Random(6)
+    sets = [frozenset(rng.sample(range(25), 4)) for _ in range(600)] + [frozenset(rng.sample(range(25), n)) for n in (1, 2, 3, 5, 7, 9) for _ in range(20)]
+    sets = list(dict.fromkeys(sets))
+    classes = A.title_classes(spark.createDataFrame([(i, [f"w{x}" for x in s]) for i, s in enumerate(sets)], "i long, w array<string>"), "i", "w")[1]
+    for threshold in (0.2, 0.45, 0.8):
+        want = {(i, j): len(a & sets[j]) / len(a | sets[j]) for i, a in enumerate(sets) for j in range(i + 1, len(sets))}
+        want = {p: v for p, v in want.items() if v and v >= threshold}
+        found = A.story_edges(classes, threshold)
+        assert {(r.a, r.b): r.score for r in found.collect()} == want
+    met = [held.count() for k, held in A.shared_subsets(A.ranked_sets(classes, 0.8), 0.8) if k == 1]
+    assert met[0] < 4 * len(sets)
