@@ -137,8 +137,7 @@ SELECT metric, count(DISTINCT value) AS "values", min(value) AS least, max(value
 
 def gate_listing(spark, sf_dir):
     """How often each gate fails."""
-    rows = A.with_tokens(A.coverage(Q.pairs(spark, sf_dir), "body", "story"), F.concat_ws(" ", "title", F.left("body", F.lit(600))))
-    rows = A.gates(rows, "title", "body", "story", ~A.relevant(strong=Q.STRONG, weak=Q.WEAK))
+    rows = Q.gated(spark, sf_dir)
     return rows.select(F.explode("gate_failures").alias("f")).groupBy(F.regexp_replace("f", "[0-9]+", "N").alias("gate")).agg(F.count("*").alias("n"))
 
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from akshara.functions import text as X
 from akshara.operators import articles as A
+from akshara.plans import queries as Q
 from akshara.plans import queries as plans
 
 SF = "/root/testdata/sf0.001"
@@ -105,3 +106,12 @@ def test_inflected_titles_cluster(spark, monkeypatch):
     rows = spark.createDataFrame([(1, "सड़कों स्टेशनों"), (2, "सड़क स्टेशन"), (3, "बंदरगाह")], "doc_id long, title string")
     monkeypatch.setattr(queries, "articles", lambda spark, sf_dir: rows)
     assert {r.doc_id: r.cluster for r in queries.clustered(spark, "").collect()} == {1: 1, 2: 1, 3: 3}
+
+
+def test_gates_join_figures_and_beginnings_of_texts(spark, tmp_path):
+    rows = [(1, "title 5\n" + "a 12 " * 400, "en", "s"), (2, "title\n" + "b 12 7 " * 400, "en", "s"), (3, None, "en", "s")]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    out = Q.gated(spark, str(tmp_path))
+    found = {r.doc_id: r for r in out.collect()}
+    assert len(found[1].body) == 600 and found[1].source_numbers == 2 and found[1].numbers_unsupported == ["7"]
+    assert "degenerate story" in found[2].gate_failures and set(found) == {1, 2}
