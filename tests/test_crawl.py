@@ -91,3 +91,9 @@ def test_queries_without_the_training_data_operators(tmp_path):
             shutil.copy(root / name, tmp_path)
     code = "import __spark_entry__ as e; q = e.queries(); e.oracle_sql(); assert q and not any(k.startswith('op1_') for k in q)"
     subprocess.run([sys.executable, "-c", code], cwd=tmp_path, check=True)
+
+
+def test_reports_over_scores_read_the_texts_once(spark):
+    from akshara.plans import crawl
+
+    assert crawl.topic_report(spark, "/root/testdata/sf0.001").inputFiles() == []
