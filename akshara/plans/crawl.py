@@ -405,7 +405,7 @@ SQL["article_scores"] = f"{_scored} SELECT doc_id, coverage_score, number_precis
 
 
 def topic_report(spark, sf_dir):
-    # three reports read the verdicts, which are worked out once
+    # three reports read the verdicts from one checkpoint
     rows = A.checkpointed(scored(spark, sf_dir).select("doc_id", "topics", "topics_off_vocabulary", "topics_unsupported", "impact_agrees"))
     top = T.unsupported_topics(rows, "doc_id").agg(F.array_join(F.collect_list(F.concat_ws(":", "topic", "n")), ",").alias("top"))
     agree = T.impact_agreement(rows).select("agree", "percent")
