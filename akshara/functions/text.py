@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import string
 import unicodedata
 
 import pandas as pd
@@ -16,8 +17,6 @@ DEVANAGARI = "\u0900-\u097f"
 WHITE = r"[\s\p{Z}]+"
 #: What NFC does inside the Devanagari block: seven letters fall apart and three join.
 DECOMPOSED = {chr(c): unicodedata.normalize("NFC", chr(c)) for c in range(0x958, 0x960)} | {chr(c) + "\u093c": chr(c + 1) for c in (0x928, 0x930, 0x933)}
-
-
 @F.pandas_udf(T.StringType())
 def nfc(text: pd.Series) -> pd.Series:
     return text.map(lambda x: x if x is None or x.isascii() else unicodedata.normalize("NFC", x))
@@ -32,14 +31,20 @@ def normalized(text: Column, full: bool = False) -> Column:
     even = F.replace(F.replace(even, F.lit("  "), F.lit(" ")), F.lit("  "), F.lit(" "))
     even = F.when(F.contains(even, F.lit("  ")), F.regexp_replace(even, " +", " ")).otherwise(even)
     out = F.translate(plain, L.ZERO_WIDTH, "")
-    if not full:
+    if full:
+        out = F.regexp_replace(nfc(out), WHITE, " ")
+    else:
         for old, new in DECOMPOSED.items():
             out = F.replace(out, F.lit(old), F.lit(new))
-    out = F.regexp_replace(nfc(out) if full else out, WHITE, " ")
+        # a dozen passes over a text, so only for one that may hold what they change
+        changed = plain.rlike("[\u0958-\u095f]") | plain.rlike("[\u200b-\u200d]")
+        for c in ("\u093c", "\ufeff", "\u00ad"):
+            changed = changed | F.contains(plain, F.lit(c))
+        out = F.regexp_replace(F.when(changed, out).otherwise(plain), WHITE, " ")
     # most texts have white space of ASCII alone and nothing else to change; what could be is a no-break space, a soft hyphen or beyond U+0900
     special = F.octet_length(plain) != F.length(plain)
     if not full:
-        special = special & (F.contains(plain, F.lit("\u00a0")) | F.contains(plain, F.lit("\u00ad")) | plain.rlike("[\u0900-\U0010ffff]"))
+        special = special & (plain.rlike("[\u0900-\U0010ffff]") | F.contains(plain, F.lit("\u00a0")) | F.contains(plain, F.lit("\u00ad")))
     return F.trim(F.when(special, out).otherwise(even))
 
 
@@ -75,8 +80,10 @@ def normal_key(text: Column) -> Column:
     """
     out = F.lower(normalized(text))
     joined = "|".join(f"{c}\\p{{M}}*?[{marks}]" for c, marks in JOINED.items() if marks)
-    out = F.regexp_replace(out, joined, "")
-    return F.trim(F.regexp_replace(F.regexp_replace(out, f"[^a-z0-9{DEVANAGARI}\\s\\p{{Z}}]", ""), WHITE, " "))
+    # looked at only where a mark follows a letter, since 26 patterns at every place are slow
+    out = F.regexp_replace(out, f"(?=[a-z]\\p{{M}})(?:{joined})", "")
+    # normalized() leaves no white space but blanks
+    return F.trim(F.regexp_replace(F.regexp_replace(out, f"[^a-z0-9{DEVANAGARI}\\s\\p{{Z}}]+", ""), " {2,}", " "))
 
 
 def light_stem(word: Column) -> Column:
@@ -195,10 +202,16 @@ def short_url(url: Column, n: int = 44) -> Column:
     return F.when(F.length(base) <= room, F.concat(base, suffix)).when(path == "", F.concat(F.left(base, room), F.lit("…"))).otherwise(F.concat(host, F.lit("/…"), F.right(path, keep), suffix))
 
 
+def script_letters(text: Column) -> tuple[Column, Column]:
+    """How many Devanagari characters and Latin letters a text has. Counting matches would make a string of each."""
+    without = lambda chars: F.length(text) - F.length(F.translate(text, chars, ""))
+    return without("".join(map(chr, range(0x900, 0x980)))), without(string.ascii_letters)
+
+
 def script_ratio(text: Column) -> Column:
     """Share of Devanagari among Devanagari and Latin letters, 0 where there are none."""
-    hi, en = F.regexp_count(text, F.lit(f"[{DEVANAGARI}]")), F.regexp_count(text, F.lit("[a-zA-Z]"))
-    return F.when(hi + en > 0, hi / (hi + en)).otherwise(F.lit(0.0))
+    hi, en = script_letters(text)
+    return F.coalesce(F.try_divide(hi, hi + en), F.lit(0.0))
 
 
 def band(value: Column, good: int, fair: int, lower_is_better: bool = False) -> Column:

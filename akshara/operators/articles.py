@@ -199,6 +199,12 @@ def same_story(df: DataFrame, idx: str, words: str, threshold: float = 0.45, mos
     return rows.select("i", "others", "place", "x.other", "x.score")
 
 
+def dealt(df: DataFrame, key: str) -> DataFrame:
+    """df, dealt out by key if its input is in fewer pieces than there are cores: a file of one row group is one task."""
+    few = df.rdd.getNumPartitions() < df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(key) if few else df
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """df cut from its lineage in the folder of spark.checkpoint.dir."""
     checkpoint_root(df.sparkSession)

@@ -42,7 +42,7 @@ def verified_topics(df: DataFrame, claimed: str, topics=TOPICS) -> DataFrame:
 def text_language(text: Column, fallback: Column) -> Column:
     """hi for at least as many Devanagari characters as Latin letters, en for fewer, the fallback without either."""
     text = F.coalesce(text, F.lit(""))
-    hi, en = F.regexp_count(text, F.lit(f"[{X.DEVANAGARI}]")), F.regexp_count(text, F.lit("[a-zA-Z]"))
+    hi, en = X.script_letters(text)
     return F.when(hi + en == 0, fallback).when(hi >= en, "hi").otherwise("en")
 
 

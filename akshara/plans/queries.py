@@ -165,7 +165,7 @@ DEVA_TERMS = tuple(w.translate(str.maketrans(LATIN, DEVA)) for w in ("the", "ert
 
 
 def deva_articles(spark, sf_dir) -> DataFrame:
-    docs = articles(spark, sf_dir)
+    docs = A.dealt(articles(spark, sf_dir), "doc_id")
     return docs.select("doc_id", F.translate("title", LATIN, DEVA).alias("title"), F.translate("body", LATIN, DEVA).alias("body"))
 
 

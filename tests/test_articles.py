@@ -1,6 +1,7 @@
 """Article functions and operators on inline cases with known results."""
 
 import re
+import time
 import unicodedata
 
 import duckdb
@@ -115,3 +116,32 @@ def test_gates_join_figures_and_beginnings_of_texts(spark, tmp_path):
     found = {r.doc_id: r for r in out.collect()}
     assert len(found[1].body) == 600 and found[1].source_numbers == 2 and found[1].numbers_unsupported == ["7"]
     assert "degenerate story" in found[2].gate_failures and set(found) == {1, 2}
+
+
+def test_keys_and_shares_of_long_texts_cost_a_few_passes(spark, tmp_path):
+    """26 patterns at every place, ten replacements and a string for each letter took several times as long."""
+    text = F.concat(F.repeat(F.lit("रेल मंत्रालय ने नई घोषणा की "), F.lit(20_000)), F.col("id").cast("string"))
+    spark.range(0, 4, 1, 1).select(text.alias("t")).write.parquet(f"{tmp_path}/texts")
+    rows = spark.read.parquet(f"{tmp_path}/texts").coalesce(1)
+
+    def least(column):
+        took = []
+        for _ in range(4):
+            began = time.time()
+            rows.select(column.alias("x")).agg(F.max(F.hash("x"))).first()
+            took.append(time.time() - began)
+        return min(took)
+
+    one_pass = least(F.regexp_replace("t", f"[^a-z0-9{X.DEVANAGARI}\\s\\p{{Z}}]", ""))
+    assert least(X.normal_key(F.col("t"))) < 4.5 * one_pass
+    assert least(X.script_ratio(F.col("t"))) < 2.6 * one_pass
+
+
+@pytest.mark.parametrize(("text", "hi", "en"), [(None, None, None), ("", 0, 0), ("aZ é9 \u0900\u097f\u0980\U0001f600", 2, 2), ("नई-line", 2, 4)])
+def test_letters_of_scripts(spark, text, hi, en):
+    a, b = X.script_letters(F.col("x"))
+    assert tuple(spark.createDataFrame([(text,)], "x string").select(a, b).first()) == (hi, en)
+
+
+def test_documents_of_one_row_group_are_dealt_out(spark):
+    assert "hashpartitioning(doc_id" in Q.deva_articles(spark, SF)._jdf.queryExecution().executedPlan().toString()
