@@ -16,6 +16,8 @@ from akshara.operators import articles as A
 
 #: Characters around a phrase's first blank that it is looked up by, at most.
 REACH = 3
+#: Keys of a lexicon that is broadcast, at most.
+SMALL = 200_000
 
 
 def around(left: Column, right: Column, a: int, b: int) -> Column:
@@ -51,15 +53,17 @@ def text_keys(words: Column, stems: Column, blob: Column, kinds: list[str]) -> C
 def lexicon_hits(df: DataFrame, idx: str, text: Column, lexicon: DataFrame, name: str = "list", term: str = "term") -> DataFrame:
     """idx (unique), list and term, distinct: the terms of a lexicon that each text holds.
 
-    The lexicon is joined as a table: Spark broadcasts it while its size is
-    below the session's threshold, else both sides are dealt out by key. Keys
-    alone travel; texts are joined once more where phrases are likely.
+    The lexicon is joined as a table: it is broadcast up to SMALL keys, so that
+    what a text does not hold is dropped before anything travels; a larger one
+    and the keys of the texts are both dealt out by key. Texts are joined once
+    more where phrases are likely.
     """
-    keys = A.checkpointed(lexicon_keys(lexicon, name, term))
-    kinds = sorted(r.kind for r in keys.select("kind").distinct().collect())  # at most REACH^2 + 2
-    rows = A.with_tokens(df.select(F.col(idx).alias("idx"), text.alias("text")), F.col("text"))
-    found = rows.select("idx", F.explode(text_keys(F.col("words"), F.col("stems"), F.col("blob"), kinds)).alias("k")).select("idx", "k.kind", "k.key")
-    found = found.join(keys, ["kind", "key"]).select("idx", "list", "term").distinct()
+    # a text that holds a word as a token holds its stem too, so a word's own key would find nothing more
+    keys = A.checkpointed(lexicon_keys(lexicon, name, term).where("kind <> 'word'"))
+    sizes = {r.kind: r["count"] for r in keys.groupBy("kind").count().collect()}  # at most REACH^2 + 1
+    rows = A.with_tokens(A.dealt(df.select(F.col(idx).alias("idx"), text.alias("text")), "idx"), F.col("text"))
+    found = rows.select("idx", F.explode(text_keys(F.col("words"), F.col("stems"), F.col("blob"), sorted(sizes))).alias("k")).select("idx", "k.kind", "k.key")
+    found = found.join(F.broadcast(keys) if sum(sizes.values()) <= SMALL else keys, ["kind", "key"]).select("idx", "list", "term").distinct()
     found = A.checkpointed(found.withColumn("phrase", F.contains("term", F.lit(" "))))
     likely = found.where("phrase").groupBy("idx").agg(F.collect_set(F.struct("list", "term")).alias("t"))
     whole = rows.select("idx", "blob").join(likely, "idx").select("idx", F.inline(F.filter("t", lambda x: F.contains(F.col("blob"), x["term"]))))

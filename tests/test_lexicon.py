@@ -128,3 +128,12 @@ def test_pairs_of_likely_titles_are_all_found_and_few_are_looked_at(spark, monke
         assert {(r.a, r.b): r.score for r in found.collect()} == want
     met = [held.count() for k, held in A.shared_subsets(A.ranked_sets(classes, 0.8), 0.8) if k == 1]
     assert met[0] < 4 * len(sets)
+
+
+def test_a_word_is_looked_up_once(spark, monkeypatch):
+    """By its stem alone; each token was looked up a second time as itself."""
+    asked, keys = [], LX.text_keys
+    monkeypatch.setattr(LX, "text_keys", lambda words, stems, blob, kinds: asked.extend(kinds) or keys(words, stems, blob, kinds))
+    lexicon = spark.createDataFrame([("l", "ट्रेन"), ("l", "rail")], "list string, term string")
+    found = LX.lexicon_hits(spark.createDataFrame([(1, "नई ट्रेनों rail"), (2, "rails")], "id int, text string"), "id", F.col("text"), lexicon)
+    assert sorted((r.idx, r.term) for r in found.collect()) == [(1, "rail"), (1, "ट्रेन")] and asked == ["stem"]
